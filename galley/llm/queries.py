@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from galley.llm import exact_dedup, packing
+from galley.llm import chat, decontamination, exact_dedup, kneser_ney, licenses, line_dedup, packing, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_quality_kneser_ney": kneser_ney.op7_quality_kneser_ney,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op9_benchmark_lsa": decontamination.op9_benchmark_lsa,
+    "op10_simhash_golay": simhash.op10_simhash_golay,
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
+    "op4_chat_format": chat.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
