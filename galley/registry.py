@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from galley.operators import alignment, calibration, layout_lines, scoring, sections, states, text
+from galley.operators import alignment, calibration, findings, layout_lines, scoring, sections, states, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (layout_lines, scoring, calibration, states, sections, alignment, text):
+for _module in (layout_lines, scoring, calibration, states, sections, alignment, text, findings):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
