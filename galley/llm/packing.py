@@ -11,6 +11,7 @@ rows are packed as often as they occur. An empty table gives no rows. Other colu
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,52 +23,71 @@ from pyspark.sql import functions as F
 from galley.llm.common import Scratch, text_or_empty
 
 LIMIT, END = 1024, 2
-#: Words that a worker remembers with their ids; it forgets all of them beyond this.
-MEMO = 600_000
+#: Chunks that a worker remembers with their ids; it forgets all of them beyond this. Longer ones are not remembered.
+MEMO, LONGEST = 1_300_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
 class Words(dict):
     """Ids (little-endian uint32 bytes) by chunk of text. A text is cut at single spaces between non-spaces, where the
-    byte-level pattern always starts a new word, so the chunks' ids in order are the text's ids."""
+    byte-level pattern always starts a new word, so the chunks' ids in order are the text's ids.
+
+    A key is a chunk without the space before it; the first chunk of a text, which has none, is kept under a space and itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.marks = {m: self.ids([m])[0] for m in ".,"}
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of new keys; a word with a full stop or comma is that of the word and of the mark. Long ones are not remembered."""
+        marked = [k for k in keys if k[-1:] in self.marks and k[:-1].isalpha()]
+        plain = [k for k in keys.difference(marked).union(k[:-1] for k in marked) if k not in self]
+        new = dict(zip(plain, self.ids([k[1:] if k[0] == " " else f" {k}" for k in plain]), strict=True))
+        for k in marked:
+            new[k] = (new.get(k[:-1]) or self[k[:-1]]) + self.marks[k[-1]]
+        self.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > MEMO:
             self.clear()
-        cut = [chunks(t) for t in texts]
-        new = {c for cs in cut for c in cs if c not in self}
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.__getitem__, cs)) for cs in cut]
+        cut, lack = [], set()
+        for text in texts:
+            keys = keys_of(text)
+            got = list(map(self.get, keys))
+            if None in got:
+                lack.update(k for k, g in zip(keys, got, strict=True) if g is None)
+            cut.append((keys, got))
+        new = self.learn(lack) if lack else {}
+        return [b"".join(got) if None not in got else b"".join([new[k] if g is None else g for k, g in zip(keys, got, strict=True)]) for keys, got in cut]
+
+
+_close = re.compile(r"\s | \s")
 
 
-def chunks(text: str) -> list[str]:
-    """Pieces that start with a space, except the first; runs of white space stay within one piece."""
+def keys_of(text: str) -> list[str]:
+    """The keys of a text's chunks. Other white space next to a space forbids the cut there."""
     if not text:
         return []
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        # a cut needs a non-space on both sides; other white space next to the space forbids it too
-        if p and held and not p[0].isspace() and not held[-1].isspace():
-            out.append(held)
-            held = " " + p
-        else:
-            held += " " + p
-    out.append(held)
-    return out
+    if parts[0] == "" or parts[-1] == "" or _close.search(text):
+        out, held = [], parts[0]
+        for p in parts[1:]:
+            if p and held and not p[0].isspace() and not held[-1].isspace():
+                out.append(held)
+                held = p
+            else:
+                held = f"{held} {p}"
+        parts = [*out, held]
+    parts[0] = f" {parts[0]}"
+    return parts
 
 
 _words: dict[str, Words] = {}
