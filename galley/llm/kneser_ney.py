@@ -31,6 +31,8 @@ BOS, EOS, OTHER = "\x02", "\x03", "�"
 QUANTILE, MARGIN, ENOUGH = 0.99, 1.25, 30
 #: Rows of the n-gram table that are sent whole; distinct words that a task holds before it counts their n-grams.
 SENT_ROWS, HELD_WORDS = 4_000_000, 400_000
+#: Words whose scores a worker remembers.
+HELD_SCORES = 1_000_000
 U = np.uint64
 
 
@@ -145,7 +147,7 @@ def _points(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordScores(dict):
-    """(sum of log probabilities, characters predicted) by word; it forgets all beyond a bound."""
+    """Sum of log probabilities by word; it forgets all beyond a bound."""
 
     def __init__(self, keys: np.ndarray, logp: np.ndarray, order: int):
         self.keys, self.logp, self.order = keys, logp, order
@@ -156,20 +158,17 @@ class WordScores(dict):
             h, word = _points(texts, self.order)
             k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             total = np.bincount(word, weights=self.logp[k], minlength=len(texts))
-            self.update(zip(words[lo : lo + 20_000], zip(total.tolist(), [len(t) - 1 for t in texts], strict=True), strict=True))
+            self.update(zip(words[lo : lo + 20_000], total.tolist(), strict=True))
 
     def of(self, texts: list[str]) -> list[tuple[float, int]]:
-        if len(self) > 600_000:
+        """(sum of log probabilities, characters predicted) of each text; a word predicts its characters and its end."""
+        if len(self) > HELD_SCORES:
             self.clear()
         cut = [t.split() for t in texts]
-        new = {w for ws in cut for w in ws if w not in self}
+        new = set().union(*cut).difference(self)
         if new:
             self.learn(list(new))
-        out = []
-        for ws in cut:
-            got = [self[w] for w in ws]
-            out.append((sum(x[0] for x in got), sum(x[1] for x in got)))
-        return out
+        return [(sum(map(self.__getitem__, ws)), sum(map(len, ws)) + len(ws)) for ws in cut]
 
 
 def _hashed(probabilities: DataFrame, order: int) -> DataFrame:
