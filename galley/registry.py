@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from galley.operators import alignment, calibration, findings, layout_lines, scoring, sections, states, text
+from galley.operators import alignment, amounts, answers, calibration, findings, layout_lines, scoring, sections, states, text
+from galley.sources import ingest
+from galley.streaming import pass_stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (layout_lines, scoring, calibration, states, sections, alignment, text, findings):
+for _module in (layout_lines, scoring, calibration, states, sections, alignment, text, findings, amounts, answers, ingest, pass_stats):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
