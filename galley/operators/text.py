@@ -133,7 +133,7 @@ def strip_html(c: Column) -> Column:
     c = F.regexp_replace(c, r"<[^>]*>", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:

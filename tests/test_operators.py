@@ -133,3 +133,20 @@ def test_stream(spark, tmp_path):
     pass_stats.append_to(rows, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 and got.agg(F.sum("n")).first()[0] == 6  # the last window is still open
+
+
+def test_visual_lines(spark):
+    from galley.operators import documents
+
+    items = [("Net", 0, 100, 20), (" ", 20, 100, 4), ("sales", 24, 100, 30), ("sales", 25, 100, 30), ("100", 80, 101, 20), ("Second line", 0, 80, 60), ("", 0, 60, 5)]
+    df = spark.createDataFrame([(1, 1, s, float(x), float(y), float(w), 10.0) for s, x, y, w in items], "doc_id long, page long, str string, x double, y double, width double, height double")
+    assert [r["text"] for r in documents.visual_lines(df).orderBy("line").collect()] == ["Net sales 100", "Second line"]
+    assert documents.visual_lines(df.where("false")).count() == 0
+
+
+def test_bind_source_only_unique_and_whole_numbers(spark):
+    from galley.operators import documents
+
+    rows = spark.createDataFrame([(1, 1, 1, "sales 1,234 up"), (1, 2, 2, "sales 234 up"), (1, 3, 3, "sales 234 again")], "doc_id long, page int, row int, text string")
+    f = spark.createDataFrame([(1, 1, 2, "234"), (2, 1, 9, "1,234"), (3, 1, 9, "234"), (4, 1, 1, None)], "id long, doc_id long, page int, quote string")
+    assert {r["id"]: r["row"] for r in documents.bind_source(f, rows).collect()} == {1: 2, 2: 1, 3: None, 4: None}
