@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.llm.common import freeing
+
 BLOCK = 1 << 20
 OPEN, CLOSE = "### ", "</turn>"
 _special = re.compile(r"\\|###|</turn>")
@@ -160,7 +162,7 @@ def format_conversations(turns: DataFrame, path: str, keep_text: bool = True) ->
 
     tidy = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn"))
     ordered = tidy.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, FORMATTED)
+    return ordered.select("conv_id", "role", "text").mapInArrow(freeing(run), FORMATTED)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

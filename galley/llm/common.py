@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -69,9 +72,16 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.count() * row_bytes <= limit
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives its free memory back: it is used again by the tasks of later stages, next to their own needs."""
 
-
-def batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy

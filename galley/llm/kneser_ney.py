@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, small, text_or_empty
+from galley.llm.common import Scratch, freeing, small, text_or_empty
 
 ORDER = 5
 BOS, EOS, OTHER = "\x02", "\x03", "�"
 #: Quantile of trusted perplexities by language and the factor on it; trusted documents that a language needs for its own.
 QUANTILE, MARGIN, ENOUGH = 0.99, 1.25, 30
 #: Rows of the n-gram table that are sent whole; distinct words that a task holds before it counts their n-grams.
-SENT_ROWS, HELD_WORDS = 4_000_000, 400_000
+SENT_ROWS, HELD_WORDS = 4_000_000, 250_000
 #: Words whose scores a worker remembers.
-HELD_SCORES = 1_000_000
+HELD_SCORES = 400_000
 U = np.uint64
 
 
@@ -71,7 +71,7 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         if words or seen:
             yield made()
 
-    return docs.select("text", "trusted").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "trusted").mapInArrow(freeing(run), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: list[int]) -> tuple[float, float, float]:
@@ -180,7 +180,7 @@ def _hashed(probabilities: DataFrame, order: int) -> DataFrame:
                 points[row, order - len(g) :] = [ord(c) for c in g]
             yield pa.RecordBatch.from_arrays([pa.array(gram_hash(points).view(np.int64)), b.column(1)], ["h", "logp"])
 
-    return probabilities.mapInArrow(run, "h long, logp double")
+    return probabilities.mapInArrow(freeing(run), "h long, logp double")
 
 
 def perplexities(docs: DataFrame, probabilities: DataFrame, scratch: Scratch, order: int = ORDER, sent_rows: int = SENT_ROWS) -> DataFrame:
@@ -201,7 +201,7 @@ def perplexities(docs: DataFrame, probabilities: DataFrame, scratch: Scratch, or
                     got = scores.of(some.column(3).to_pylist())
                     yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())], names)
 
-        scored = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(run, schema)
+        scored = docs.select("doc_id", "lang", "trusted", "text").mapInArrow(freeing(run), schema)
     else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def perplexities(docs: DataFrame, probabilities: DataFrame, scratch: Scratch, or
                         yield pa.RecordBatch.from_arrays([pa.array([row] * len(one), pa.int64()), pa.array(one.view(np.int64)), pa.array(n)], ["rid", "h", "n"])
 
         kept = scratch.write(docs.select("doc_id", "lang", "trusted", "text").withColumn("rid", F.monotonically_increasing_id()), "numbered")
-        sums = kept.select("rid", "text").mapInArrow(run, "rid long, h long, n long").join(table, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("chars"))
+        sums = kept.select("rid", "text").mapInArrow(freeing(run), "rid long, h long, n long").join(table, "h").groupBy("rid").agg(F.sum(F.col("n") * F.col("logp")).alias("total"), F.sum("n").alias("chars"))
         scored = kept.drop("text").join(sums, "rid", "left").select("doc_id", "lang", "trusted", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("chars", F.lit(0)).alias("chars"))
     perplexity = F.when(F.col("chars") > 0, F.exp(-F.col("total") / F.col("chars")))
     return scored.select("doc_id", "lang", "trusted", "chars", perplexity.alias("perplexity"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, text_or_empty
+from galley.llm.common import Scratch, freeing, text_or_empty
 
 #: Public licence notices, by SPDX identifier.
 TEMPLATES = (
@@ -100,7 +100,7 @@ def line_frequencies(files: DataFrame, templates: Templates) -> Templates:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n)), pa.array(np.concatenate([[lines], total]))], ["word", "n"])
 
     frequencies, lines = np.zeros(n), 0
-    for row in files.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+    for row in files.select("text").mapInArrow(freeing(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
         if row["word"] < 0:
             lines = row["n"]
         else:
@@ -135,7 +135,7 @@ def notices(files: DataFrame, templates: Templates, cosine: float = COSINE) -> D
             out = [look(text.as_py(), sent.value) for text in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types[2:], strict=True))], [x.split()[0] for x in NOTICES.split(", ")]) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], [x.split()[0] for x in NOTICES.split(", ")])
 
-    return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), text_or_empty()).mapInArrow(run, NOTICES)
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), text_or_empty()).mapInArrow(freeing(run), NOTICES)
 
 
 def directory(path: Column) -> Column:

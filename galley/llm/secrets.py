@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import text_or_empty
+from galley.llm.common import freeing, text_or_empty
 
 #: The base patterns; a match counts from so many characters on (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -211,7 +211,7 @@ def find_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in SCANNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(freeing(run), SCANNED)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

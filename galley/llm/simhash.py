@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, ascii_lower, small, text_or_empty
+from galley.llm.common import Scratch, ascii_lower, freeing, small, text_or_empty
 from galley.llm.components import connected_components
 from galley.llm.golay import near_indices
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=U).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(freeing(run), "doc_id long, fp long")
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +161,8 @@ def golay_links(fps: DataFrame) -> DataFrame:
             a, b = bucket_links(keys, own)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    keyed = fps.select("fp").mapInArrow(spread, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(link, "a long, b long")
+    keyed = fps.select("fp").mapInArrow(freeing(spread), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(freeing(link), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -255,8 +255,8 @@ def near_candidates(docs: DataFrame) -> DataFrame:
             rows = np.flatnonzero((at >= 0) & (rid != rid[at]))
             yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(rid[at[rows]])], ["a", "b"])
 
-    keyed = docs.select(_row_key(), text_or_empty()).mapInArrow(spread, "key long, p long, q long, r long, rid long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "p", "q", "r", "rid").mapInArrow(nearest, "a long, b long")
+    keyed = docs.select(_row_key(), text_or_empty()).mapInArrow(freeing(spread), "key long, p long, q long, r long, rid long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key", "p", "q", "r", "rid").mapInArrow(freeing(nearest), "a long, b long")
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -281,10 +281,10 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     side = F.broadcast(wanted) if small(wanted, 16) else wanted
     texts = docs.select(_row_key(), text_or_empty()).join(side, "rid", "left_semi").dropDuplicates(["rid"])
-    sets = scratch.write(texts.select("rid", "text").mapInArrow(shingles, "rid long, s binary"), "sets")
+    sets = scratch.write(texts.select("rid", "text").mapInArrow(freeing(shingles), "rid long, s binary"), "sets")
     left = pairs.join(sets.withColumnRenamed("rid", "a"), "a")
     both = left.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
-    return connected_components(both.mapInArrow(similar, "a long, b long"), scratch).select(F.col("node").alias("rid"), "root")
+    return connected_components(both.mapInArrow(freeing(similar), "a long, b long"), scratch).select(F.col("node").alias("rid"), "root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
