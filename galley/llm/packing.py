@@ -20,14 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, text_or_empty
+from galley.llm.common import Scratch, freeing, text_or_empty
 
 LIMIT, END = 1024, 2
 #: Chunks that a worker remembers with their ids; it forgets all of them beyond this. Longer ones are not remembered.
-MEMO, LONGEST = 1_300_000, 64
+MEMO, LONGEST = 1_000_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others, in order, from U+0100 on.
+BYTES = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in BYTES)}
+SPACE = BYTES[32]
+
+
+def is_word(key: str) -> bool:
+    """Letters only, of the scripts below U+0250, on which all versions of Unicode agree: the pattern never cuts within them."""
+    return key.isalpha() and (key.isascii() or max(key) < "\u0250")
+
+
 class Words(dict):
     """Ids (little-endian uint32 bytes) by chunk of text. A text is cut at single spaces between non-spaces, where the
     byte-level pattern always starts a new word, so the chunks' ids in order are the text's ids.
@@ -40,6 +51,7 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer(self.tokenizer.model)  # the merges alone, for what is one word in any case
         self.marks = {m: self.ids([m])[0] for m in ".,"}
 
     def ids(self, chunks: list[str]) -> list[bytes]:
@@ -47,9 +59,13 @@ class Words(dict):
 
     def learn(self, keys: set[str]) -> dict[str, bytes]:
         """The ids of new keys; a word with a full stop or comma is that of the word and of the mark. Long ones are not remembered."""
-        marked = [k for k in keys if k[-1:] in self.marks and k[:-1].isalpha()]
-        plain = [k for k in keys.difference(marked).union(k[:-1] for k in marked) if k not in self]
-        new = dict(zip(plain, self.ids([k[1:] if k[0] == " " else f" {k}" for k in plain]), strict=True))
+        marked = [k for k in keys if k[-1:] in self.marks and is_word(k[:-1])]
+        lack = [k for k in keys.difference(marked).union(k[:-1] for k in marked) if k not in self]
+        whole = [k for k in lack if is_word(k)]
+        rest = [k for k in lack if not is_word(k)]
+        new = dict(zip(rest, self.ids([k[1:] if k[0] == " " else f" {k}" for k in rest]), strict=True))
+        made = self.model.encode_batch_fast([f"{SPACE}{k}" if k.isascii() else f" {k}".encode().decode("latin-1").translate(BYTES) for k in whole], add_special_tokens=False)
+        new.update(zip(whole, (np.array(e.ids, dtype="<u4").tobytes() for e in made), strict=True))
         for k in marked:
             new[k] = (new.get(k[:-1]) or self[k[:-1]]) + self.marks[k[-1]]
         self.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
@@ -124,7 +140,7 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
                         ranks[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(freeing(run), PIECES)
 
 
 def fullest(counts: np.ndarray, limit: int) -> list[int]:
