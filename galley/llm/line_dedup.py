@@ -2,8 +2,9 @@
 
 Each line is two 64-bit hashes; its sites are a HyperLogLog sketch per hash, built per task and merged by aggregation.
 A line that occurs on fewer rows than the threshold cannot be on that many sites, so only the others are sketched.
-Where the estimate is near the threshold, the sites are counted exactly. Texts move once, in the join that takes the
-boilerplate out; a line that a third of the rows share adds one row to its groups per task.
+Where the estimate is near the threshold, the sites are counted exactly. A document's boilerplate, as hashes, is sent to
+the texts if all of it is small, which is measured first; else texts move once, in that join. A line that a third of
+the rows share adds one row to its groups per task.
 
 Nulls: a null text is empty and a null source is a site of its own. Empty lines are never boilerplate. A row with a
 null doc_id is cleaned like any other. Rows that share a doc_id are each cleaned. An empty table gives no rows. Columns
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, small, text_or_empty
+from galley.llm.common import BROADCAST_BYTES, Scratch, small, text_or_empty
 
 #: Sites from which a line counts as boilerplate; log2 of the sketch's registers; estimates within this share of SITES are counted.
 SITES, LOG_K, NEAR = 10, 12, 0.25
@@ -48,7 +49,9 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "line-dedup")
     tidy = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty())
     hits = scratch.write(spread_lines(tidy, scratch, sites).groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "hits")
-    joined = tidy.join(hits.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    sent = hits.agg(F.coalesce(F.sum(F.size("keys") * 16 + 64), F.lit(0)).alias("bytes")).first()["bytes"] <= BROADCAST_BYTES
+    keys = hits.withColumnRenamed("doc_id", "__id")
+    joined = tidy.join(F.broadcast(keys) if sent else keys, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("keys", _key(x)), F.lit(False))))
     out = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
