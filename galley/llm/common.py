@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset (local mode, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one in local mode (tests), and an error on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = os.path.join(tempfile.gettempdir(), "galley-shared")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/galley"
