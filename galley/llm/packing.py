@@ -121,8 +121,11 @@ def pieces_of(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n, limit)] if n > limit else [(0, n)]
 
 
-def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """A row per piece, with its rank among the pieces of equal length that the same task has made (part)."""
+def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT, keep_memo: bool = True) -> DataFrame:
+    """A row per piece, with its rank among the pieces of equal length that the same task has made (part).
+
+    A worker keeps its memo for its next task, unless keep_memo is false: then the memory is free for other stages.
+    """
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +142,8 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
                         rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(ranks[length])))
                         ranks[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        if not keep_memo:
+            memo.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(freeing(run), PIECES)
 
@@ -199,11 +204,11 @@ def places(plan: list[tuple[list[int], int]], limit: int = LIMIT) -> dict[int, t
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for x, rows in out.items()}
 
 
-def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT, keep_memo: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.write(tokenised_pieces(docs, path, limit), "pieces")
+    pieces = scratch.write(tokenised_pieces(docs, path, limit, keep_memo), "pieces")
     per_task = scratch.write(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "per-task")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
