@@ -112,8 +112,8 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int = 2) -> tuple[
     return fps[moved], fps[low[moved]]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """Sorted batches as whole runs of equal first column; a run over TASK comes in parts, marked True."""
+def _runs(batches: Iterator[pa.RecordBatch], columns: int, limit: float | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Sorted batches as whole runs of equal first column; a run over the limit (TASK) comes in parts, marked True."""
     held, hot = None, None
     for b in batches:
         now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(columns)]
@@ -132,7 +132,7 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[boo
         if cut:
             yield False, [c[:cut] for c in held]
             held = [c[cut:] for c in held]
-        if len(held[0]) > TASK:
+        if len(held[0]) > (TASK if limit is None else limit):
             hot = held[0][-1]
             yield True, held
             held = None
@@ -186,7 +186,10 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WIDE, TOLERANCE = 5, 28
 SHINGLE, SIMILAR, BAND = 5, 0.8, 1.25
-WINDOW = 256
+#: Members of a bucket that a task compares; larger buckets are dealt over tasks so that every two members meet in one.
+TILE = 16_384
+#: Pairs a member up to which a bucket gives all of them at once; beyond, those of verified groups are left out (see near_groups).
+DENSE = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -223,47 +226,156 @@ def _row_key():
     return F.xxhash64(F.col("doc_id").cast("string"), ascii_lower(text_or_empty())).alias("rid")
 
 
-def near_candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of row keys that may be similar: each member of a Golay bucket with its nearest neighbour before it."""
+def wide_prints(docs: DataFrame) -> DataFrame:
+    """rid, p, q, r, size: the fingerprint in words of two segments, and the number of shingles. One row a row key."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid = b.column(0).to_numpy(zero_copy_only=False)
-            prints, sizes = np.zeros((len(rid), WIDE), dtype=np.int64), np.ones(len(rid))
+            prints, sizes = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64)
             for k, t in enumerate(b.column(1)):
                 hashes = word_hashes(t.as_py())
                 prints[k], sizes[k] = wide_fingerprint(hashes), max(1, len(shingle_hashes(hashes)))
-            band = np.floor(np.log(sizes) / np.log(BAND)).astype(np.int64)
-            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4]]
-            for s in range(WIDE):
-                near = near_indices(prints[:, s])
-                row, which = np.nonzero(near >= 0)
-                for up in (0, 1):  # sizes within a factor of 0.8 are in the same band or the next
-                    key = (s << 24) | ((band[row] + up) << 12) | near[row, which]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, wide[0][row], wide[1][row], wide[2][row], rid[row])], ["key", "p", "q", "r", "rid"])
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (key, p, q, r, rid) in _runs(batches, 5):
-            best, at = np.full(len(key), TOLERANCE + 1), np.full(len(key), -1)
+            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, wide)], ["rid", "p", "q", "r", "size"])
+
+    return docs.select(_row_key(), text_or_empty()).mapInArrow(freeing(run), "rid long, p long, q long, r long, size long").dropDuplicates(["rid"])
+
+
+def wide_keys(p: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row) of fingerprints: segment, band of sizes, codeword. Sizes within a factor of 0.8 are in the same band or the next."""
+    band = np.floor(np.log(size) / np.log(BAND)).astype(np.int64)
+    low, keys, rows = (1 << 23) - 1, [], []
+    for s, part in enumerate((p & low, p >> 23, q & low, q >> 23, r)):
+        near = near_indices(part)
+        row, which = np.nonzero(near >= 0)
+        for up in (0, 1):
+            keys.append((s << 24) | ((band[row] + up) << 12) | near[row, which])
+            rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def bucket_tiles(prints: DataFrame) -> dict[int, int]:
+    """Groups into which the members of each bucket over TILE are dealt; there are at most as many such buckets as keyed rows / TILE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, n = np.unique(wide_keys(*(b.column(k).to_numpy() for k in range(4)))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    counts = prints.select("p", "q", "r", "size").mapInArrow(freeing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return {row["key"]: -(-2 * row["n"] // TILE) for row in counts.where(F.col("n") > TILE).toLocalIterator()}
+
+
+def near_buckets(prints: DataFrame, tiles: dict[int, int], only: DataFrame | None = None) -> DataFrame:
+    """key (one of only, if given) and the columns of prints, sorted by key: under a key are rows that are to be compared, each with each."""
+    columns = prints.columns
+    sent = prints.sparkSession.sparkContext.broadcast(tiles)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.array(sorted(sent.value), dtype=np.int64)
+        groups = np.array([sent.value[k] for k in hot.tolist()], dtype=np.int64)
+        for b in batches:
+            every = {c: b.column(k).to_numpy() for k, c in enumerate(columns)}
+            keys, rows = wide_keys(every["p"], every["q"], every["r"], every["size"])
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                large = hot[at] == keys
+                made = [(keys[~large], rows[~large])]
+                for g in np.unique(groups[at[large]]).tolist():
+                    k, row = keys[large][groups[at[large]] == g], rows[large][groups[at[large]] == g]
+                    mine = (_mix(every["rid"][row].view(U)) % U(g)).astype(np.int64)
+                    for other in range(g):  # a tile for every two groups
+                        to = mine != other
+                        made.append((k[to] | np.minimum(mine, other)[to] << 28 | np.maximum(mine, other)[to] << 45, row[to]))
+                keys, rows = (np.concatenate(x) for x in zip(*made, strict=True))
+            for lo in range(0, len(keys), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), *(pa.array(every[c][rows[lo : lo + (1 << 18)]]) for c in columns)], ["key", *columns])
+
+    keyed = prints.mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *columns]))
+    if only is not None:
+        keyed = keyed.join(F.broadcast(only) if small(only, 16) else only, "key", "left_semi")
+    return keyed.repartition("key").sortWithinPartitions("key")
+
+
+def _close(i: slice, j: slice, p: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits in which the rows i and j differ; over TOLERANCE where sizes alone rule the similarity out."""
+    apart = np.bitwise_count(p[i, None] ^ p[None, j]) + np.bitwise_count(q[i, None] ^ q[None, j]) + np.bitwise_count(r[i, None] ^ r[None, j])
+    fits = np.minimum(size[i, None], size[None, j]) >= SIMILAR * np.maximum(size[i, None], size[None, j])
+    return np.where(fits, apart, 255)
+
+
+def near_candidates(buckets: DataFrame) -> DataFrame:
+    """(a, b, key): pairs of row keys within TOLERANCE, all those of a bucket (key null). Of a bucket with over DENSE pairs a
+    member, only each member's nearest and the one with most neighbours, and a row (key) to say that others are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, p, q, r, size, rid) in _runs(batches, 6, float("inf")):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            longest = int(np.diff(np.r_[start, len(key)]).max())
-            for off in range(1, min(longest, WINDOW)):
-                rows = np.flatnonzero(key[off:] == key[:-off])
-                apart = np.bitwise_count(p[rows + off] ^ p[rows]) + np.bitwise_count(q[rows + off] ^ q[rows]) + np.bitwise_count(r[rows + off] ^ r[rows])
-                better = apart < best[rows + off]
-                best[rows[better] + off], at[rows[better] + off] = apart[better], rows[better]
-            rows = np.flatnonzero((at >= 0) & (rid != rid[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[rows]), pa.array(rid[at[rows]])], ["a", "b"])
+            length = np.diff(np.r_[start, len(key)])
+            left, right, marks = [], [], []
+            few = np.flatnonzero(np.repeat((length > 1) & (length <= EACH), length))
+            for off in range(1, int(length[length <= EACH].max(initial=1))):
+                i, j = few[:-off], few[off:]
+                same = key[i] == key[j]
+                i, j = i[same], j[same]
+                apart = np.bitwise_count(p[i] ^ p[j]) + np.bitwise_count(q[i] ^ q[j]) + np.bitwise_count(r[i] ^ r[j])
+                hit = (apart <= TOLERANCE) & (np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]))
+                left.append(i[hit])
+                right.append(j[hit])
+            for s, n in zip(start[length > EACH].tolist(), length[length > EACH].tolist(), strict=True):
+                blocks = [(slice(lo, min(lo + 256, s + n)), np.arange(lo, min(lo + 256, s + n))) for lo in range(s, s + n, 256)]
+                degree, nearest, pairs, found = np.zeros(n, dtype=np.int64), np.full(n, -1), [], 0
+                for rows, at in blocks:
+                    apart = _close(rows, slice(s, s + n), p, q, r, size)
+                    apart[at - rows.start, at - s] = 255
+                    within = apart <= TOLERANCE
+                    degree[at - s] = within.sum(axis=1)
+                    nearest[at - s] = np.where(degree[at - s] > 0, apart.argmin(axis=1) + s, -1)
+                    found += int(degree[at - s].sum())
+                    if found <= 2 * DENSE * n:
+                        pairs.append(np.argwhere(within) + [rows.start, s])
+                if found <= 2 * DENSE * n:
+                    i, j = np.concatenate(pairs).T
+                    left.append(i[i < j])
+                    right.append(j[i < j])
+                    continue
+                marks.append(key[s])
+                i = np.flatnonzero(nearest >= 0)
+                left.append(i + s)
+                right.append(nearest[i])
+                for rows, at in blocks:
+                    hub = np.where(_close(rows, slice(s, s + n), p, q, r, size) <= TOLERANCE, degree[None, :], -1).argmax(axis=1) + s
+                    left.append(at)
+                    right.append(hub)
+            i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+            i, j = i[rid[i] != rid[j]], j[rid[i] != rid[j]]
+            a, b = (f(rid[i], rid[j]) for f in (np.maximum, np.minimum))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int64()), pa.array(marks, pa.int64())], ["a", "b", "key"])
+
+    return buckets.select("key", "p", "q", "r", "size", "rid").mapInArrow(freeing(run), "a long, b long, key long").distinct()
+
+
+def left_candidates(buckets: DataFrame) -> DataFrame:
+    """(a, b): all pairs within TOLERANCE of the buckets whose rows have different roots (column root)."""
 
-    keyed = docs.select(_row_key(), text_or_empty()).mapInArrow(freeing(spread), "key long, p long, q long, r long, rid long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key", "p", "q", "r", "rid").mapInArrow(freeing(nearest), "a long, b long")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, p, q, r, size, rid, root) in _runs(batches, 7, float("inf")):
+            ends = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                for lo in range(s, e, 256):
+                    rows = slice(lo, min(lo + 256, e))
+                    hit = (_close(rows, slice(lo, e), p, q, r, size) <= TOLERANCE) & (root[rows, None] != root[None, lo:e])
+                    i, j = np.argwhere(np.triu(hit)).T + lo
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rid[i], rid[j])), pa.array(np.minimum(rid[i], rid[j]))], ["a", "b"])
 
+    return buckets.select("key", "p", "q", "r", "size", "rid", "root").mapInArrow(freeing(run), "a long, b long").distinct()
 
-def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, root) of the rows that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more."""
-    pairs = scratch.write(near_candidates(docs), "pairs")
-    wanted = scratch.write(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), "wanted")
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) at a Jaccard similarity of 0.8 or more over five-word shingles."""
+    wanted = scratch.write(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), f"wanted-{name}")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,10 +393,29 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     side = F.broadcast(wanted) if small(wanted, 16) else wanted
     texts = docs.select(_row_key(), text_or_empty()).join(side, "rid", "left_semi").dropDuplicates(["rid"])
-    sets = scratch.write(texts.select("rid", "text").mapInArrow(freeing(shingles), "rid long, s binary"), "sets")
+    sets = scratch.write(texts.select("rid", "text").mapInArrow(freeing(shingles), "rid long, s binary"), f"sets-{name}")
     left = pairs.join(sets.withColumnRenamed("rid", "a"), "a")
     both = left.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
-    return connected_components(both.mapInArrow(freeing(similar), "a long, b long"), scratch).select(F.col("node").alias("rid"), "root")
+    return scratch.write(both.mapInArrow(freeing(similar), "a long, b long"), f"similar-{name}")
+
+
+def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, root) of the rows that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    Every pair of a bucket within TOLERANCE is verified, unless its rows are in one group already: first all pairs of most
+    buckets and a linear number from those full of neighbours, then of the latter what the groups so found don't join.
+    """
+    prints = scratch.write(wide_prints(docs), "prints")
+    tiles = bucket_tiles(prints)
+    found = scratch.write(near_candidates(near_buckets(prints, tiles)), "pairs")
+    links = similar_pairs(docs, found.where("key is null").select("a", "b"), scratch, "first")
+    full = found.where("key is not null").select("key")
+    roots = scratch.write(connected_components(links, scratch).select(F.col("node").alias("rid"), "root"), "roots")
+    if full.isEmpty():
+        return roots
+    rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
+    more = similar_pairs(docs, scratch.write(left_candidates(near_buckets(rooted, tiles, full)), "left"), scratch, "left")
+    return connected_components(links.union(more), scratch).select(F.col("node").alias("rid"), "root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

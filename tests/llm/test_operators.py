@@ -157,6 +157,21 @@ def test_near_duplicates(spark):
     assert {2 * k for k in range(40)} <= set(stay) and {500 + k for k in range(60)} <= set(stay)
 
 
+@pytest.mark.parametrize(("each", "tile", "dense"), [(64, 16_384, 4), (4, 16_384, 4), (4, 16_384, 0), (4, 16, 4), (4, 16, 0)])
+def test_near_duplicates_among_rows_with_the_same_words(spark, monkeypatch, each, tile, dense):
+    # fingerprints are those of the words, so texts in another order are as near as the copy, and nearer than it in the bucket
+    monkeypatch.setattr(simhash, "EACH", each)
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    r = np.random.default_rng(7)
+    base = [f"w{k}" for k in range(200)]
+    near = [*base[:100], "changed", *base[101:]]
+    rows = [(0, " ".join(base), "en", "s"), (1, " ".join(near), "en", "s")]
+    rows += [(k, " ".join(r.permutation(base if k % 2 else near)), "en", "s") for k in range(10, 50)]
+    stay = {x["doc_id"] for x in simhash.without_near_duplicates(docs(spark, rows)).collect()}
+    assert stay == {0, *range(10, 50)}
+
+
 def conversation(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
