@@ -351,6 +351,25 @@ def test_decontamination(spark):
     assert decontamination.without_leaks(docs(spark, rows), bench).columns == docs(spark, rows).columns
 
 
+@pytest.mark.parametrize("documents", [100, 10_000, 100_000_000])
+@pytest.mark.parametrize("length", [8, 15, 40, 450, 1000, 2500])
+def test_leaks_are_found_at_any_item_length_and_table_size(length, documents):
+    r = np.random.default_rng(length)
+    words = [f"w{k}" for k in range(3000)]
+    text = lambda n: " ".join(r.choice(words, n))
+    item = text(length)
+    index = decontamination.Index([(1, item), (2, text(length))], None, documents)
+    index = decontamination.Index([(1, item), (2, text(length))], np.full(len(index.vocabulary), documents / 20), documents, index.vocabulary)
+    index.set_basis(np.eye(len(index.vocabulary)))
+    for k in range(10):
+        other = " ".join(f"x{x}" for x in r.integers(0, 10**6, 40 + k))
+        changed = item.split()
+        for x in r.choice(length, length // 6, replace=False):
+            changed[x] = "other"
+        for leak in (item, " ".join(changed)):
+            assert 1 in [x[0] for x in index.links(f"{other} {leak} {other}")]
+
+
 def test_common_subsequence():
     r = np.random.default_rng(6)
     for _ in range(50):
