@@ -370,6 +370,18 @@ def test_leaks_are_found_at_any_item_length_and_table_size(length, documents):
             assert 1 in [x[0] for x in index.links(f"{other} {leak} {other}")]
 
 
+def test_a_leak_beside_a_longer_repeat_without_the_answer():
+    question, answer = [f"q{k}" for k in range(29)] + ["end."], [f"a{k}" for k in range(10)]
+    index = decontamination.Index([(1, " ".join(question + answer))])
+    index.set_basis(np.eye(len(index.vocabulary)))
+    far = [f"x{k}" for k in range(400)]
+    without, leak = question[:29], question[:16] + answer
+    assert not index.links(" ".join(without + far))
+    assert [x[0] for x in index.links(" ".join(leak + far))] == [1]
+    (link,) = index.links(" ".join(without + far + leak))
+    assert link[0] == 1 and link[2] == 26 / 40 and link[3] == 1
+
+
 def test_common_subsequence():
     r = np.random.default_rng(6)
     for _ in range(50):
