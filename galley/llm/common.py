@@ -12,7 +12,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +90,19 @@ def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
                 ctypes.CDLL(None).malloc_trim(0)
 
     return tidy
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `size` bytes of text each, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with a number after it if a column has it already."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n not in taken)

@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences by minimum bin slack.
 
-Documents are tokenised once (Arrow batches, a bounded memo of words); the histogram of piece lengths, at most 1024
-numbers however large the corpus is, is all that the packing has to see. For each bin, a bitset subset-sum dynamic
+Documents are tokenised once, in Arrow batches. The histogram of piece lengths, at most 1024 numbers however large the
+corpus is, is all that the packing has to see. For each bin, a bitset subset-sum dynamic
 programme over the lengths that are left finds the fullest combination; it is then used as often as the supply allows,
 so the plan has some thousand patterns at most. Pieces find their place by their rank among pieces of equal length.
 
@@ -11,108 +11,109 @@ rows are packed as often as they occur. An empty table gives no rows. Other colu
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, freeing, text_or_empty
+from galley.llm.common import Scratch, freeing, slices, small, text_or_empty
 
 LIMIT, END = 1024, 2
-#: Chunks that a worker remembers with their ids; it forgets all of them beyond this. Longer ones are not remembered.
-MEMO, LONGEST = 1_000_000, 64
+#: Bytes of the texts that are cut up at a time, and chunks whose ids are put together at a time.
+SLICE, CHUNKS = 1 << 24, 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
+#: The pattern of byte-level vocabularies, and white space of all versions of Unicode.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WHITE = r"[\s\v\x1c-\x1f\x85\p{Z}]"
+#: Chunks that are empty or have white space at an end: the single space beside them does not start a new word.
+ODD = rf"^$|^{WHITE}|{WHITE}\z"
+#: Chunks of the scripts below U+0250, on whose letters and digits all versions of Unicode agree.
+AGREED = r"^[\x00-\x{24F}]*\z"
 
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others, in order, from U+0100 on.
 BYTES = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
 BYTES |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in BYTES)}
-SPACE = BYTES[32]
 
 
-def is_word(key: str) -> bool:
-    """Letters only, of the scripts below U+0250, on which all versions of Unicode agree: the pattern never cuts within them."""
-    return key.isalpha() and (key.isascii() or max(key) < "\u0250")
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths, dtype=np.int64)
 
 
-class Words(dict):
-    """Ids (little-endian uint32 bytes) by chunk of text. A text is cut at single spaces between non-spaces, where the
-    byte-level pattern always starts a new word, so the chunks' ids in order are the text's ids.
+class Ids:
+    """Token ids of texts. A text is cut at single spaces between non-spaces, where the byte-level pattern always starts a
+    new word, so the chunks' ids in order are the text's ids. Arrow cuts a slice of texts and finds its distinct chunks;
+    only these are encoded, and the ids of all chunks are then gathered.
 
-    A key is a chunk without the space before it; the first chunk of a text, which has none, is kept under a space and itself.
+    The distinct chunks with letters of the old scripts are one text, joined by spaces, for an encoder built from the same
+    vocabulary, which gives their ids as one array; the bytes that each id stands for tell where a chunk ends in it. All
+    other chunks, and those with a special token, are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = Tokenizer(self.tokenizer.model)  # the merges alone, for what is one word in any case
-        self.marks = {m: self.ids([m])[0] for m in ".,"}
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def learn(self, keys: set[str]) -> dict[str, bytes]:
-        """The ids of new keys; a word with a full stop or comma is that of the word and of the mark. Long ones are not remembered."""
-        marked = [k for k in keys if k[-1:] in self.marks and is_word(k[:-1])]
-        lack = [k for k in keys.difference(marked).union(k[:-1] for k in marked) if k not in self]
-        whole = [k for k in lack if is_word(k)]
-        rest = [k for k in lack if not is_word(k)]
-        new = dict(zip(rest, self.ids([k[1:] if k[0] == " " else f" {k}" for k in rest]), strict=True))
-        made = self.model.encode_batch_fast([f"{SPACE}{k}" if k.isascii() else f" {k}".encode().decode("latin-1").translate(BYTES) for k in whole], add_special_tokens=False)
-        new.update(zip(whole, (np.array(e.ids, dtype="<u4").tobytes() for e in made), strict=True))
-        for k in marked:
-            new[k] = (new.get(k[:-1]) or self[k[:-1]]) + self.marks[k[-1]]
-        self.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        return new
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > MEMO:
-            self.clear()
-        cut, lack = [], set()
-        for text in texts:
-            keys = keys_of(text)
-            got = list(map(self.get, keys))
-            if None in got:
-                lack.update(k for k, g in zip(keys, got, strict=True) if g is None)
-            cut.append((keys, got))
-        new = self.learn(lack) if lack else {}
-        return [b"".join(got) if None not in got else b"".join([new[k] if g is None else g for k, g in zip(keys, got, strict=True)]) for keys, got in cut]
-
-
-_close = re.compile(r"\s | \s")
-
-
-def keys_of(text: str) -> list[str]:
-    """The keys of a text's chunks. Other white space next to a space forbids the cut there."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if parts[0] == "" or parts[-1] == "" or _close.search(text):
-        out, held = [], parts[0]
-        for p in parts[1:]:
-            if p and held and not p[0].isspace() and not held[-1].isspace():
-                out.append(held)
-                held = p
-            else:
-                held = f"{held} {p}"
-        parts = [*out, held]
-    parts[0] = f" {parts[0]}"
-    return parts
-
-
-_words: dict[str, Words] = {}
-
-
-def words(path: str) -> Words:
-    if path not in _words:
-        _words[path] = Words(path)
-    return _words[path]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        byte = {c: b for b, c in BYTES.items()}
+        ranks = {bytes(byte[c] for c in t): k for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special}
+        self.encoder = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.bytes[list(ranks.values())] = list(map(len, ranks))
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts in order, number of each text's ids) by the tokenizer's plain call."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return np.fromiter((x for ids in got for x in ids), dtype="<u4", count=int(lengths.sum())), lengths
+
+    def spaced(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each chunk's ids) of chunks with a space before each."""
+        if not len(chunks):
+            return self.plain([])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), " ")[0].as_py()
+        ids = self.encoder.encode_to_numpy(f" {joined}", disallowed_special=()).astype("<u4")
+        at = np.searchsorted(_ends(self.bytes[ids]), _ends(pc.binary_length(chunks).to_numpy() + 1), side="right")
+        return ids, np.diff(at, prepend=0)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, by the tokenizer's plain call: the string of a special token in a text is that token."""
+        cut = pc.split_pattern(texts, " ")
+        offsets, chunks = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        places, words = chunks.indices.to_numpy().astype(np.int64), chunks.dictionary
+        odd = np.add.reduceat(pc.match_substring_regex(words, ODD).to_numpy(zero_copy_only=False)[places], offsets[:-1], dtype=np.int64) > 0
+        agreed = pc.match_substring_regex(words, AGREED).to_numpy(zero_copy_only=False)
+        for mark in self.special:
+            agreed &= ~pc.match_substring(words, mark).to_numpy(zero_copy_only=False)
+        # the ids of a chunk are a stretch of `ids`: of the agreed chunks, the others, then of the first chunk of each text
+        first = words.take(pa.array(places[offsets[:-1]])).to_pylist()
+        made = [self.spaced(words.filter(pa.array(agreed))), self.plain([f" {w}" for w in words.filter(pa.array(~agreed)).to_pylist()]), self.plain(first)]
+        ids, lengths = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.empty(len(words), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(agreed), np.flatnonzero(~agreed)])] = np.arange(len(words))
+        places = order[places]
+        places[offsets[:-1]] = len(words) + np.arange(len(texts))
+        starts, ends = _ends(lengths) - lengths, _ends(lengths[places])
+        out = np.empty(int(ends[-1]), dtype="<u4")
+        for lo in range(0, len(places), CHUNKS):
+            some, end = places[lo : lo + CHUNKS], ends[lo : lo + CHUNKS]
+            n = lengths[some]
+            out[end[0] - n[0] : end[-1]] = ids[np.arange(end[0] - n[0], end[-1]) - np.repeat(end - n - starts[some], n)]
+        by_text = np.split(out, ends[offsets[1:-1] - 1])
+        for k in np.flatnonzero(odd):
+            by_text[k] = self.plain([texts[k].as_py()])[0]
+        return by_text
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    return Ids(path)
 
 
 def pieces_of(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -121,29 +122,24 @@ def pieces_of(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, limit) for s in range(first, n, limit)] if n > limit else [(0, n)]
 
 
-def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT, keep_memo: bool = True) -> DataFrame:
-    """A row per piece, with its rank among the pieces of equal length that the same task has made (part).
-
-    A worker keeps its memo for its next task, unless keep_memo is false: then the memory is free for other stages.
-    """
-    end = np.array([END], dtype="<u4").tobytes()
+def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
+    """A row per piece, with its rank among the pieces of equal length that the same task has made (part)."""
+    end = np.array([END], dtype="<u4")
+    names, types = [c.split()[0] for c in PIECES.split(", ")], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo, part, ranks = words(path), TaskContext.get().partitionId(), np.zeros(limit + 1, dtype=np.int64)
+        tokens, part, ranks = ids_of(path), TaskContext.get().partitionId(), [0] * (limit + 1)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
+            for some in slices(b, 1, SLICE):
                 rows = []
-                for doc, ids in zip(some.column(0).to_pylist(), memo.encode(some.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, (start, length) in enumerate(pieces_of(len(ids) // 4, limit)):
-                        rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(ranks[length])))
+                for doc, ids in zip(some.column(0).to_pylist(), tokens.encode(some.column(1)), strict=True):
+                    held = memoryview(np.concatenate([ids, end])).cast("B")
+                    for k, (start, length) in enumerate(pieces_of(len(ids) + 1, limit)):
+                        rows.append((doc, k, start, length, zlib.crc32(held[4 * start : 4 * (start + length)]), part, ranks[length]))
                         ranks[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
-        if not keep_memo:
-            memo.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(freeing(run), PIECES)
 
@@ -204,14 +200,14 @@ def places(plan: list[tuple[list[int], int]], limit: int = LIMIT) -> dict[int, t
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) for x, rows in out.items()}
 
 
-def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT, keep_memo: bool = True) -> DataFrame:
+def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row per piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.write(tokenised_pieces(docs, path, limit, keep_memo), "pieces")
+    pieces = scratch.write(tokenised_pieces(docs, path, limit), "pieces")
     per_task = scratch.write(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "per-task")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    firsts = scratch.write(per_task.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "firsts")
     histogram = np.zeros(limit + 1, dtype=np.int64)
     for row in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `limit` rows
         histogram[row["length"]] = row["n"]
@@ -229,7 +225,9 @@ def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT, keep_memo: boo
                 sequence[rows], offset[rows] = bin_[k] + rank[rows] - first[k], off[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    ranked = pieces.join(firsts, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("at"))
+    # a row per task and length: sent whole while that is small, else joined on both, so no key has more rows than a task
+    side = F.broadcast(firsts) if small(firsts, 24) else firsts.hint("merge")
+    ranked = pieces.join(side, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("at"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

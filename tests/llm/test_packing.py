@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,23 +10,42 @@ from tokenizers import Tokenizer
 from galley.llm import packing as p
 
 PATH = p.tokenizer_path()
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 
 
 def plain(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    """The tokenizer's plain call, nothing set on it."""
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+PARTS = st.one_of(st.text(st.sampled_from("ab éßøЖǰ,.'\n\t\x1c\x85\u00a0\u3000<|>1語"), max_size=30), st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "<|endoftext", "|>", "b.", "\n", "don't", "", "x" * 70]), max_size=12).map("".join))
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab éßøЖǰ,.'\n\t  　<|>1語"), max_size=30))
-def test_memo_gives_the_tokenizers_ids(text):
-    assert np.frombuffer(p.words(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
+@given(st.lists(PARTS, min_size=1, max_size=5))
+def test_ids_are_those_of_the_plain_call(texts):
+    assert [x.tolist() for x in p.ids_of(PATH).encode(pa.array(texts, pa.string()))] == [plain(t) for t in texts]
+
+
+def test_special_tokens_and_many_chunks(monkeypatch):
+    monkeypatch.setattr(p, "CHUNKS", 2)
+    for text in ("a <|endoftext|> b", "say <|endoftext|> now, don't. " + "x" * 300, "", " ", "one two three four five", "a  b \n c ", "x<|endoftext|>  <|endoftext|>y z"):
+        assert [x.tolist() for x in p.ids_of(PATH).encode(pa.array([text, "next one", ""]))] == [plain(text), plain("next one"), []]
+    assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_the_encoder_has_the_tokenizers_pattern():
+    import public_tokenizers
+
+    assert p.PATTERN == public_tokenizers.PATTERN
 
 
-def test_special_token_text_is_ordinary():
-    text = "say <|endoftext|> now, don't. " + "x" * 300
-    assert np.frombuffer(p.words(PATH).encode([text])[0], dtype="<u4").tolist() == plain(text)
+def test_slices_have_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["", "a" * p.SLICE, "b", "", "c" * (3 * p.SLICE), "d"])], ["text"])
+    parts = list(p.slices(batch, 0, p.SLICE))
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist() and 1 < len(parts) <= 5 and all(x.num_rows for x in parts)
 
 
 def test_pieces():
