@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -351,34 +352,142 @@ def test_decontamination(spark):
     assert decontamination.without_leaks(docs(spark, rows), bench).columns == docs(spark, rows).columns
 
 
-@pytest.mark.parametrize("documents", [100, 10_000, 100_000_000])
-@pytest.mark.parametrize("length", [8, 15, 40, 450, 1000, 2500])
+def searched(items, documents=100, common=(), each=0.05):
+    """Weights and a block of items (id, text) for a table of so many documents; each of the items' words is in that share of them, other words in one or two, but for the common ones."""
+    (cut,) = decontamination.item_blocks(iter(items))
+    vocabulary = sorted({w for _, ws in cut for w in ws})
+    counts = np.full(len(vocabulary) + decontamination.BUCKETS, max(1.0, documents * 150 / decontamination.BUCKETS / 50))
+    counts[: len(vocabulary)] = documents * each
+    counts[[vocabulary.index(w) for w in common if w in vocabulary]] = documents / 2
+    weights = decontamination.Weights(vocabulary, counts, documents)
+    block = decontamination.Block(cut, weights)
+    block.set_basis(np.eye(len(block.words)))
+    return weights, [block]
+
+
+def links(text, index):
+    return [x[1:] for x in decontamination.links_in(pa.array([text]), *index)]
+
+
+@pytest.mark.parametrize("documents", [1_000, 1_000_000_000])
+@pytest.mark.parametrize("length", [5, 6, 8, 10, 14, 20, 32, 40, 450, 2500])
 def test_leaks_are_found_at_any_item_length_and_table_size(length, documents):
     r = np.random.default_rng(length)
     words = [f"w{k}" for k in range(3000)]
     text = lambda n: " ".join(r.choice(words, n))
-    item = text(length)
-    index = decontamination.Index([(1, item), (2, text(length))], None, documents)
-    index = decontamination.Index([(1, item), (2, text(length))], np.full(len(index.vocabulary), documents / 20), documents, index.vocabulary)
-    index.set_basis(np.eye(len(index.vocabulary)))
-    for k in range(10):
-        other = " ".join(f"x{x}" for x in r.integers(0, 10**6, 40 + k))
+    found = 0
+    for k in range(20):
+        item = text(length)
+        index = searched([(1, item), (2, text(length))], documents)
+        before, after = (" ".join(f"x{x}" for x in r.integers(0, 10**6, n)) for n in (100 + k, 100))
+        found += 1 in [x[0] for x in links(f"{before} {item} {after}", index)]
         changed = item.split()
         for x in r.choice(length, length // 6, replace=False):
             changed[x] = "other"
-        for leak in (item, " ".join(changed)):
-            assert 1 in [x[0] for x in index.links(f"{other} {leak} {other}")]
+        found += 1 in [x[0] for x in links(f"{before} {' '.join(changed)} {after}", index)]
+    assert found >= 38
+
+
+def brute_links(text, items, reach):
+    """Items of which any stretch of so many words (a function of their length) is a leak, by words alone."""
+    words, out = decontamination.words_of(text), set()
+    lcs = lambda a, b: decontamination.common_subsequence(decontamination.places_of(a), len(a), b)
+    for i, t in items:
+        ws = decontamination.words_of(t)
+        answer, n = decontamination.answer_of(ws), len(ws)
+        for lo in range(0, max(1, len(words)), 4):
+            part = words[lo : lo + reach(n)]
+            share = lcs(ws, part) / n
+            if share >= decontamination.WHOLE or (share >= decontamination.PART and lcs(answer, part) >= decontamination.ANSWER * len(answer)):
+                out.add(i)
+    return out
+
+
+def test_links_are_those_of_brute_force():
+    r = np.random.default_rng(12)
+    common = ["the", "of", "and", "to", "a"]
+    words = [f"w{k}" for k in range(800)]
+    text = lambda n: " ".join(np.where(r.random(n) < 0.4, r.choice(common, n), r.choice(words, n)))
+    items = [(k, text(int(r.integers(12, 90)))) for k in range(40)]
+    index = searched(items, 5_000, common)
+    want, wide, got, texts = [], [], [], []
+    for k in range(60):
+        cut = items[k % 40][1].split()
+        for x in r.choice(len(cut), int(len(cut) * r.choice([0.0, 0.1, 0.25, 0.45])), replace=False):
+            cut[x] = r.choice(words)
+        texts.append(f"{text(int(r.integers(0, 120)))} {' '.join(cut)} {text(int(r.integers(0, 120)))}")
+        want.append(brute_links(texts[-1], items, lambda n: n + n // 4))
+        wide.append(brute_links(texts[-1], items, lambda n: 3 * n + decontamination.WINDOW))
+    for t, i, *_ in decontamination.links_in(pa.array(texts), *index):
+        got.append((t, i))
+    every = {(t, i) for t, found in enumerate(want) for i in found}
+    assert len(every) > 30 and len(every & set(got)) >= 0.95 * len(every)
+    assert set(got) <= {(t, i) for t, found in enumerate(wide) for i in found} and len(got) == len(set(got))
+
+
+def test_cosine_is_that_of_the_vectors():
+    r = np.random.default_rng(13)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(r.choice(words, 20))) for k in range(3)]
+    weights, (block,) = searched(items, 50)
+    texts = [" ".join(r.choice([*words, *(f"x{k}" for k in range(40))], n)) for n in (5, 31, 32, 48, 49, 200)]
+    cut = decontamination.words_in(pa.array(texts))
+    terms = decontamination.terms_of(cut.flatten(), pa.array(weights.vocabulary))
+    found = {(t, i, start): c for t, i, start, c in zip(*(x.tolist() for x in block.candidates(terms, cut.offsets.to_numpy().astype(np.int64), weights.idf)), strict=True)}
+    assert found
+    vector = lambda some: np.bincount(some, minlength=len(weights.idf)) * weights.idf
+    at = cut.offsets.to_numpy()
+    for t in range(len(texts)):
+        mine = terms[at[t] : at[t + 1]]
+        for start in decontamination.windows(np.array([len(mine)]))[1]:
+            p = vector(mine[start : start + decontamination.WINDOW])
+            for k, (_, item) in enumerate(items):
+                q = vector(decontamination.terms_of(pa.array(item.split()), pa.array(weights.vocabulary)))
+                cosine = p @ q / np.linalg.norm(p) / np.linalg.norm(q)
+                if cosine >= decontamination.COSINE + 1e-6:
+                    assert found[t, k, int(start)] == pytest.approx(cosine, abs=1e-5)
+                else:
+                    # below the bar, only a window that covers a passage is a candidate
+                    assert (t, k, int(start)) not in found or block.covered(block.rows(cut[t].as_py()), np.array([start]), np.array([min(start + 32, len(mine))]))[0].size
+
+
+def test_windows():
+    text, start = decontamination.windows(np.array([0, 1, 32, 33, 48, 49, 80]))
+    assert [start[text == k].tolist() for k in range(7)] == [[], [0], [0], [0, 16], [0, 16], [0, 16, 32], [0, 16, 32, 48]]
+
+
+def test_terms():
+    words = pa.array(["b", "", "é", "zz", "b", "é", "other", "zz"])
+    for some in (words, words.slice(2)):
+        got = decontamination.terms_of(some, pa.array(["b", "é"])).tolist()
+        for w, t in zip(some.to_pylist(), got, strict=True):
+            assert t == {"b": 0, "é": 1}.get(w, t) and (w in ("b", "é") or 2 <= t < 2 + decontamination.BUCKETS)
+        assert got[-1] == got[some.to_pylist().index("zz")] != got[-2]
+    assert len(decontamination.terms_of(pa.array([], pa.string()), pa.array(["b"]))) == 0
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS", 3)
+    monkeypatch.setattr(decontamination, "WORDS", 40)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(8)] + [(8, "long " * 60), (9, None), (10, "i1w1 i1w2")]
+    blocks = list(decontamination.item_blocks((i, t or "") for i, t in items))
+    assert [i for b in blocks for i, _ in b] == [*range(9), 10] and max(map(len, blocks)) == 2
+    rows = [(k, f"some text {t} and more of it", "en", "s") for k, t in items[:8]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for sent in (1, 1 << 28):
+        monkeypatch.setattr(decontamination, "SENT", sent)
+        got = {(x["doc_id"], x["item_id"]) for x in decontamination.benchmark_links(docs(spark, rows), bench).collect()}
+        assert got == {(k, k) for k in range(8)} | {(1, 10)}
 
 
 def test_a_leak_beside_a_longer_repeat_without_the_answer():
     question, answer = [f"q{k}" for k in range(29)] + ["end."], [f"a{k}" for k in range(10)]
-    index = decontamination.Index([(1, " ".join(question + answer))])
-    index.set_basis(np.eye(len(index.vocabulary)))
+    index = searched([(1, " ".join(question + answer))])
     far = [f"x{k}" for k in range(400)]
     without, leak = question[:29], question[:16] + answer
-    assert not index.links(" ".join(without + far))
-    assert [x[0] for x in index.links(" ".join(leak + far))] == [1]
-    (link,) = index.links(" ".join(without + far + leak))
+    assert not links(" ".join(without + far), index)
+    assert [x[0] for x in links(" ".join(leak + far), index)] == [1]
+    (link,) = links(" ".join(without + far + leak), index)
     assert link[0] == 1 and link[2] == 26 / 40 and link[3] == 1
 
 
@@ -390,7 +499,16 @@ def test_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1, j + 1] = t[i, j] + 1 if x == y else max(t[i, j + 1], t[i + 1, j])
-        assert decontamination.common_subsequence(a, b) == t[-1, -1]
+        assert decontamination.common_subsequence(decontamination.places_of(a), len(a), b) == t[-1, -1]
+
+
+def test_documents_without_leaks_keep_clashing_columns(spark):
+    rows = [(1, "one two three four five six seven eight. nine ten"), (2, "clean text of other words"), (None, "clean too"), (None, None)]
+    table = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, gone string, GONE_0 string, `item.id` string")
+    bench = spark.createDataFrame([(7, rows[0][1])], "item_id long, text string")
+    left = decontamination.without_leaks(table, bench)
+    assert left.columns == table.columns and sorted(tuple(r) for r in left.collect() if r["doc_id"]) == [(2, rows[1][1], "a", "b", "c")] and left.count() == 3
+    assert decontamination.without_leaks(table, bench.where("false")).count() == 4 and decontamination.without_leaks(table.where("false"), bench).count() == 0
 
 
 def test_line_dedup(spark):
