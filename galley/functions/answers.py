@@ -9,10 +9,11 @@ import re
 CHECKED = ("checked_pages", "pages_checked")
 
 
-def balanced_objects(text: str) -> list[str]:
-    """Every outermost {...} of a text, with braces inside strings left alone."""
-    out, depth, start, quoted, escaped = [], 0, -1, False, False
-    for k, ch in enumerate(text):
+def _scan(text: str, start: int) -> dict[int, int]:
+    """Where each brace that opens outside strings closes, reading from start, itself an opening brace, until it closes or the text ends."""
+    closes, opened, quoted, escaped = {}, [], False, False
+    for k in range(start, len(text)):
+        ch = text[k]
         if quoted:
             if escaped:
                 escaped = False
@@ -20,19 +21,53 @@ def balanced_objects(text: str) -> list[str]:
                 escaped = True
             elif ch == '"':
                 quoted = False
-        elif ch == '"' and depth:
+        elif ch == '"':
             quoted = True
         elif ch == "{":
-            if not depth:
-                start = k
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if not depth:
-                out.append(text[start : k + 1])
+            opened.append(k)
+        elif ch == "}" and opened:
+            closes[opened.pop()] = k + 1
+            if not opened:
+                break
+    return closes | dict.fromkeys(opened, 0)
+
+
+def balanced_objects(text: str) -> list[str]:
+    """Every outermost {...} of a text, with braces inside strings left alone. A brace that never closes hides nothing: the search goes on behind it.
+
+    What one scan learns of the braces inside is kept, so that only braces within what looked like a string are read anew.
+    """
+    out, known, at = [], {}, text.find("{")
+    while at >= 0:
+        if at not in known:
+            known |= _scan(text, at)
+        if known[at]:
+            out.append(text[at : known[at]])
+        at = text.find("{", known[at] or at + 1)
     return out
 
 
+def strip_fence(text: str) -> str:
+    """The inside of one ``` fence, or the text; trimmed."""
+    inside = re.fullmatch(r"```[a-zA-Z0-9_-]*\s*\n(.*?)\n```", text.strip(), re.DOTALL)
+    return (inside[1] if inside else text).strip()
+
+
+def turn_completion(text: str | None, marker: str | None) -> str:
+    """complete (the marker ends the text, as a word of its own, behind a JSON object), marked (behind anything else), or waiting."""
+    text, marker = (text or "").rstrip(), marker or ""
+    before = text[: len(text) - len(marker)]
+    if not marker or not text.endswith(marker) or not (before == "" or before[-1].isspace() or before[-1] == "}"):
+        return "waiting"
+    body = strip_fence(before)
+    first = body.find("{")
+    end = _scan(body, first)[first] if first >= 0 else 0
+    try:
+        return "complete" if end and isinstance(json.loads(body[first:end]), dict) else "marked"
+    except ValueError:
+        return "marked"
+
+
 def _closed(text: str) -> str:
     """The text with whatever is open at its end closed."""
     stack, quoted, escaped = [], False, False
@@ -117,20 +152,24 @@ def check_answer(value, packet_id: str | None, expected: list[int]) -> list[str]
 
 
 def pick_answer(text: str, packet_id: str, expected: list[int]) -> tuple[str | None, list[str]]:
-    """(answer JSON, fixes): of the objects that fit, the last in the text; unrepaired ones come first. A missing packet_id is filled in only if no object declares one."""
-    found = balanced_objects(text) or ([text[text.index("{") :]] if "{" in text else [])
-    fit = []
-    declared = any('"packet_id"' in x for x in found)
-    for k, raw in enumerate(found):
-        fixed, fixes = repair_json(raw)
-        if fixed is None:
-            continue
-        value = json.loads(fixed)
-        if isinstance(value, dict) and "packet_id" not in value and not declared:
-            value["packet_id"] = packet_id
-        if not check_answer(value, packet_id, expected) and value.get("packet_id") == packet_id:
-            fit.append((not fixes, k, json.dumps(value, ensure_ascii=False, sort_keys=True), fixes))
-    if not fit:
-        return None, []
-    best = max(fit, key=lambda x: (x[0], x[1]))
-    return best[2], best[3]
+    """(answer JSON, fixes): of the objects with findings or a read error that fit, the last in the text; of two at one place the one that needed no repair.
+
+    Objects come from the text and, where that mends it, from the repaired text. A missing packet_id is filled in, but such
+    an answer counts only if none that names the packet fits.
+    """
+    begin, fit = max(text.find("{"), 0), []
+    whole, mended = repair_json(text[begin:])
+    tries = [(text, 0, [])] + ([(whole, begin, mended)] if whole and mended else [])
+    for source, offset, made in tries:
+        for k, raw in enumerate(balanced_objects(source)):
+            fixed, fixes = repair_json(raw) if '"findings"' in raw or '"read_error"' in raw else (None, [])
+            value = json.loads(fixed) if fixed else None
+            if not isinstance(value, dict):
+                continue
+            fixes = [*made, *fixes]
+            if not str(value.get("packet_id") or "").strip():
+                value, fixes = value | {"packet_id": packet_id}, [*fixes, "missing-packet-id"]
+            if value["packet_id"] == packet_id and not check_answer(value, packet_id, expected):
+                fit.append((offset + source.rfind(raw), not fixes, k, json.dumps(value, ensure_ascii=False, sort_keys=True), fixes))
+    fit = [f for f in fit if "missing-packet-id" not in f[4]] or fit
+    return max(fit, key=lambda f: f[:3])[3:] if fit else (None, [])

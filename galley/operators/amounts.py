@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import numbers
+from galley.operators.cases import case_rows, case_sql
+from galley.operators.claims import applied
 from galley.sources.tables import read
 
 LITERAL = r"(?:[0-9]{1,3}(?:,[0-9]{3})+(?![0-9])|[0-9]+)(?:\.[0-9]+)?"
@@ -83,8 +85,18 @@ def resolved_exponent(tokens: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def split_surfaces(occurrences: DataFrame) -> DataFrame:
-    """Surfaces (raw) under two or more symbols."""
-    return occurrences.groupBy("raw").agg(F.count_distinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("n")).where("symbols > 1")
+    """Surfaces (digits, points and commas of raw, three digits or more) of amounts (raw, symbol, micro, family) under two or more symbols.
+
+    digit_gap: difference in length of the symbols' amounts; families: unit families that have the surface with several
+    amounts. A surface is suspicious if there is such a family, or a gap of 1 to 12 digits: one scale was read wrongly.
+    """
+    surface = F.regexp_replace("raw", "[^0-9.,]", "")
+    o = occurrences.withColumn("surface", surface).where(F.length(F.regexp_replace("surface", "[^0-9]", "")) >= 3)
+    size = F.length(F.abs(F.col("micro").cast("decimal(38,0)")).cast("string"))
+    symbols = o.groupBy("surface").agg(F.count_distinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("n"), (F.max(size) - F.min(size)).cast("long").alias("digit_gap")).where("symbols > 1")
+    split = o.where("family is not null and family <> ''").groupBy("surface", "family").agg(F.count_distinct("micro").alias("k")).where("k > 1").groupBy("surface").agg(F.array_join(F.array_sort(F.collect_list("family")), ",").alias("families"))
+    joined = symbols.join(split, "surface", "left").withColumn("families", F.coalesce("families", F.lit("")))
+    return joined.withColumn("suspicious", (F.col("families") != "") | F.col("digit_gap").between(1, 12))
 
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
@@ -134,10 +146,63 @@ def u03_bag_difference(spark, d):
 
 
 def a17_split_surfaces(spark, d):
-    return split_surfaces(_prices(spark, d).select(F.col("quantity").alias("raw"), F.col("l_returnflag").alias("symbol")))
+    """Parts' sizes as amounts of thousands, some read a thousand times too small."""
+    p = read(spark, d, "part")
+    micro = F.col("p_size").cast("decimal(38,0)") * F.when(F.col("p_retailprice") > 1400, 1).otherwise(1000)
+    raw = F.concat(F.lit("¥"), F.format_number(F.col("p_size") * 100, 0))
+    family = F.when(F.col("p_brand").endswith("1"), "money").when(F.col("p_brand").endswith("2"), "shares")
+    return split_surfaces(p.select(raw.alias("raw"), F.concat_ws("-", F.col("p_size").cast("string"), (F.col("p_retailprice") > 1400).cast("string")).alias("symbol"), micro.alias("micro"), family.alias("family")))
+
+
+MASKED = (
+    ("In 2024 sales were (1,234.5) million and 12k, see page 3", "1"), ("売上高は1兆2,857億円、前年▲3万円、第3期", "1"), ("no number", "1"), (None, "1"), ("Note 5: 7 and 7 and 7.0", "1"), ("5 billion yen was 5,000 million yen", "1"),
+)
+KEPT = (("In 2024 and on March 31 it was 5", "5"), ("page 3, Table 2, Note 7, 3rd, Q1 and 1Q: 44", "44"), ("2024年3月31日は12", "12"), ("第3期 表 4", ""), ("1.2 Sales were 8", "1.2;8"), ("1. Sales were 8", "8"), (None, ""))
+LEAKS = (("⟦#ABC⟧ and 55", "unmasked-number"), ("⟦#ABC and ⟦#XYZ⟧", "broken-symbol"), ("3⟦#ABC⟧", "partial-mask;unmasked-number"), ("⟦#ABC⟧ only", ""), ("#ABC⟧", "broken-symbol"), ("in 2024", ""), (None, ""))
+RESTORES = (("x ⟦#AAA⟧ y", "AAA=5", "x 5 y"), ("⟦#AAA⟧⟦#BBB⟧", "AAA=5;BBB=(6)", "5(6)"), ("⟦#AAA⟧", "", "error"), ("x", "AAA=5", "error"), ("⟦#BBB⟧ ⟦#AAA⟧", "AAA=5;BBB=6", "error"), ("", "", ""))
+
+
+def _restored(masked: str, found: str) -> str:
+    try:
+        return numbers.unmask(masked, [tuple(x.split("=")) for x in found.split(";") if x])
+    except ValueError:
+        return "error"
+
+
+def m05_kept_spans(spark, d):
+    lang = lambda t: "ja" if any("぀" <= c <= "鿿" for c in t) else "en"
+    return applied(case_rows(spark, d, [c[:1] for c in KEPT], "text string"), lambda t: ";".join(n.raw for n in numbers.tokenize(t or "", lang(t or ""))), ["text"], "numbers", "string")
+
+
+def m09_symbol_pool(spark, d):
+    """Symbols of as many amounts as there are parts are all different, and of the same form for each seed."""
+    def run(seed: int, n: int) -> str:
+        symbols = numbers.Symbols(seed)
+        names = [symbols.of(10**6 * k, 1) for k in range(n)]
+        return f"{len(set(names))} {all(len(x) == 3 and set(x) <= set(numbers.LETTERS) for x in names)}".lower()
 
+    return applied(read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_regionkey").alias("seed"), F.lit(200).alias("n")), run, ["seed", "n"], "names", "string")
 
-QUERIES = {f.__name__: f for f in (m01_literals, m02_exact_amounts, m03_number_tokens, m04_japanese_tokens, m07_resolved_exponent, m08_mask_jobs, u03_bag_difference, a17_split_surfaces)}
+
+def m10_mask_round_trip(spark, d):
+    def run(text: str | None) -> str:
+        text = text or ""
+        lang = "ja" if any("぀" <= c <= "鿿" for c in text) else "en"
+        masked, found = numbers.mask(text, lang, numbers.Symbols(3))
+        return str(int(numbers.unmask(masked, found) == text and not numbers.leaks(masked, lang) and len(found) == len(numbers.tokenize(text, lang))))
+
+    return applied(case_rows(spark, d, [c[:1] for c in MASKED], "text string"), run, ["text"], "whole", "string")
+
+
+def m11_unmask(spark, d):
+    return applied(case_rows(spark, d, [c[:2] for c in RESTORES], "masked string, found string"), _restored, ["masked", "found"], "text", "string")
+
+
+def m13_leaks(spark, d):
+    return applied(case_rows(spark, d, [c[:1] for c in LEAKS], "text string"), lambda t: ";".join(sorted({k for k, _ in numbers.leaks(t or "")})), ["text"], "kinds", "string")
+
+
+QUERIES = {f.__name__: f for f in (m01_literals, m02_exact_amounts, m03_number_tokens, m04_japanese_tokens, m07_resolved_exponent, m08_mask_jobs, u03_bag_difference, a17_split_surfaces, m05_kept_spans, m09_symbol_pool, m10_mask_round_trip, m11_unmask, m13_leaks)}
 
 ORACLE_SQL = {
     "m01_literals": "SELECT 2 AS n, len(format('{:,.2f}', l_extendedprice)) + len(CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR)) AS digits, count(*) AS rows FROM lineitem GROUP BY 1, 2",
@@ -153,5 +218,14 @@ SELECT id, CAST(min(power) AS INT) AS power FROM x JOIN k ON k.amount = x.v * CA
     "u03_bag_difference": """
 SELECT page, value, greatest(n, 0) AS only_left, greatest(-n, 0) AS only_right FROM (SELECT l_linenumber AS page, CAST(trunc(l_quantity) AS INT) AS value, CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2) WHERE n <> 0
 """,
-    "a17_split_surfaces": "SELECT CAST(trunc(l_quantity) AS INT) AS raw, count(DISTINCT l_returnflag) AS symbols, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1",
+    "a17_split_surfaces": """
+WITH o AS (SELECT format('{:,}', p_size * 100) AS surface, p_retailprice > 1400 AS small, p_size * CASE WHEN p_retailprice > 1400 THEN 1 ELSE 1000 END AS micro, CASE WHEN p_brand LIKE '%1' THEN 'money' WHEN p_brand LIKE '%2' THEN 'shares' END AS family FROM part),
+f AS (SELECT surface, string_agg(family, ',' ORDER BY family) AS families FROM (SELECT surface, family FROM o WHERE family IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT micro) > 1) GROUP BY 1)
+SELECT surface, count(DISTINCT small) AS symbols, count(*) AS n, 3 AS digit_gap, coalesce(any_value(families), '') AS families, true AS suspicious FROM o LEFT JOIN f USING (surface) GROUP BY surface HAVING count(DISTINCT small) > 1
+""",
+    "m05_kept_spans": case_sql([c[1] for c in KEPT], "numbers"),
+    "m09_symbol_pool": "SELECT CAST(r_regionkey AS BIGINT) AS id, '200 true' AS names FROM region",
+    "m10_mask_round_trip": case_sql([c[1] for c in MASKED], "whole"),
+    "m11_unmask": case_sql([c[2] for c in RESTORES], "text"),
+    "m13_leaks": case_sql([c[1] for c in LEAKS], "kinds"),
 }

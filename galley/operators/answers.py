@@ -6,23 +6,14 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import answers
-from galley.operators.text import strip_fence
+from galley.operators.cases import case_rows, case_sql
+from galley.operators.claims import applied
 from galley.sources.tables import read
 
-END = "<<END>>"
-
-
-def turn_state(c: Column, end: str = END) -> Column:
-    """complete (ends with the marker or a closed object), open (an object has begun) or waiting."""
-    t = F.trim(strip_fence(F.coalesce(c, F.lit(""))))
-    balanced = F.regexp_count(t, F.lit(r"\{")) == F.regexp_count(t, F.lit(r"\}"))
-    return F.when(t.endswith(end), "complete").when(t.startswith("{") & t.endswith("}") & balanced, "complete").when(t.contains("{"), "open").otherwise("waiting")
-
-
 def object_rows(texts: DataFrame) -> DataFrame:
     """(id, ordinal, object): every outermost balanced object of texts (id, text)."""
 
@@ -68,8 +59,30 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), text.alias("text"), F.lit("p").alias("packet_id"), F.array(F.lit(1), F.lit(2)).alias("expected"), "value")
 
 
+TURNS = (
+    ('{"a": 1} <<END>>', "complete"), ('{"a": 1}<<END>>  ', "complete"), ('```json\n{"a": "}"}\n```\n<<END>>', "complete"), ('{"a": "<<END>>"}', "waiting"), ('{"a": 1} x<<END>>', "waiting"), ('{"a": 1', "waiting"),
+    ('{"a": 1 <<END>>', "marked"), ("<<END>>", "marked"), ("so [1] <<END>>", "marked"), ('{a: 1} <<END>>', "marked"), ('see {"a": {"b": "{"}} and <<END>>', "complete"), (None, "waiting"), ("", "waiting"),
+)
+OBJECTS = (
+    ('x {"a": "}"} y {} {"b": {"c": 1}}', '{"a": "}"}|{}|{"b": {"c": 1}}'), ('{ open {"a": 1} and {"b": 2}', '{"a": 1}|{"b": 2}'), ('{"a": "unclosed {"b": 1}', '{"b": 1}'), ('{{{"a": 1}', '{"a": 1}'), ('{"a": "x\\"}"}', '{"a": "x\\"}"}'),
+    ("none", ""), (None, ""), ("}{}", "{}"), ('{"a": {"b": 1}', '{"b": 1}'),
+)
+SCHEMAS = (
+    ('{"packet_id": "p", "findings": [], "checked_pages": [1, 2]}', ""), ('{"packet_id": "q", "findings": []}', "packet_id"), ('{"findings": {}, "checked_pages": [3]}', "findings,pages"), ("[]", "not_an_object"), ('{"findings": [1]}', "findings"),
+    ('{"findings": [], "pages_checked": [true]}', "pages"), ('{"findings": [], "checked_pages": ["1"]}', "pages"),
+)
+
+
 def x28_turn_state(spark, d):
-    return _answers(spark, d).select(turn_state(F.col("text")).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    return applied(case_rows(spark, d, [c[:1] for c in TURNS], "text string"), lambda t: answers.turn_completion(t, "<<END>>"), ["text"], "state", "string")
+
+
+def x29_balanced(spark, d):
+    return applied(case_rows(spark, d, [c[:1] for c in OBJECTS], "text string"), lambda t: "|".join(answers.balanced_objects(t or "")), ["text"], "objects", "string")
+
+
+def x31_schema(spark, d):
+    return applied(case_rows(spark, d, [c[:1] for c in SCHEMAS], "text string"), lambda t: ",".join(answers.check_answer(json.loads(t), "p", [1, 2])), ["text"], "wrong", "string")
 
 
 def x29_objects(spark, d):
@@ -85,11 +98,13 @@ def x32_pick(spark, d):
     return picked(_answers(spark, d)).select(F.array_join("fixes", ",").alias("fixes"), "findings").groupBy("fixes", "findings").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (x28_turn_state, x29_objects, x30_repair, x32_pick)}
+QUERIES = {f.__name__: f for f in (x28_turn_state, x29_balanced, x31_schema, x29_objects, x30_repair, x32_pick)}
 
 ORACLE_SQL = {
-    "x28_turn_state": "SELECT CASE WHEN value > 75 THEN 'complete' ELSE 'open' END AS state, count(*) AS n FROM events GROUP BY 1",
-    "x29_objects": "SELECT CAST(0 AS INT) AS ordinal, count(*) AS n FROM events WHERE value > 75 OR value <= 50 UNION ALL SELECT 1, count(*) FROM events WHERE value <= 50",
+    "x28_turn_state": case_sql([c[1] for c in TURNS], "state"),
+    "x29_balanced": case_sql([c[1] for c in OBJECTS], "objects"),
+    "x31_schema": case_sql([c[1] for c in SCHEMAS], "wrong"),
+    "x29_objects": "SELECT CAST(0 AS INT) AS ordinal, count(*) AS n FROM events UNION ALL SELECT 1, count(*) FROM events WHERE value <= 50",
     "x30_repair": "SELECT CASE WHEN value > 75 THEN 'trailing_comma' WHEN value > 50 THEN 'truncated_tail' ELSE '' END AS fixes, '1' AS page, count(*) AS n FROM events GROUP BY 1",
     "x32_pick": "SELECT CASE WHEN value > 75 THEN 'trailing_comma' WHEN value > 50 THEN 'truncated_tail' ELSE '' END AS fixes, 1 AS findings, count(*) AS n FROM events GROUP BY 1",
 }

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions.hashing import fnv1a32
+from galley.operators.cases import case_rows, case_sql
 from galley.sources.tables import read
 
 #: Outcome words and the label each stands for.
-RIGHT = ("accepted", "confirmed", "true_positive", "correct")
-WRONG = ("rejected", "dismissed", "false_positive", "incorrect")
+RIGHT = ("1", "true", "correct", "accepted", "tp", "pass", "yes")
+WRONG = ("0", "false", "incorrect", "rejected", "fp", "fail", "no")
 
 
 def normalise_confidence(c: Column) -> Column:
@@ -89,7 +90,7 @@ def suppressed_sample(rows: DataFrame, seed: str, limit: int = 200) -> DataFrame
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
-    word = F.when(F.col("l_returnflag") == "A", "Accepted").when(F.col("l_returnflag") == "R", "dismissed").otherwise("open")
+    word = F.when(F.col("l_returnflag") == "A", "Accepted ").when(F.col("l_returnflag") == "R", "FP").otherwise("open")
     confidence = normalise_confidence(F.when(F.col("l_quantity") > 40, F.col("l_quantity") * 2).otherwise(F.col("l_discount") * 10))
     return li.select(confidence.alias("confidence"), outcome_label(word).alias("label"), F.col("l_linestatus").alias("category"), F.col("l_linenumber").alias("prompt"), (F.col("l_tax") > 0.05).alias("holdout"))
 
@@ -131,8 +132,11 @@ def x26_confidence(spark, d):
     return _records(spark, d).groupBy(F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+OUTCOMES = (("tp", 1), (" Pass", 1), ("YES", 1), ("1", 1), ("true", 1), ("correct", 1), ("accepted", 1), ("fp", 0), ("fail", 0), ("no", 0), ("0", 0), ("False", 0), ("incorrect", 0), ("rejected", 0), ("dismissed", None), ("confirmed", None), ("", None), (None, None), ("2", None))
+
+
 def x27_outcome(spark, d):
-    return _records(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return case_rows(spark, d, [c[:1] for c in OUTCOMES], "word string").select("id", outcome_label(F.col("word")).alias("label"))
 
 
 _R = """
@@ -173,5 +177,5 @@ UNION ALL SELECT 'burden', n.burden, w.burden, false FROM n, w UNION ALL SELECT
 WHERE was <> 0 AND CASE WHEN two THEN abs((now - was) / was) >= 0 ELSE (now - was) / was > 0 END
 """,
     "x26_confidence": _R + "SELECT round(confidence, 2) AS confidence, count(*) AS n FROM r GROUP BY 1",
-    "x27_outcome": _R + "SELECT label, count(*) AS n FROM r GROUP BY 1",
+    "x27_outcome": case_sql([c[1] for c in OUTCOMES], "label"),
 }

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions.unicode import nfkc
 from galley.sources.tables import read
 
 
 def normalise_quote(c: Column) -> Column:
-    """Lower case, without white space, commas and the marks * ※ †. Compatibility forms are folded by functions.unicode.nfkc."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s,*※†]", "")
+    """Compatibility forms folded (NFKC), lower case, without white space, commas and the marks * ※ †."""
+    return F.regexp_replace(F.lower(nfkc(F.coalesce(c, F.lit("")))), r"[\s\x{3000}\x{00A0},*※†]", "")
 
 
 def quotes_match(a: Column, b: Column) -> Column:
@@ -89,7 +90,7 @@ def numeric_aware(c: str) -> list[Column]:
 
 def _planted(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").where("l_returnflag = 'R'")
-    return li.select(F.col("l_orderkey").alias("packet_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_linenumber").alias("page"), F.col("l_linestatus").alias("lens"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("quote")).distinct()
+    return li.select(F.col("l_orderkey").alias("packet_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_linenumber").alias("page"), F.col("l_linestatus").alias("lens"), F.concat(F.lit("Ｐart "), F.translate(F.col("l_partkey").cast("string"), "0123456789", "０１２３４５６７８９")).alias("quote")).distinct()
 
 
 def _candidates(spark: SparkSession, d: str, where: str) -> DataFrame:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.operators.cases import case_rows, case_sql
 from galley.sources.tables import read
 
 JAPANESE, ENGLISH, OTHER = "日本語", "英語", "その他"
-#: Script classes.
-KANA, HAN, LATIN = r"[\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{FF66}-\x{FF9D}]", r"\p{IsHan}", r"\p{IsLatin}"
-HANGUL, CYRILLIC, ARABIC = r"\p{IsHangul}", r"\p{IsCyrillic}", r"\p{IsArabic}"
+#: Script classes. Middle dots and long marks, which other texts use too, are no kana.
+KANA, HAN = r"[^\x{3041}-\x{309F}\x{30A1}-\x{30FA}\x{30FD}-\x{30FF}\x{31F0}-\x{31FF}]+", r"[^\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]+"
+OTHERS = r"[^\x{AC00}-\x{D7AF}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]+"
 
 
 def script_language(c: Column) -> Column:
-    """日本語, 英語 or その他 by counts of letters of each script (so German or French text counts as 英語)."""
-    n = lambda r: F.regexp_count(c, F.lit(r))
-    kana, han, latin, rest = n(KANA), n(HAN), n(LATIN), n(HANGUL) + n(CYRILLIC) + n(ARABIC)
+    """日本語, 英語 or その他 by counts of letters of each script (so German or French text counts as 英語).
+
+    Two passes over the whole text: one for Latin letters, one that leaves what is beyond U+0400, mostly nothing, for the other scripts.
+    """
+    far = F.regexp_replace(c, r"[\x00-\x{03FF}]+", "")
+    n = lambda r: F.length(F.regexp_replace(far, r, ""))
+    kana, han, rest, latin = n(KANA), n(HAN), n(OTHERS), F.length(F.regexp_replace(c, r"[^A-Za-z]+", ""))
     ja = ((kana >= 2) | ((kana > 0) & (3 * kana >= han))) & ((10 * kana >= latin) | (2 * (kana + han) >= latin))
     return F.when(c.isNull(), OTHER).when(ja, JAPANESE).when((latin >= 8) & (latin >= 2 * (han + rest)), ENGLISH).otherwise(OTHER)
 
@@ -71,11 +76,23 @@ def first_populated(*columns: str) -> Column:
     return F.coalesce(*(F.when(F.trim(F.col(c)) != "", F.col(c)) for c in columns), *(F.col(c) for c in columns))
 
 
+#: Names of months.
+MONTHS = r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?\s+[0-9]{1,2}\b"
+
+
+def year_keys(c: Column) -> Column:
+    """Years 1900 to 2099 that are no part of a longer number, sorted and distinct."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![0-9.])((?:19|20)[0-9]{2})(?![0-9.])"), F.lit(1))))
+
+
 def date_keys(c: Column) -> Column:
-    """Explicit month-day keys of English dates, sorted and distinct."""
-    months = "January|February|March|April|May|June|July|August|September|October|November|December"
-    found = F.regexp_extract_all(c, F.lit(rf"(?:{months}) [0-9]{{1,2}}\b"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.lower(x))))
+    """Explicit month-day keys (3-31) of English and Japanese dates, sorted and distinct."""
+    c = F.coalesce(c, F.lit(""))
+    number = lambda x, p: F.regexp_extract(x, p, 1).cast("int").cast("string")
+    month = lambda x: ((F.position(F.lower(F.substring(x, 1, 3)), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string")
+    english = F.transform(F.regexp_extract_all(c, F.lit(MONTHS), F.lit(0)), lambda x: F.concat_ws("-", month(x), number(x, "([0-9]+)$")))
+    japanese = F.transform(F.regexp_extract_all(c, F.lit(r"[0-9]{1,2}\s*月\s*[0-9]{1,2}\s*日"), F.lit(0)), lambda x: F.concat_ws("-", number(x, "^([0-9]+)"), number(x, r"月\s*([0-9]+)")))
+    return F.array_sort(F.array_distinct(F.concat(english, japanese)))
 
 
 def numbered_heading(c: Column) -> Column:
@@ -116,15 +133,15 @@ def is_action_suggestion(c: Column) -> Column:
     return F.trim(c).rlike(r"(する|してください|すること|します|確認|修正|削除|追加|統一)[。．.]?$") | F.lower(F.trim(c)).rlike(r"^(delete|remove|insert|add|check|confirm|review|unify)\b")
 
 
-def is_refusal(c: Column, most: int = 600) -> Column:
-    """A short answer that declines."""
-    return (F.length(c) <= most) & F.lower(c).rlike(r"(i can.?t|i cannot|i.m (sorry|unable)|unable to (help|assist)|お手伝いできません|対応できません|申し訳)")
+#: Answers that decline or fail, as a whole.
+DECLINES = r"(?is)^(?:申し訳ございません.{0,500}(?:応答|回答)できません(?:でした)?|それに応答できません(?:でした)?|(?:sorry.{0,120})?(?:unable|can(?:not|'t))\s+(?:to\s+)?(?:respond|complete|help).{0,500})[。.!?\s]*$"
+FAILS = r"(?is)^(?:申し訳ございません[。\s]*)?(?:問題が発生しました|エラーが発生しました|something\s+went\s+wrong).{0,500}$"
 
 
-def strip_fence(c: Column) -> Column:
-    """The inside of a ``` fence, or the text as it is."""
-    inside = F.regexp_extract(c, r"(?s)^\s*```[A-Za-z]*\s*\n(.*?)\n?```\s*$", 1)
-    return F.when(c.rlike(r"(?s)^\s*```[A-Za-z]*\s*\n.*```\s*$"), inside).otherwise(c)
+def is_refusal(c: Column, most: int = 1200) -> Column:
+    """An answer of at most `most` characters that declines or fails and is no JSON with findings."""
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
+    return (text != "") & (F.length(text) <= most) & ~text.rlike(r'"(?:findings|read_error)"\s*:') & (text.rlike(DECLINES) | text.rlike(FAILS))
 
 
 def strip_html(c: Column) -> Column:
@@ -196,8 +213,30 @@ def x33_truncate(spark, d):
     return read(spark, d, "orders").select("o_orderkey", truncate_number_safe(F.concat(F.lit("total "), F.col("o_orderkey").cast("string"), F.lit(" yen")), 8).alias("cut"))
 
 
+REFUSALS = (
+    ("申し訳ございません。その件には回答できません。", True), ("それに応答できませんでした", True), ("Sorry, I am unable to help with that.", True), ("cannot complete this", True), ("申し訳ございません。問題が発生しました。もう一度お試しいただけますか?", True),
+    (" Something  went wrong. Try again ", True), ('sorry, unable to help {"findings": []}', False), ("I can't see an error on this page", False), ("The parties cannot respond in time", False), ("", False), (None, False), ("sorry", False),
+    ("unable to help " + "x" * 600, False), ("エラーが発生しました" + "。" * 1300, False),
+)
+LANGUAGES = (
+    ("売上高は増加しました", "日本語"), ("Net sales rose", "英語"), ("12 34", "その他"), ("Umsatzerlöse stiegen", "英語"), ("・ー Net sales rose in Tokyo", "英語"), ("貸借対照表", "その他"), ("損益の計算", "その他"), ("損益の計算について", "日本語"), ("Net sales of トヨ Corporation in the United States", "英語"),
+    ("ﾈｯﾄ売上", "その他"), ("Продажи выросли", "その他"), ("매출이 증가", "その他"), ("short", "その他"), (" ", "その他"), (None, "その他"), ("éèêëàâäôöù", "その他"), ("Sales 売上高売上高", "その他"),
+)
+DATES = (
+    ("from March 31, to Mar. 5", "3-31;3-5", ""), ("2024年3月31日", "3-31", "2024"), ("in 2024 and 1999, not 12024", "", "1999;2024"), ("May 7 and 5月7日", "5-7", ""), ("sept 09 2020", "9-9", "2020"), ("v2.2024 or 2024.5", "", ""), (None, "", ""), ("Octo 3, 12月 25日", "12-25", ""),
+)
+
+
 def f26_refusals(spark, d):
-    return read(spark, d, "conversations").select(F.coalesce(is_refusal(F.col("text")), F.lit(False)).alias("refusal"), "role").groupBy("refusal", "role").agg(F.count(F.lit(1)).alias("n"))
+    return case_rows(spark, d, [c[:1] for c in REFUSALS], "text string").select("id", is_refusal(F.col("text")).alias("refusal"))
+
+
+def x18_script_cases(spark, d):
+    return case_rows(spark, d, [c[:1] for c in LANGUAGES], "text string").select("id", script_language(F.col("text")).alias("language"))
+
+
+def x10_date_cases(spark, d):
+    return case_rows(spark, d, [c[:1] for c in DATES], "text string").select("id", F.concat(F.array_join(date_keys(F.col("text")), ";"), F.lit("|"), F.array_join(year_keys(F.col("text")), ";")).alias("dates"))
 
 
 def s10_strip_html(spark, d):
@@ -214,13 +253,15 @@ def t05_heading_index(spark, d):
     return heading_index(lines).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (x18_language, x18_source_language, x04_normalise_source, x05_unique_index, x06_occurrences, x07_fold_quarters, x08_fold_width, x12_first_populated, x03_same_or_contained, x10_date_keys, x19_numbered_heading, x33_truncate, f26_refusals, s10_strip_html, w03_last_header, t05_heading_index)}
+QUERIES = {f.__name__: f for f in (x18_language, x18_source_language, x04_normalise_source, x05_unique_index, x06_occurrences, x07_fold_quarters, x08_fold_width, x12_first_populated, x03_same_or_contained, x10_date_keys, x10_date_cases, x18_script_cases, x19_numbered_heading, x33_truncate, f26_refusals, s10_strip_html, w03_last_header, t05_heading_index)}
 
-_LANG = """CASE WHEN len(regexp_extract_all(text, '[\\x{3041}-\\x{3096}\\x{30A1}-\\x{30FA}]')) >= 2 THEN '日本語' WHEN len(regexp_extract_all(text, '\\p{Latin}')) >= 8 AND len(regexp_extract_all(text, '\\p{Latin}')) >= 2 * len(regexp_extract_all(text, '[\\p{Han}\\p{Hangul}\\p{Cyrillic}\\p{Arabic}]')) THEN '英語' ELSE 'その他' END"""
+_LANG = """CASE WHEN k >= 2 AND (10 * k >= l OR 2 * (k + h) >= l) OR k = 1 AND 3 >= h AND (10 >= l OR 2 * (1 + h) >= l) THEN '日本語' WHEN l >= 8 AND l >= 2 * (h + o) THEN '英語' ELSE 'その他' END"""
+_COUNTS = r"""SELECT *, len(regexp_replace(text, '[^\x{3041}-\x{309F}\x{30A1}-\x{30FA}\x{30FD}-\x{30FF}\x{31F0}-\x{31FF}]', '', 'g')) AS k, len(regexp_replace(text, '[^\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]', '', 'g')) AS h,
+  len(regexp_replace(text, '[^\x{AC00}-\x{D7AF}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]', '', 'g')) AS o, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents"""
 
 ORACLE_SQL = {
-    "x18_language": f"SELECT {_LANG} AS language, count(*) AS n FROM documents GROUP BY 1",
-    "x18_source_language": f"SELECT doc_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) ELSE 'その他' END AS language FROM (SELECT source || '/' || lang AS doc_id, {_LANG} AS language FROM documents) GROUP BY doc_id",
+    "x18_language": f"SELECT {_LANG} AS language, count(*) AS n FROM ({_COUNTS}) GROUP BY 1",
+    "x18_source_language": f"SELECT doc_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) ELSE 'その他' END AS language FROM (SELECT source || '/' || lang AS doc_id, {_LANG} AS language FROM ({_COUNTS})) GROUP BY doc_id",
     "x04_normalise_source": "SELECT doc_id, md5(trim(regexp_replace('\"x\"- ' || translate(text, '‐‑‒–—−“”„‘’‚', '------' || repeat(chr(34), 3) || repeat(chr(39), 3)), '[\\s\\x{3000}\\x{00A0}]+', ' ', 'g'))) AS digest FROM documents",
     "x05_unique_index": "SELECT CASE WHEN strpos(p_name, w) > 0 AND strpos(substr(p_name, strpos(p_name, w) + 1), w) = 0 THEN strpos(p_name, w) - 1 ELSE -1 END AS at, count(*) AS n FROM (SELECT p_name, string_split(p_name, ' ')[2] AS w FROM part) GROUP BY 1",
     "x06_occurrences": "SELECT p_partkey, len(p_type) - len(replace(p_type, 'E', '')) AS n FROM part",
@@ -228,10 +269,12 @@ ORACLE_SQL = {
     "x08_fold_width": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS folded, len(CAST(o_orderkey AS VARCHAR)) AS n FROM orders",
     "x12_first_populated": "SELECT CASE WHEN value > 75 THEN 'far' WHEN value > 50 THEN ' ' WHEN value > 25 THEN 'near' END AS picked, count(*) AS n FROM events GROUP BY 1",
     "x03_same_or_contained": "SELECT p_partkey, len(regexp_replace(p_type, '\\s', '', 'g')) >= 12 AS same FROM part",
-    "x10_date_keys": "SELECT CASE WHEN k = 'march 31' THEN k WHEN k < 'march 31' THEN k || ';march 31' ELSE 'march 31;' || k END AS dates, count(*) AS n FROM (SELECT lower(monthname(o_orderdate)) || ' ' || day(o_orderdate) AS k FROM orders) GROUP BY 1",
+    "x10_date_keys": "SELECT CASE WHEN k = '3-31' THEN k WHEN k < '3-31' THEN k || ';3-31' ELSE '3-31;' || k END AS dates, count(*) AS n FROM (SELECT month(o_orderdate) || '-' || day(o_orderdate) AS k FROM orders) GROUP BY 1",
     "x19_numbered_heading": "SELECT CASE WHEN ok THEN number END AS number, CASE WHEN ok THEN 'Shipping terms' END AS title, count(*) AS n FROM (SELECT l_linenumber || '.' || CAST(trunc(l_quantity) AS INT) AS number, l_tax <= 0.04 AS ok FROM lineitem) GROUP BY 1, 2",
     "x33_truncate": "SELECT o_orderkey, CASE WHEN len(CAST(o_orderkey AS VARCHAR)) <= 2 THEN substr('total ' || o_orderkey || ' yen', 1, 8) ELSE 'total ' END AS cut FROM orders",
-    "f26_refusals": "SELECT coalesce(len(text) <= 600 AND regexp_matches(lower(text), '(i can.?t|i cannot|i.m (sorry|unable)|unable to (help|assist)|お手伝いできません|対応できません|申し訳)'), false) AS refusal, role, count(*) AS n FROM conversations GROUP BY 1, 2",
+    "f26_refusals": case_sql([c[1] for c in REFUSALS], "refusal"),
+    "x18_script_cases": case_sql([c[1] for c in LANGUAGES], "language"),
+    "x10_date_cases": case_sql([f"{c[1]}|{c[2]}" for c in DATES], "dates"),
     "w03_last_header": """
 SELECT l_orderkey, count(header) AS under, max(header) AS last FROM (SELECT l_orderkey, last_value(CASE WHEN l_returnflag = 'A' THEN 'P.' || l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS header FROM lineitem) GROUP BY l_orderkey
 """,
