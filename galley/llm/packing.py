@@ -25,7 +25,7 @@ from galley.llm.common import Scratch, freeing, slices, small, text_or_empty
 
 LIMIT, END = 1024, 2
 #: Bytes of the texts that are cut up at a time, and chunks whose ids are put together at a time.
-SLICE, CHUNKS = 1 << 24, 1 << 19
+SLICE, CHUNKS = 1 << 23, 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 #: The pattern of byte-level vocabularies, and white space of all versions of Unicode.

@@ -158,10 +158,11 @@ def test_near_duplicates(spark):
     assert {2 * k for k in range(40)} <= set(stay) and {500 + k for k in range(60)} <= set(stay)
 
 
-@pytest.mark.parametrize(("each", "tile", "dense"), [(64, 16_384, 4), (4, 16_384, 4), (4, 16_384, 0), (4, 16, 4), (4, 16, 0)])
-def test_near_duplicates_among_rows_with_the_same_words(spark, monkeypatch, each, tile, dense):
+@pytest.mark.parametrize(("each", "full", "tile", "dense"), [(64, 4096, 16_384, 4), (4, 4096, 16_384, 4), (4, 4096, 16_384, 0), (4, 8, 16_384, 4), (4, 8, 16, 4), (4, 8, 16, 0)])
+def test_near_duplicates_among_rows_with_the_same_words(spark, monkeypatch, each, full, tile, dense):
     # fingerprints are those of the words, so texts in another order are as near as the copy, and nearer than it in the bucket
     monkeypatch.setattr(simhash, "EACH", each)
+    monkeypatch.setattr(simhash, "FULL", full)
     monkeypatch.setattr(simhash, "TILE", tile)
     monkeypatch.setattr(simhash, "DENSE", dense)
     r = np.random.default_rng(7)
@@ -173,6 +174,102 @@ def test_near_duplicates_among_rows_with_the_same_words(spark, monkeypatch, each
     assert stay == {0, *range(10, 50)}
 
 
+def planted(r, words, similarity, n=150):
+    """Two texts whose five-word shingles have about that Jaccard similarity."""
+    base = list(r.choice(words, n))
+    near, changed = base.copy(), 0
+    want = (1 - similarity) / (1 + similarity) * (n - 4)
+    while changed * 5 < want - 2:
+        near[int(r.integers(n))] = f"x{r.integers(10**9)}"
+        changed += 1
+    return " ".join(base), " ".join(near)
+
+
+@pytest.mark.parametrize("full", [10**9, 0])
+def test_near_candidates_recall(spark, monkeypatch, full):
+    """Recall of pairs at the bar and above it by what no bucket's size changes: with every bucket as it is, and with every bucket split."""
+    monkeypatch.setattr(simhash, "FULL", full)
+    r = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(5000)]
+    for similarity, least in ((0.81, 0.9), (0.9, 0.97)):
+        texts = [t for _ in range(300) for t in planted(r, words, similarity)]
+        sets = [simhash.shingle_hashes(simhash.word_hashes(t)) for t in texts]
+        alike = [k for k in range(0, 600, 2) if len(np.intersect1d(sets[k], sets[k + 1])) >= 0.8 * len(np.union1d(sets[k], sets[k + 1]))]
+        prints = np.array([simhash.wide_fingerprint(simhash.word_hashes(t)) for t in texts])
+        p, q, z = prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4]
+        least_of = np.array([simhash.smallest(s) for s in sets]).T
+        keys, rows = simhash.wide_keys(p, q, z, np.array([len(s) for s in sets]))
+        if full == 0:
+            keys, rows = simhash.split_keys(keys, rows, np.unique(keys), list(least_of))
+            assert (keys < 0).all()
+        held = [set() for _ in texts]
+        for k, row in zip(keys.tolist(), rows.tolist(), strict=True):
+            held[row].add(k)
+        apart = [int(np.bitwise_count(p[k] ^ p[k + 1]) + np.bitwise_count(q[k] ^ q[k + 1]) + np.bitwise_count(z[k] ^ z[k + 1])) for k in range(0, 600, 2)]
+        met = [k for k in alike if held[k] & held[k + 1] and apart[k // 2] <= simhash.TOLERANCE]
+        assert len(alike) > 100 and len(met) >= least * len(alike), (similarity, len(met), len(alike))
+
+
+@pytest.mark.parametrize("full", [4096, 1])
+def test_near_groups_are_those_of_brute_force(spark, monkeypatch, full):
+    monkeypatch.setattr(simhash, "FULL", full)
+    r = np.random.default_rng(22)
+    words = [f"w{k}" for k in range(2000)]
+    texts = []
+    for k in range(30):
+        texts += planted(r, words, r.choice([0.83, 0.88, 0.95, 0.5]), int(r.integers(20, 200)))
+    texts += [" ".join(texts[0].split()[k:] + texts[0].split()[:k]) for k in range(1, 4)] + ["", "one", "one two", "one two three four five"]
+    sets = [set(simhash.shingle_hashes(simhash.word_hashes(t)).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= simhash.SIMILAR * len(sets[i] | sets[j]) and sets[i]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    want = {root.index(x) for x in set(root)}
+    stay = {x["doc_id"] for x in simhash.without_near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    assert want <= stay and len(stay - want) <= 0.05 * len(texts)
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f", "g", "h") for i, t in rows], "doc_id long, text string, lang string, row_hash string, gone_id string, Gone_Hash string, own_digest string, said_id string, rejected string, `a.b` string")
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    rows = [(1, "same text of some words here and more of them"), (2, "SAME text of some words here and more of them"), (3, None), (None, "other words that stay in the table"), (4, ""), (4, "")]
+    table = clashing(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for stage, ids in ((exact_dedup.without_duplicates, [2, 4, None]), (simhash.without_near_duplicates, [1, 3, None]), (lambda d: kneser_ney.without_rejected(d, labels), [1, 2, None])):
+        left = stage(table)
+        assert left.columns == table.columns
+        got = left.collect()
+        assert sorted((r["doc_id"] for r in got), key=str) == sorted(ids, key=str) and all(tuple(r)[2:] == tuple("abcdefgh") for r in got)
+        assert stage(table.where("false")).count() == 0
+
+
+def test_stored_snapshot(spark, tmp_path):
+    group = lambda rows: spark.createDataFrame([(bytes([d]) * 32, n, top, rid) for d, n, top, rid in rows], exact_dedup.GROUP)
+    exact_dedup.Snapshot.build(group([(k, 2, 10 * k, k) for k in range(1, 40)]), str(tmp_path / "s"), 40)
+    for batch in ([(5, 3, 99, 70), (6, 1, 1, 71), (50, 4, 2, 72)], [(60, 1, 1, 1)], []):
+        met, new = exact_dedup.Snapshot.load(spark, str(tmp_path / "s")).meet(group(batch), Scratch(spark, "t"))
+        assert {(r["digest"][0], r["n"], r["top"], r["rid"]) for r in met.collect()} == {(d, n + 2, max(top, 10 * d), rid if top > 10 * d else d) for d, n, top, rid in batch if d < 40}
+        assert {r["digest"][0] for r in new.collect()} == {b[0] for b in batch if b[0] >= 40}
+    exact_dedup.Snapshot.build(group([]), str(tmp_path / "none"), 0)
+    met, new = exact_dedup.Snapshot.load(spark, str(tmp_path / "none")).meet(group([(1, 1, 1, 1)]), Scratch(spark, "t"))
+    assert met.count() == 0 and new.count() == 1
+
+
+def test_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_HOT", 5)
+    monkeypatch.setattr(exact_dedup, "HOT", 10)
+    rows = [(k, f"text {k % 3 if k < 60 else k}", "en", "s") for k in range(100)]
+    out = exact_dedup.exact_duplicates(docs(spark, rows)).collect()
+    assert len(out) == 100
+    for r in out:
+        twins = [k for k, t, _, _ in rows if t == rows[r["doc_id"]][1]]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(twins), len(twins), r["doc_id"] == max(twins))
+
+
 def conversation(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
@@ -249,83 +346,112 @@ def test_url_templates_reject_impure_branches(spark):
     assert [r[0] for r in merged] == ["/bad|good/*"]
 
 
-def brute_kn(train, word, order):
-    """Interpolated modified Kneser-Ney by recursion over dictionaries."""
+def brute_kn(train, text, order):
+    """(sum of log probabilities, characters) of a text under interpolated modified Kneser-Ney by recursion over dictionaries."""
     from collections import Counter
 
+    bound = lambda t: "\x02" + " ".join(t.split()) + "\x03"
     raw = Counter()
-    for w, n in train.items():
-        b = kneser_ney.bounded(w)
+    for t in train:
+        b = bound(t)
         for k in range(1, len(b)):
-            raw[b[max(0, k + 1 - order) : k + 1]] += n
+            raw[b[max(0, k + 1 - order) : k + 1]] += 1
     counts = {order: Counter({g: n for g, n in raw.items() if len(g) == order})}
     for k in range(order - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
         for g, n in raw.items():
-            if len(g) == k and g.startswith(kneser_ney.BOS):
+            if len(g) == k and g.startswith("\x02"):
                 counts[k][g] = n
     ds = {k: kneser_ney.discounts([sum(1 for c in counts[k].values() if c == i) for i in range(1, 5)]) for k in counts}
 
-    def cut(k, c):
-        return ds[k][min(c, 3) - 1] if c else 0
-
     def p(g):
         k = len(g)
-        inside = [c for x, c in counts[k].items() if x[:-1] == g[:-1]]
+        inside = [(c, min(ds[k][min(c, 3) - 1], c)) for x, c in counts[k].items() if x[:-1] == g[:-1]]
         below = p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
         if not inside:
             return below
-        c = counts[k].get(g, 0)
-        return max(c - cut(k, c), 0) / sum(inside) + sum(min(cut(k, x), x) for x in inside) / sum(inside) * below
+        c, total = counts[k].get(g, 0), sum(c for c, _ in inside)
+        return (c - (min(ds[k][min(c, 3) - 1], c) if c else 0)) / total + sum(d for _, d in inside) / total * below
 
-    b = kneser_ney.bounded(word)
+    b = bound(text)
     return sum(np.log(p(b[max(0, k + 1 - order) : k + 1])) for k in range(1, len(b))), len(b) - 1
 
 
 @pytest.mark.parametrize("sent", [10_000, 0])
 def test_kneser_ney(spark, sent):
-    from collections import Counter
-
     r = np.random.default_rng(2)
     parts = ["an", "er", "th", "on", "re", "ti", "st"]
     text = lambda n: " ".join("".join(r.choice(parts, r.integers(1, 4))) for _ in range(n))
-    rows = [(k, text(40), "en", "s") for k in range(50)] + [(90, "ZZQ!! %%% XX", "en", "s"), (91, None, "en", "s"), (92, "  ", None, "s"), (93, "né\x02w words", "fr", "s"), (94, text(5), "en", "s"), (94, text(5), "en", "s")]
+    rows = [(k, text(30), "en", "s") for k in range(50)] + [(90, "ZZQ!! %%% XX", "en", "s"), (91, None, "en", "s"), (92, " \n ", None, "s"), (93, "n\u00e9\x02w  words 語", "fr", "s"), (94, text(5), "en", "s"), (94, text(5), "en", "s"), (None, text(30), "en", "s")]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(41, 1, 1), (42, 0, 0), (None, 1, 0), (39, 0, 0)], "doc_id long, quality int, toxic int")
     out = kneser_ney.classify(docs(spark, rows), labels, order=3, sent_rows=sent).collect()
     assert len(out) == len(rows)
-    train = Counter(w for i, t, _, _ in rows if i < 39 for w in t.split())
+    held = {x["doc_id"] for x in docs(spark, rows).where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT)) == 0).select("doc_id").collect()}
+    assert 2 < len({k for k in range(39)} & held) < 20
+    train = [t for i, t, _, _ in rows if i is not None and i < 39 and i not in held]
     want = {}
     for i, t, _, _ in rows:
-        got = [brute_kn(train, w, 3) for w in (t or "").split()]
-        want.setdefault(i, []).append(round(float(np.exp(-sum(x[0] for x in got) / sum(x[1] for x in got))), 3) if got else None)
+        t = (t or "").replace("\x02", "\x01")
+        total, n = brute_kn(train, t, 3)
+        want.setdefault(i, []).append(round(float(np.exp(-total / n)), 4) if t.split() else None)
     for i in want:
-        mine = [None if x["perplexity"] is None else round(x["perplexity"], 3) for x in out if x["doc_id"] == i]
-        assert sorted(mine, key=str) == pytest.approx(sorted(want[i], key=str), abs=2e-3) if None not in mine else mine == want[i]
+        mine = [None if x["perplexity"] is None else round(x["perplexity"], 4) for x in out if x["doc_id"] == i]
+        assert mine == want[i] if None in mine else sorted(mine) == pytest.approx(sorted(want[i]), rel=1e-4)
     keep = {x["doc_id"]: x["keep"] for x in out}
-    assert not keep[90] and not keep[91] and not keep[92] and keep[0]
+    assert not keep[90] and not keep[91] and not keep[92] and sum(keep[k] for k in range(39)) >= 36
+
+
+def test_both_ways_give_the_same_perplexities(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(r.choice(["net", "sales", "rose", "Ünder", "the", "x" * 40, "42"], r.integers(1, 60))), "en" if k % 2 else None, "s") for k in range(120)] + [(500, LONG, "en", "s")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    one, two = ({x["doc_id"]: x for x in kneser_ney.classify(docs(spark, rows), labels, sent_rows=n).collect()} for n in (10**6, 0))
+    for k, x in one.items():
+        assert x["perplexity"] == pytest.approx(two[k]["perplexity"], rel=1e-9) and x["keep"] == two[k]["keep"] and x["chars"] == two[k]["chars"]
+
+
+def test_hash_table():
+    r = np.random.default_rng(4)
+    grams = np.unique(r.integers(1, 1 << 60, 5000, dtype=np.uint64))
+    logp = np.where(np.arange(len(grams)) % 3 == 0, np.nan, np.arange(len(grams)) * -1.0)
+    t = kneser_ney.Table(grams, logp, np.zeros(len(grams)), -9.0)
+    ask = np.concatenate([grams, r.integers(1, 1 << 60, 5000, dtype=np.uint64)])
+    assert t.find(ask)[: len(grams)].tolist() == list(range(len(grams))) and (t.find(ask)[len(grams) :] == len(grams)).all()
 
 
 def test_kneser_ney_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = kneser_ney.classify(docs(spark, ROWS), labels).collect()
-    assert all(r["keep"] == (r["chars"] > 0) for r in out)
+    assert len(out) == len(ROWS) and all(r["keep"] == (r["chars"] > 0) for r in out)
     assert kneser_ney.classify(docs(spark, ROWS).where("false"), labels).count() == 0
 
 
 def test_probabilities_sum_to_one(spark):
-    words = ["abc", "abd", "b", "cab"]
-    letters = "abcd" + kneser_ney.EOS
-    grams = {}
-    for w in words:
-        b = kneser_ney.bounded(w)
-        for k in range(1, len(b)):
-            grams[b[max(0, k - 2) : k + 1]] = grams.get(b[max(0, k - 2) : k + 1], 0) + 1
-    for context in ("ab", kneser_ney.BOS + "a", kneser_ney.BOS):
-        for x in letters + "?":
-            grams.setdefault(context + x, 0)
-    p = {r["gram"]: np.exp(r["logp"]) for r in kneser_ney.gram_probabilities(spark.createDataFrame(list(grams.items()), "gram string, n long"), Scratch(spark, "t"), 3).collect()}
-    for context in ("ab", kneser_ney.BOS + "a", kneser_ney.BOS):
-        assert sum(p[context + x] for x in letters + "?") == pytest.approx(1, abs=1e-6)
+    texts = ["abc abd", "b cab", "abd"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    table, unseen = kneser_ney.model(kneser_ney.gram_counts(df, 3), Scratch(spark, "t"), 3)
+    rows = table.toArrow()
+    t = kneser_ney.Table(rows["gram"].to_numpy().view(np.uint64), rows["logp"].to_numpy(), rows["back"].to_numpy(), unseen, 3)
+    letters = [ord(c) for c in "abcd "] + [kneser_ney.EOS, 0xCFF]  # the last one stands for all that were not seen
+    for context in ([ord("a"), ord("b")], [kneser_ney.BOS], [kneser_ney.BOS, ord("b")], [ord("z"), ord("b")], [ord("q"), ord("z")]):
+        code = 0
+        for c in context:
+            code = code << kneser_ney.BITS | c
+        grams = np.array([code << kneser_ney.BITS | x for x in letters], dtype=np.uint64)
+        assert np.exp(t.scores(grams)).sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_held_out_accuracy(spark):
+    """Junk of several kinds goes and held-out good text stays."""
+    r = np.random.default_rng(6)
+    parts = ["an", "er", "th", "on", "re", "ti", "st", "en", "ou", "le"]
+    words = ["".join(r.choice(parts, r.integers(1, 4))) for _ in range(400)]
+    sentence = lambda: " ".join(r.choice(words, r.integers(4, 12))).capitalize() + "."
+    good = [(k, " ".join(sentence() for _ in range(r.integers(8, 20))), "en", "s") for k in range(900)]
+    junk = [(2000 + k, " ".join([r.choice(words).capitalize()] * 60), "en", "s") for k in range(20)] + [(3000 + k, " | ".join(r.choice(words, 60)), "en", "s") for k in range(20)] + [(4000 + k, sentence().upper() * 8, "en", "s") for k in range(20)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(500)], "doc_id long, quality int, toxic int")
+    keep = {x["doc_id"]: x["keep"] for x in kneser_ney.classify(docs(spark, good + junk), labels).collect()}
+    assert sum(keep[k] for k in range(500, 900)) >= 0.98 * 400 and sum(keep[k] for k in keep if k >= 2000) <= 3
 
 
 def test_decontamination(spark):
