@@ -47,11 +47,22 @@ def align_items(targets: DataFrame, references: DataFrame, least: float = MIN_SC
     """Edges (doc_id, target, references, relation, score, ambiguous) between items (doc_id, idx, text) of two documents.
 
     Per target, the references within 0.15 of the best and at or over the bar, three at most; items left over are edges
-    of their own (unmatched_target, unmatched_reference).
+    of their own (unmatched_target, unmatched_reference). Two texts at the bar share a known part of the smaller one's
+    tokens, so one of its rarer ones: only these are joined with all tokens of the other side, and common words make no pairs.
     """
     prep = lambda df, i, p: df.select("doc_id", F.col("idx").alias(i), normal_text(F.col("text")).alias(p)).withColumn(f"{p}_tokens", tokens(F.col(p)))
     t, r = prep(targets, "t", "a"), prep(references, "r", "b")
-    shared = t.select("doc_id", "t", F.explode("a_tokens").alias("token")).join(r.select("doc_id", "r", F.explode("b_tokens").alias("token")), ["doc_id", "token"]).select("doc_id", "t", "r").distinct()
+    te, re = (df.select("doc_id", i, F.explode(f"{p}_tokens").alias("token"), F.size(f"{p}_tokens").alias("size")) for df, i, p in ((t, "t", "a"), (r, "r", "b")))
+    often = te.select("doc_id", "token").union(re.select("doc_id", "token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("often"))
+    part = max(0.0, (least - PREFIX) / CONTAINED)  # of a set of three tokens or more; smaller ones need not be contained
+
+    def rare(df: DataFrame, i: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("doc_id", i).orderBy("often", "token"))
+        kept = F.when(F.col("size") <= 2, F.col("size")).otherwise(F.col("size") - F.ceil(F.col("size") * part - 1e-9) + 1)
+        return df.join(often, ["doc_id", "token"]).withColumn("place", place).where(F.col("place") <= kept).select("doc_id", i, "token")
+
+    key = ["doc_id", "token"]
+    shared = rare(te, "t").join(re.select("doc_id", "r", "token"), key).select("doc_id", "t", "r").union(te.select("doc_id", "t", "token").join(rare(re, "r"), key).select("doc_id", "t", "r")).distinct()
     scored = shared.join(t, ["doc_id", "t"]).join(r, ["doc_id", "r"]).select("doc_id", "t", "r", similarity_of(F.col("a"), F.col("b"), F.col("a_tokens"), F.col("b_tokens")).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("doc_id", "t")
     ranked = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(least), F.col("best") - NEAR_BEST))

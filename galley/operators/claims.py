@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from galley.functions import claimed, claims
 from galley.operators.cases import case_rows, case_sql
+from galley.operators.checks import fiscal_label_only, fiscal_relation
 from galley.operators.findings import NUMERIC, TRANSLATED, direction_conflict
 from galley.sources.tables import read
 
@@ -31,24 +32,27 @@ def applied(rows: DataFrame, function: Callable, columns: list[str], name: str,
 
 
 def with_proof(findings: DataFrame) -> DataFrame:
-    """(id, proof) of findings (id, category, quote, reference, reason, suggestion, summary, incompatible, uncertain); proof is null for what must stay.
+    """(id, proof) of findings (id, category, quote, reference, reason, suggestion, summary, incompatible, uncertain, bound); proof is null for what must stay.
 
     Vetoes before any proof: the quotes go in opposite directions, the masked symbols were of different amounts
-    (incompatible), or a side's scale could not be read (uncertain).
+    (incompatible), a side's scale could not be read (uncertain), or the quotes, bound to one row of their sources each
+    (bound), are of different fiscal years.
     """
 
-    def proof(veto, category, quote, reference, reason, suggestion, summary):
+    def proof(veto, fiscal, category, quote, reference, reason, suggestion, summary):
         if veto:
             return None
         texts = [t for t in (reason, summary, suggestion) if t]
         numeric = claimed.numeric_claim(category, quote, reference, texts, NUMERIC, TRANSLATED)
-        return claims.conclusive_false_positive(numeric, quote, reference, reason, suggestion, summary)
+        return claims.conclusive_false_positive(numeric, quote, reference, reason, suggestion, summary, fiscal)
 
     has = set(findings.columns)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in has else F.lit(False)
     veto = direction_conflict(F.col("quote"), F.col("reference")) | flag("incompatible") | flag("uncertain")
-    tidy = findings.select("id", veto.alias("veto"), "category", "quote", "reference", "reason", "suggestion", (F.col("summary") if "summary" in has else F.lit(None).cast("string")).alias("summary"))
-    return applied(tidy, proof, ["veto", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string")
+    veto = veto | (flag("bound") & (fiscal_relation(F.col("quote"), F.col("reference")) == "conflict"))
+    fiscal = fiscal_label_only(F.col("category"), F.col("quote"), F.concat_ws(" ", "suggestion", "reason"), F.col("reference"))
+    tidy = findings.select("id", veto.alias("veto"), fiscal.alias("fiscal"), "category", "quote", "reference", "reason", "suggestion", (F.col("summary") if "summary" in has else F.lit(None).cast("string")).alias("summary"))
+    return applied(tidy, proof, ["veto", "fiscal", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string")
 
 
 def merge_on_page(findings: DataFrame) -> DataFrame:
@@ -92,6 +96,7 @@ M = "number_mismatch"
 PROOFS = (
     (M, "Sales were 4,918.2 billion yen", "売上高は4,918,172百万円", "値が異なる", "見直す", False, False, "equivalent"), (M, "Sales were 4,918.2 billion yen", "売上高は4,918,172千円", "値が異なる", "見直す", False, False, None),
     (M, "Sales were up 5.2%", "売上高は5.2%減", "different", "fix", False, False, None), (M, "Net income was 579", "純損失は579", "different", "fix", False, False, None), (M, "Sales were up 5.2%", "売上高は5.2%増", "different", "fix", False, False, "equivalent"),
+    ("date_mismatch", "compared to FY March 2014", "2013年度比", "年度が異なる", "fix", False, False, "fiscal_label"), ("date_mismatch", "compared to FY March 2014", "2014年度比", "年度が異なる", "fix", False, False, None),
     (M, "Sales were 584", "売上高は584", "different", "fix", True, False, None), (M, "Sales were 584", "売上高は584", "different", "fix", False, True, None), ("typo", "Sales were 584", "売上高は584", "different", "fix", False, False, None),
     ("typo", "the term", None, None, 'use "That" or "that"', False, False, "self_duplicate"), ("typo", "the term", None, None, 'delete "not" or move "not"', False, False, None),
     (M, "loss of (579)", "損失△579", "TARGET (579) と REF △579 は不一致", "fix", False, False, "same_value"), (M, "loss of (579)", "損失△580", "TARGET (579) と REF △579 は不一致", "fix", False, False, None),
@@ -145,7 +150,7 @@ def f17_numeric_proofs(spark: SparkSession, d: str) -> DataFrame:
 
 CASE_QUERIES = {
     "f14_numeric_claims": _case_query(CLAIMS, lambda c, q, r, t: claimed.numeric_claim(c, q, r, [t or ""], NUMERIC, TRANSLATED), "category string, quote string, reference string, said string", "claim", "boolean"),
-    "f16_same_value": _case_query(tuple((*c[1:4], c[7] == "same_value") for c in PROOFS[:5] + PROOFS[10:14]), lambda q, r, t: claims.same_value_claim(q, r, t, [t or ""]), "quote string, reference string, reason string", "same", "boolean"),
+    "f16_same_value": _case_query(tuple((*c[1:4], c[7] == "same_value") for c in PROOFS if c[0] in NUMERIC + TRANSLATED), lambda q, r, t: claims.same_value_claim(q, r, t, [t or ""]), "quote string, reference string, reason string", "same", "boolean"),
     "f18_self_duplicate": _case_query(DUPLICATES, claims.self_duplicate, "suggestion string", "duplicate", "boolean"),
     "f19_ordered_subset": _case_query(SUBSETS, lambda q, r, extras: claims.ordered_subset(q, "en", r, "en", extras), "quote string, reference string, extras boolean", "subset", "boolean"),
     "f20_self_identical": _case_query(IDENTICAL, lambda t, q, r, u: claimed.self_identical(q, r, [t or ""], None, u), "said string, quote string, reference string, uncertain boolean", "identical", "boolean"),
