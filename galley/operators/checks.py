@@ -155,6 +155,53 @@ def stage_contract(packets: DataFrame) -> DataFrame:
     return packets.groupBy("job_id").agg(F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+#: Pages between a block and its translation, and the weight of a pair by distance and without any common words.
+NEAR_PAGES, SAME_PAGE, APART, STEP, LEAST_APART, UNLIKE = 3, 1.0, 0.78, 0.08, 0.55, 0.7
+
+
+def _page_score(a: Column, b: Column) -> Column:
+    """1 on the same page, less on one of the next three, 0.65 where a page is unknown, null beyond."""
+    far = F.abs(a - b)
+    return F.when(far.isNull(), 0.65).when(far == 0, SAME_PAGE).when(far <= NEAR_PAGES, F.greatest(F.lit(LEAST_APART), APART - STEP * far))
+
+
+def block_pairs(edges: DataFrame, targets: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, target, reference, score, by): aligned blocks of one role (edges: doc_id, target, references, score) on pages near one another; then, for each reference block left, in order, the first target block of its role that is near and free.
+
+    Blocks: doc_id, id (their order), role, page. The second step depends on what was taken before, so a document's left
+    blocks of one role stream through a task in order.
+    """
+    t = targets.select("doc_id", F.col("id").alias("target"), F.col("role").alias("t_role"), F.col("page").alias("t_page"))
+    r = references.select("doc_id", F.col("id").alias("reference"), F.col("role").alias("r_role"), F.col("page").alias("r_page"))
+    known = edges.where("target is not null").select("doc_id", "target", F.get("references", F.lit(0)).alias("reference"), F.col("score").alias("alike"))
+    near = _page_score(F.col("t_page"), F.col("r_page"))
+    met = known.join(t, ["doc_id", "target"]).join(r, ["doc_id", "reference"]).where(F.col("t_role") == F.col("r_role")).withColumn("near", near).where("near is not null")
+    aligned = met.select("doc_id", "target", "reference", F.greatest("alike", "near").alias("score"), F.lit("words").alias("by"))
+    left_t = t.join(aligned.select("doc_id", "target"), ["doc_id", "target"], "left_anti").select("doc_id", F.col("t_role").alias("role"), F.lit(0).alias("side"), F.col("target").alias("id"), F.col("t_page").alias("page"))
+    left_r = r.join(aligned.select("doc_id", "reference"), ["doc_id", "reference"], "left_anti").select("doc_id", F.col("r_role").alias("role"), F.lit(1).alias("side"), F.col("reference").alias("id"), F.col("r_page").alias("page"))
+    schema = pa.schema([("doc_id", pa.int64()), ("target", pa.int64()), ("reference", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, []
+        for b in batches:
+            out = []
+            for x in b.to_pylist():
+                if key != (x["doc_id"], x["role"]):
+                    key, free = (x["doc_id"], x["role"]), []
+                if x["side"] == 0:
+                    free.append(x)
+                    continue
+                hit = next((k for k, f in enumerate(free) if f["page"] is None or x["page"] is None or abs(f["page"] - x["page"]) <= NEAR_PAGES), None)
+                if hit is not None:
+                    out.append({"doc_id": x["doc_id"], "target": free.pop(hit)["id"], "reference": x["id"]})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    left = left_t.union(left_r).select(*(F.col(c).cast("long").alias(c) if c != "role" else F.col(c) for c in ("doc_id", "role", "side", "id", "page")))
+    greedy = left.repartition("doc_id", "role").sortWithinPartitions("doc_id", "role", "side", "id").mapInArrow(run, "doc_id long, target long, reference long")
+    more = greedy.join(t, ["doc_id", "target"]).join(r, ["doc_id", "reference"]).select("doc_id", "target", "reference", F.greatest(F.lit(UNLIKE), _page_score(F.col("t_page"), F.col("r_page"))).alias("score"), F.lit("order").alias("by"))
+    return aligned.union(more)
+
+
 def counterparts(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """(id, page, row): the only row (doc_id, page, row, text) of the document, on another page than the finding's, that has its text, white space aside; nothing if there are several."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s\x{3000}]+", " "))
@@ -269,6 +316,15 @@ def b12_counterparts(spark, d):
     return counterparts(rows, f)
 
 
+def j09_block_pairs(spark, d):
+    """Each order's lines are blocks; a reference lacks the first line. Edges join equal lines of the flag A; all others pair by order."""
+    li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    t = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("id"), F.when(F.col("flag") == "A", "list").otherwise("table").alias("role"), F.lit(1).alias("page"))
+    r = t.where("id > 1").withColumn("page", F.when(F.col("role") == "list", F.lit(2)).otherwise(F.lit(1)))
+    edges = t.where("role = 'list'").select("doc_id", F.col("id").alias("target"), F.array("id").alias("references"), F.lit(0.5).alias("score"))
+    return block_pairs(edges, t, r)
+
+
 def _items(spark, d):
     """A page for each supplier's first orders: rows of letters 20 apart, those with a tax of 8 % printed twice."""
     li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_tax").alias("tax"), F.min("l_returnflag").alias("flag"))
@@ -285,7 +341,7 @@ def w05_vertical_runs(spark, d):
     return marked_items(_items(spark, d).where("source_index % 2 = 0"), glyphs.vertical_runs)
 
 
-QUERIES = {f.__name__: f for f in (x14_page_checks, f09_heading_numbers, x09_fiscal_relation, x09_fiscal_label, l07_protect_lines, a19_footnote_marks, l06_apply_running, l07_page_prompts, o02_stage_contract, b12_counterparts, u09_overprints, w05_vertical_runs)}
+QUERIES = {f.__name__: f for f in (x14_page_checks, f09_heading_numbers, x09_fiscal_relation, x09_fiscal_label, l07_protect_lines, a19_footnote_marks, l06_apply_running, l07_page_prompts, o02_stage_contract, b12_counterparts, j09_block_pairs, u09_overprints, w05_vertical_runs)}
 
 _RUNS = """
 WITH i AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS n FROM lineitem), g AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM i)
@@ -306,6 +362,9 @@ FROM (SELECT l_orderkey AS doc_id, l_linenumber AS n, min(l_returnflag) AS f, mi
     "o02_stage_contract": "SELECT l_orderkey AS job_id, min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AND count(*) = count(DISTINCT l_linenumber) AS ok FROM lineitem GROUP BY 1",
     "b12_counterparts": """WITH r AS (SELECT l_orderkey AS k, l_linenumber AS p, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2)
 SELECT a.k * 10 + a.p AS id, CAST(min(b.p) AS INT) AS page, CAST(min(b.p) * 10 AS INT) AS "row" FROM r a JOIN r b ON a.k = b.k AND a.f = b.f AND a.p <> b.p GROUP BY a.k, a.p HAVING count(*) = 1""",
+    "j09_block_pairs": """WITH t AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS id, min(l_returnflag) = 'A' AS listed FROM lineitem GROUP BY 1, 2),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM t WHERE NOT listed), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM t WHERE NOT listed AND id > 1)
+SELECT doc_id, id AS target, id AS reference, 0.78 - 0.08 AS score, 'words' AS "by" FROM t WHERE listed AND id > 1 UNION ALL SELECT a.doc_id, a.id, b.id, 1.0, 'order' FROM a JOIN b ON a.doc_id = b.doc_id AND a.k = b.k""",
     "u09_overprints": "SELECT DISTINCT l_orderkey AS doc_id, CAST(1 AS BIGINT) AS page, CAST(l_linenumber * 2 + 1 AS BIGINT) AS source_index FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING max(l_tax) >= 0.08",
     "w05_vertical_runs": _RUNS,
 }

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from galley.operators import alignment, amounts, answers, calibration, checks, claims, documents, findings, layout_lines, review, scoring, sections, states, text
+from galley.operators import alignment, amounts, answers, calibration, checks, claims, documents, findings, layout_lines, masking, review, scoring, sections, states, text
 from galley.sources import ingest
 from galley.streaming import pass_stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (layout_lines, scoring, calibration, states, sections, alignment, text, findings, amounts, answers, documents, claims, checks, review, ingest, pass_stats):
+for _module in (layout_lines, scoring, calibration, states, sections, alignment, text, findings, amounts, answers, documents, claims, checks, masking, review, ingest, pass_stats):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
