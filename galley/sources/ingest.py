@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.operators.states import latest_per_key
+from galley.operators.text import is_refusal
 from galley.sources.tables import read
 
 #: Fixed values.
@@ -91,12 +94,46 @@ def append_csv(rows: DataFrame, folder: str) -> None:
     rows.write.mode("append").option("header", True).option("escape", '"').csv(folder)
 
 
+def refusal_rows(turns: DataFrame) -> DataFrame:
+    """timestamp, completed_by, elapsed_ms of turns (at, completed_by, elapsed_ms, text) that decline, fit for the refusals file: times in UTC with milliseconds, no negative durations."""
+    refused = turns.where(is_refusal(F.col("text")))
+    return refused.select(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.coalesce("completed_by", F.lit("")).alias("completed_by"), F.greatest(F.coalesce(F.col("elapsed_ms").cast("long"), F.lit(0)), F.lit(0)).alias("elapsed_ms"))
+
+
+def staged_pdfs(files: DataFrame) -> DataFrame:
+    """name, pages, problem of files (name, content; of the binaryFile source too): the first reason against one, or null.
+
+    A PDF starts with its mark, says where it ends, and has page objects; their text is not read.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    pages = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    size = F.coalesce(F.length("content"), F.lit(0))
+    problem = F.when(~F.coalesce(F.lower("name").endswith(".pdf"), F.lit(False)), "name").when(size == 0, "empty").when(~text.startswith("%PDF-"), "type").when(~F.right(text, F.lit(1024)).contains("%%EOF"), "truncated").when(pages == 0, "pages")
+    return files.select("name", F.when(size > 0, pages).otherwise(0).cast("long").alias("pages"), problem.alias("problem"))
+
+
 def write_report(findings: DataFrame, folder: str) -> None:
     """CSV and JSON with every finding, excluded ones too; an existing report is an error."""
     findings.write.option("header", True).option("escape", '"').csv(f"{folder}/csv")
     findings.write.json(f"{folder}/json")
 
 
+def write_report_folder(findings: DataFrame, parent: str, name: str) -> str:
+    """Writes a report to a folder of that name, or `name (2)` and so on where it exists, and gives the name; whatever was written is removed if that fails."""
+    if not name or name in (".", "..") or re.search(r"[\\/:]", name):
+        raise ValueError("not a folder's name")
+    spark = findings.sparkSession
+    path = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{parent.rstrip('/')}/{n}")
+    system = path(name).getFileSystem(spark._jsc.hadoopConfiguration())
+    free = next(n for n in (name, *(f"{name} ({k})" for k in range(2, 10_000))) if not system.exists(path(n)))
+    try:
+        write_report(findings, f"{parent.rstrip('/')}/{free}")
+    except Exception:
+        system.delete(path(free), True)
+        raise
+    return free
+
+
 def next_revision(journal: DataFrame, states: DataFrame) -> DataFrame:
     """states (job_id, state) with the next revision of their job."""
     last = journal.groupBy("job_id").agg(F.max("revision").alias("last"))
@@ -187,7 +224,20 @@ def x36_digests(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (s02_stage_batch, s03_parse_jobs, s04_stage_metadata, s05_settings, s06_assign_target, s07_sidecar, s08_valid_extracts, s09_log_counts, s11_report_to_run, k01_pass_stats, k03_next_revision, k04_upsert_manifest, k07_expired, x36_digests)}
+def s01_staged_pdfs(spark, d):
+    o = read(spark, d, "orders")
+    body = F.concat(F.when(F.col("o_orderstatus") == "P", "").otherwise("%PDF-1.7\n"), F.repeat(F.lit("<< /Type /Page >> "), F.pmod("o_orderkey", F.lit(4)).cast("int")), F.lit("<< /Type /Pages >>"), F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise("\n%%EOF\n"))
+    name = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderpriority") == "2-HIGH", ".txt").otherwise(".PDF"))
+    return staged_pdfs(o.select(name.alias("name"), F.when(F.col("o_orderpriority") == "5-LOW", F.lit("").cast("binary")).otherwise(body.cast("binary")).alias("content")))
+
+
+def k02_refusals(spark, d):
+    e = read(spark, d, "events")
+    text = F.when(F.col("value") > 60, "申し訳ございません。それには回答できません。").when(F.col("value") > 30, "Something went wrong").otherwise("The page is fine")
+    return refusal_rows(e.select(F.col("ts").alias("at"), F.col("event_type").alias("completed_by"), (F.col("event_id") - 5).alias("elapsed_ms"), text.alias("text"))).groupBy("completed_by").agg(F.count(F.lit(1)).alias("n"), F.sum("elapsed_ms").alias("ms"), F.min(F.substring("timestamp", 1, 10)).alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (s01_staged_pdfs, k02_refusals, s02_stage_batch, s03_parse_jobs, s04_stage_metadata, s05_settings, s06_assign_target, s07_sidecar, s08_valid_extracts, s09_log_counts, s11_report_to_run, k01_pass_stats, k03_next_revision, k04_upsert_manifest, k07_expired, x36_digests)}
 
 ORACLE_SQL = {
     "s02_stage_batch": "SELECT c_mktsegment AS name, CAST(len(CAST(c_nationkey AS VARCHAR)) AS INT) AS length, min(c_custkey) AS \"order\" FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_nationkey IN (SELECT s_nationkey FROM supplier)) GROUP BY c_mktsegment, c_nationkey",
@@ -199,6 +249,9 @@ ORACLE_SQL = {
     "s08_valid_extracts": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents WHERE lang NOT IN ('de', 'fr') GROUP BY 1",
     "s09_log_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines, count(*) FILTER (WHERE value > 60 AND value <= 80) AS attach, count(*) FILTER (WHERE value > 80) AS stalls, 0 AS refusals FROM events GROUP BY 1",
     "s11_report_to_run": "SELECT CASE WHEN l_discount > 0.07 THEN 'uncertain' ELSE 'finding' END AS kind, l_linenumber AS page, count(*) AS n FROM lineitem WHERE l_tax <= 0.05 GROUP BY 1, 2",
+    "s01_staged_pdfs": """SELECT o_orderkey || CASE WHEN o_orderpriority = '2-HIGH' THEN '.txt' ELSE '.PDF' END AS name, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_orderkey % 4 END AS pages,
+CASE WHEN o_orderpriority = '2-HIGH' THEN 'name' WHEN o_orderpriority = '5-LOW' THEN 'empty' WHEN o_orderstatus = 'P' THEN 'type' WHEN o_orderpriority = '1-URGENT' THEN 'truncated' WHEN o_orderkey % 4 = 0 THEN 'pages' END AS problem FROM orders""",
+    "k02_refusals": "SELECT event_type AS completed_by, count(*) AS n, CAST(sum(greatest(event_id - 5, 0)) AS BIGINT) AS ms, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first FROM events WHERE value > 30 GROUP BY 1",
     "k01_pass_stats": "SELECT CASE l_returnflag WHEN 'A' THEN 'typo' ELSE 'gap' END AS lens, CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'error' END AS status, CAST(sum(least(CAST(trunc(l_extendedprice * 3) AS INT), 100000)) AS BIGINT) AS findings_new, min(greatest(0, least(1, l_discount * 20 - 0.2))) AS low, max(greatest(0, least(1, l_discount * 20 - 0.2))) AS high, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2",
     "k03_next_revision": "SELECT o_orderkey AS job_id, coalesce(max(l_linenumber), 0) + 1 AS revision, o_orderstatus AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus",
     "k04_upsert_manifest": "SELECT packet_id, flag, job FROM (SELECT l_partkey AS packet_id, l_returnflag AS flag, l_orderkey AS job, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS r FROM lineitem) WHERE r = 1",

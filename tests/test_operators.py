@@ -121,6 +121,13 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a, \"b\"\nc", 1)], "text string, n int")
     ingest.write_report(rows, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/json")).first()["text"] == "a, \"b\"\nc"
+    assert [ingest.write_report_folder(rows, str(tmp_path), "out") for _ in range(3)] == ["out", "out (2)", "out (3)"] and spark.read.json(str(tmp_path / "out (2)/json")).count() == 1
+    for bad in ("", "..", "a/b", "c:d"):
+        with pytest.raises(ValueError, match="name"):
+            ingest.write_report_folder(rows, str(tmp_path), bad)
+    with pytest.raises(Exception, match="zero|ZERO|assert|raise"):
+        ingest.write_report_folder(rows.select(F.raise_error(F.lit("raise")).cast("string").alias("x")), str(tmp_path), "broken")
+    assert not (tmp_path / "broken").exists()
     ingest.append_csv(rows.select("n"), str(tmp_path / "stats"))
     ingest.append_csv(rows.select("n"), str(tmp_path / "stats"))
     assert spark.read.option("header", True).csv(str(tmp_path / "stats")).count() == 2
