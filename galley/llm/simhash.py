@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, ascii_lower, freeing, small, text_or_empty
+from galley.llm.common import Scratch, ascii_lower, free_name, freeing, small, text_or_empty
 from galley.llm.components import connected_components
 from galley.llm.golay import near_indices
 
@@ -186,7 +186,10 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WIDE, TOLERANCE = 5, 28
 SHINGLE, SIMILAR, BAND = 5, 0.8, 1.25
-#: Members of a bucket that a task compares; larger buckets are dealt over tasks so that every two members meet in one.
+#: Members up to which a bucket is compared as it is; a fuller one is split by the smallest of its rows' shingle hashes,
+#: SPLITS times with other hashes: two similar rows of a bucket then still meet, all but once in 1 / (1 - SIMILAR) ** SPLITS.
+FULL, SPLITS = 4096, 3
+#: Members of a bucket that a task compares; larger ones, which are copies of one another, are dealt over tasks so that every two members meet in one.
 TILE = 16_384
 #: Pairs a member up to which a bucket gives all of them at once; beyond, those of verified groups are left out (see near_groups).
 DENSE = 4
@@ -211,6 +214,12 @@ def shingle_hashes(hashes: np.ndarray, words: int = SHINGLE) -> np.ndarray:
     return np.unique(total >> U(32)).astype(np.uint32)
 
 
+def smallest(shingles: np.ndarray) -> list[int]:
+    """For each of SPLITS orders of the hashes, the smallest: the same for two sets as often as they are similar."""
+    wide = shingles.astype(U)
+    return [int(_mix(wide + U((k + 1) << 40)).min() >> U(1)) if len(wide) else 0 for k in range(SPLITS)]
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WIDE words of 23 bits, voted by the distinct words of the text."""
     one = np.unique(hashes)
@@ -222,23 +231,30 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return bits @ (1 << np.arange(23, dtype=np.int64))
 
 
-def _row_key():
-    return F.xxhash64(F.col("doc_id").cast("string"), ascii_lower(text_or_empty())).alias("rid")
+def _row_hash():
+    """With the doc_id, 128 bits that tell rows apart."""
+    return F.xxhash64(ascii_lower(text_or_empty()))
+
+
+def _tidy(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_hash().alias("hash"), text_or_empty())
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """rid, p, q, r, size: the fingerprint in words of two segments, and the number of shingles. One row a row key."""
+    """doc_id, hash, p, q, r, size, m0, ...: the fingerprint in words of two segments, the number of shingles and the smallest of them. One row a doc_id and text."""
+    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64)
-            for k, t in enumerate(b.column(1)):
+            prints, sizes, least = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64), np.zeros((b.num_rows, SPLITS), dtype=np.int64)
+            for k, t in enumerate(b.column(2)):
                 hashes = word_hashes(t.as_py())
-                prints[k], sizes[k] = wide_fingerprint(hashes), max(1, len(shingle_hashes(hashes)))
-            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, wide)], ["rid", "p", "q", "r", "size"])
+                shingles = shingle_hashes(hashes)
+                prints[k], sizes[k], least[k] = wide_fingerprint(hashes), max(1, len(shingles)), smallest(shingles)
+            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes, *least.T]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(w)) for w in wide)], ["doc_id", "hash", *columns])
 
-    return docs.select(_row_key(), text_or_empty()).mapInArrow(freeing(run), "rid long, p long, q long, r long, size long").dropDuplicates(["rid"])
+    return _tidy(docs).mapInArrow(freeing(run), ", ".join(f"{c} long" for c in ["doc_id", "hash", *columns])).dropDuplicates(["doc_id", "hash"])
 
 
 def wide_keys(p: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,29 +270,59 @@ def wide_keys(p: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) ->
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def bucket_tiles(prints: DataFrame) -> dict[int, int]:
-    """Groups into which the members of each bucket over TILE are dealt; there are at most as many such buckets as keyed rows / TILE."""
+def split_keys(keys: np.ndarray, rows: np.ndarray, full: np.ndarray, least: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows) with the rows under a full key under SPLITS others instead, of it and each smallest shingle; those are negative."""
+    if not len(full):
+        return keys, rows
+    crowded = full[np.minimum(np.searchsorted(full, keys), len(full) - 1)] == keys
+    k, row = keys[crowded].astype(U), rows[crowded]
+    parts = [(keys[~crowded], rows[~crowded])]
+    for j, m in enumerate(least):
+        parts.append(((_mix(_mix(k + U(j << 40)) ^ m[row].astype(U)) >> U(1)).astype(np.int64) | -(1 << 63), row))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _counts(prints: DataFrame, full: np.ndarray, over: int) -> DataFrame:
+    """(key, n) of the keys with over so many rows, after the keys that are full have been split."""
+    sent = prints.sparkSession.sparkContext.broadcast(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, n = np.unique(wide_keys(*(b.column(k).to_numpy() for k in range(4)))[0], return_counts=True)
+            every = [b.column(k).to_numpy() for k in range(4 + SPLITS)]
+            keys, _ = split_keys(*wide_keys(*every[:4]), sent.value, every[4:])
+            if len(sent.value):
+                keys = keys[keys < 0]  # the others have been counted
+            keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    counts = prints.select("p", "q", "r", "size").mapInArrow(freeing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return {row["key"]: -(-2 * row["n"] // TILE) for row in counts.where(F.col("n") > TILE).toLocalIterator()}
+    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS))]
+    return prints.select(columns).mapInArrow(freeing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > over)
 
 
-def near_buckets(prints: DataFrame, tiles: dict[int, int], only: DataFrame | None = None) -> DataFrame:
-    """key (one of only, if given) and the columns of prints, sorted by key: under a key are rows that are to be compared, each with each."""
-    columns = prints.columns
-    sent = prints.sparkSession.sparkContext.broadcast(tiles)
+def crowded_keys(prints: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+    """(keys with over FULL rows, groups into which the rows under each split key with over TILE are dealt).
+
+    There are at most 5 segments x 4096 codewords x some 100 bands of the former, and of the latter as many as rows / TILE.
+    """
+    full = np.array(sorted(r["key"] for r in _counts(prints, np.zeros(0, dtype=np.int64), FULL).toLocalIterator()), dtype=np.int64)
+    if not len(full):
+        return full, {}
+    return full, {r["key"]: -(-2 * r["n"] // TILE) for r in _counts(prints, full, TILE).toLocalIterator()}
+
+
+def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], only: DataFrame | None = None) -> DataFrame:
+    """key (one of only, if given) and the columns of prints but for the smallest shingles, sorted by key: under a key are rows that are to be compared, each with each."""
+    least = [f"m{k}" for k in range(SPLITS)]
+    kept = [c for c in prints.columns if c not in ("doc_id", "hash", *least)]
+    sent = prints.sparkSession.sparkContext.broadcast((full, tiles))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.array(sorted(sent.value), dtype=np.int64)
-        groups = np.array([sent.value[k] for k in hot.tolist()], dtype=np.int64)
+        crowded, dealt = sent.value
+        hot = np.array(sorted(dealt), dtype=np.int64)
+        groups = np.array([dealt[k] for k in hot.tolist()], dtype=np.int64)
         for b in batches:
-            every = {c: b.column(k).to_numpy() for k, c in enumerate(columns)}
-            keys, rows = wide_keys(every["p"], every["q"], every["r"], every["size"])
+            every = {c: b.column(k).to_numpy() for k, c in enumerate([*kept, *least])}
+            keys, rows = split_keys(*wide_keys(every["p"], every["q"], every["r"], every["size"]), crowded, [every[m] for m in least])
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
                 large = hot[at] == keys
@@ -286,12 +332,13 @@ def near_buckets(prints: DataFrame, tiles: dict[int, int], only: DataFrame | Non
                     mine = (_mix(every["rid"][row].view(U)) % U(g)).astype(np.int64)
                     for other in range(g):  # a tile for every two groups
                         to = mine != other
-                        made.append((k[to] | np.minimum(mine, other)[to] << 28 | np.maximum(mine, other)[to] << 45, row[to]))
+                        pair = np.minimum(mine, other)[to] * g + np.maximum(mine, other)[to]
+                        made.append((k[to] ^ (_mix(pair.astype(U)) >> U(1)).astype(np.int64), row[to]))
                 keys, rows = (np.concatenate(x) for x in zip(*made, strict=True))
             for lo in range(0, len(keys), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), *(pa.array(every[c][rows[lo : lo + (1 << 18)]]) for c in columns)], ["key", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), *(pa.array(every[c][rows[lo : lo + (1 << 18)]]) for c in kept)], ["key", *kept])
 
-    keyed = prints.mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *columns]))
+    keyed = prints.select(*kept, *least).mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *kept]))
     if only is not None:
         keyed = keyed.join(F.broadcast(only) if small(only, 16) else only, "key", "left_semi")
     return keyed.repartition("key").sortWithinPartitions("key")
@@ -373,9 +420,10 @@ def left_candidates(buckets: DataFrame) -> DataFrame:
     return buckets.select("key", "p", "q", "r", "size", "rid", "root").mapInArrow(freeing(run), "a long, b long").distinct()
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def similar_pairs(docs: DataFrame, prints: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) at a Jaccard similarity of 0.8 or more over five-word shingles."""
-    wanted = scratch.write(pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct(), f"wanted-{name}")
+    rids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
+    wanted = scratch.write(prints.select("rid", F.col("doc_id").alias("id"), F.col("hash").alias("h")).join(rids, "rid"), f"wanted-{name}")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,41 +439,48 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str
                 keep.append(common >= SIMILAR * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = F.broadcast(wanted) if small(wanted, 16) else wanted
-    texts = docs.select(_row_key(), text_or_empty()).join(side, "rid", "left_semi").dropDuplicates(["rid"])
-    sets = scratch.write(texts.select("rid", "text").mapInArrow(freeing(shingles), "rid long, s binary"), f"sets-{name}")
+    side = F.broadcast(wanted) if small(wanted, 32) else wanted
+    texts = _tidy(docs).join(side, (F.col("hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rid", "text").dropDuplicates(["rid"])
+    sets = scratch.write(texts.mapInArrow(freeing(shingles), "rid long, s binary"), f"sets-{name}")
     left = pairs.join(sets.withColumnRenamed("rid", "a"), "a")
     both = left.join(sets.select(F.col("rid").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
     return scratch.write(both.mapInArrow(freeing(similar), "a long, b long"), f"similar-{name}")
 
 
-def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, root) of the rows that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more.
+def near_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rid, root) of the rows of prints that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more.
 
     Every pair of a bucket within TOLERANCE is verified, unless its rows are in one group already: first all pairs of most
     buckets and a linear number from those full of neighbours, then of the latter what the groups so found don't join.
     """
-    prints = scratch.write(wide_prints(docs), "prints")
-    tiles = bucket_tiles(prints)
-    found = scratch.write(near_candidates(near_buckets(prints, tiles)), "pairs")
-    links = similar_pairs(docs, found.where("key is null").select("a", "b"), scratch, "first")
-    full = found.where("key is not null").select("key")
+    full, tiles = crowded_keys(prints)
+    found = scratch.write(near_candidates(near_buckets(prints, full, tiles)), "pairs")
+    links = similar_pairs(docs, prints, found.where("key is null").select("a", "b"), scratch, "first")
+    dense = found.where("key is not null").select("key")
     roots = scratch.write(connected_components(links, scratch).select(F.col("node").alias("rid"), "root"), "roots")
-    if full.isEmpty():
+    if dense.isEmpty():
         return roots
     rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
-    more = similar_pairs(docs, scratch.write(left_candidates(near_buckets(rooted, tiles, full)), "left"), scratch, "left")
+    more = similar_pairs(docs, prints, scratch.write(left_candidates(near_buckets(rooted, full, tiles, dense)), "left"), scratch, "left")
+    if more.isEmpty():
+        return roots
     return connected_components(links.union(more), scratch).select(F.col("node").alias("rid"), "root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group of near-duplicates, the row with the smallest doc_id; the columns are those of docs."""
+    """The documents with one of each group of near-duplicates, the row with the smallest doc_id; the columns are those of docs, whatever they are called.
+
+    A row is its doc_id and its text with A-Z lower-cased: rows that repeat both are one and stay or go together. A null text
+    is empty, and all empty texts are near-duplicates of one another. A null doc_id comes after all others; ties go by hash.
+    An empty table gives no rows.
+    """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    groups = scratch.write(near_groups(docs, scratch), "groups")
-    marked = docs.withColumn("__rid", _row_key())
-    side = F.broadcast(groups) if small(groups, 24) else groups
-    ids = marked.select("__rid", F.col("doc_id").alias("__id")).join(side, F.col("__rid") == F.col("rid")).select("rid", "root", "__id")
-    first = ids.groupBy("root").agg(F.min_by("rid", F.struct(F.col("__id").isNull(), "__id", "rid")).alias("keep"))
-    gone = scratch.write(groups.join(first, "root").where("rid <> keep").select(F.col("rid").alias("__gone")), "gone")
-    side = F.broadcast(gone) if small(gone, 16) else gone
-    return marked.join(side, F.col("__rid") == F.col("__gone"), "left_anti").select(docs.columns)
+    prints = scratch.write(wide_prints(docs).withColumn("rid", F.monotonically_increasing_id()), "prints")
+    groups = scratch.write(near_groups(docs, prints, scratch), "groups")
+    named = prints.select("rid", "doc_id", "hash").join(F.broadcast(groups) if small(groups, 24) else groups, "rid")
+    first = named.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("keep"))
+    own, one, other = (free_name(docs, n) for n in ("row_hash", "gone_id", "gone_hash"))
+    gone = scratch.write(named.join(first, "root").where("rid <> keep").select(F.col("doc_id").alias(one), F.col("hash").alias(other)), "gone")
+    side = F.broadcast(gone) if small(gone, 32) else gone
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(own) == F.col(other))
+    return docs.withColumn(own, _row_hash()).join(side, match, "left_anti").drop(own)
