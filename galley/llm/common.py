@@ -44,8 +44,12 @@ class Scratch:
     They live until drop() or the end of the driver process, as lazy results read them.
     """
 
+    #: All that have not been dropped.
+    live: set[Scratch] = set()
+
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        self.live.add(self)
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +58,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
+        if not name:
+            self.live.discard(self)
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -102,6 +108,22 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
         lo = hi
 
 
+#: A key with over a HOT-th of the rows, and this many at least, is hot: there are fewer than HOT of them.
+HOT, LEAST_HOT = 1000, 500
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with named (one row a key, with how many rows have it: size), inner or left.
+
+    What is named for hot keys, fewer than HOT whatever the table's size, is sent to their rows, so no task gets them all.
+    """
+    least = max(LEAST_HOT, total // HOT)
+    hot = F.broadcast(named.where(F.col(size) > least))
+    met = rows.join(hot, key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(named.where(F.col(size) <= least), key, how)
+    return met.union(rest.select(met.columns))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with a number after it if a column has it already."""
     taken = {c.lower() for c in df.columns}

@@ -21,13 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.binary_fuse import BinaryFuse
-from galley.llm.common import Scratch, ascii_lower, free_name, small, text_or_empty
+from galley.llm.common import Scratch, ascii_lower, free_name, join_named, small, text_or_empty
 
 SHARD_KEYS = 500_000
 NO_ID = -(2**63)
 GROUP, FILTER = "digest binary, n long, top long, rid long", "shard long, shards long, seed long, segment long, count long, prints binary"
-#: A group with over a HOT-th of the rows, and this many at least, is sent to its rows.
-HOT, LEAST_HOT = 1000, 500
 
 
 def sha256(text: Column) -> Column:
@@ -126,11 +124,7 @@ def exact_duplicates(docs: DataFrame, in_snapshot: Column | None = None, digest=
 
     out = ["rid", "doc_id", "keep_id", "group_size", "kept", "digest"]
     named = classes.select("digest", F.col("n").alias("group_size"), F.col("rid").alias("keep_rid"), F.when(F.col("top") != NO_ID, F.col("top")).alias("keep_id"))
-    # fewer than 1000 groups have a thousandth of the rows each: their rows meet them where they are
-    large = F.broadcast(named.where(F.col("group_size") > max(LEAST_HOT, total // HOT)))
-    hot, rest = rows.join(large, "digest"), rows.join(large.select("digest"), "digest", "left_anti")
-    mild = rest.join(named.where(F.col("group_size") <= max(LEAST_HOT, total // HOT)), "digest")
-    joined = hot.union(mild.select(hot.columns)).withColumn("kept", F.col("rid") == F.col("keep_rid"))
+    joined = join_named(rows, named, "digest", "group_size", total).withColumn("kept", F.col("rid") == F.col("keep_rid"))
     if unequal.isEmpty():
         return joined.select(out)
     # texts that share a digest without being equal: these few are grouped by their bytes

@@ -34,7 +34,7 @@ OTHER, BOS, EOS = 1, 2, 3
 #: Quantiles of held-out perplexities and the factor beyond them; held-out documents that a language and length need; the share held out.
 LOWER, UPPER, MARGIN, ENOUGH, HELD_OUT = 0.001, 0.995, 1.05, 40, 5
 #: Rows of the table that are sent whole, 24 bytes each; bytes of text that a task looks at together; n-grams it holds before it gives their counts on.
-SENT_ROWS, SLICE, HELD_GRAMS = 2_000_000, 1 << 20, 4_000_000
+SENT_ROWS, SLICE, HELD_GRAMS = 2_000_000, 1 << 19, 1_000_000
 U = np.uint64
 
 
@@ -153,7 +153,7 @@ class Table:
         """logp and back are nan where the model has none."""
         self.order, self.unseen = order, unseen
         self.bits = max(4, int(np.ceil(np.log2(2 * len(grams) + 2))))
-        self.keys, self.row = np.zeros(1 << self.bits, dtype=U), np.full(1 << self.bits, len(grams), dtype=np.int64)
+        self.keys, self.row = np.zeros(1 << self.bits, dtype=U), np.full(1 << self.bits, len(grams), dtype=np.int32)
         todo, at = np.arange(len(grams)), self.slot(grams)
         while len(todo):
             free = self.keys[at] == 0

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from galley.llm.common import Scratch, freeing, slices, small, text_or_empty
 
 LIMIT, END = 1024, 2
 #: Bytes of the texts that are cut up at a time, and chunks whose ids are put together at a time.
-SLICE, CHUNKS = 1 << 23, 1 << 19
+SLICE, CHUNKS = 1 << 21, 1 << 17
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 #: The pattern of byte-level vocabularies, and white space of all versions of Unicode.
@@ -111,11 +110,6 @@ class Ids:
         return by_text
 
 
-@cache
-def ids_of(path: str) -> Ids:
-    return Ids(path)
-
-
 def pieces_of(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     """(start, length) of a document of n tokens; only the first piece of a longer one may be short."""
     first = n % limit or limit
@@ -130,7 +124,8 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, part, ranks = ids_of(path), TaskContext.get().partitionId(), [0] * (limit + 1)
+        # made anew for each task: kept, it would take its memory from the stages that follow in the same worker
+        tokens, part, ranks = Ids(path), TaskContext.get().partitionId(), [0] * (limit + 1)
         for b in batches:
             for some in slices(b, 1, SLICE):
                 rows = []
