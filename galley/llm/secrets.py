@@ -2,9 +2,11 @@
 
 The network (embedding, one convolution, maximum over the whole candidate, one output) is plain numpy. It is trained on
 labelled findings that are made here from a seed: secrets of many forms in the places where they occur, and look-alikes
-(checksums, identifiers, versions, links, long words). Its scores are calibrated by Platt's method on held-out findings,
-and the threshold is the largest that keeps the wanted recall there. Candidates longer than a chunk are read in
-overlapping chunks, so no part is left out.
+(checksums, identifiers, versions, links, long words, plain words after a credential's name). Candidates are all runs of
+16 or more of the characters that secrets are made of, whichever they are, and what a credential's name is given, from 6
+characters on and with any signs. Scores are calibrated by Platt's method on held-out findings, and the threshold is the
+largest that keeps the wanted recall there, of all secrets and not only of those that are candidates. Candidates longer
+than a chunk are read in overlapping chunks, so no part is left out.
 
 Nulls: a null text is empty and has no findings. Rows are independent: repeated rows and null ids pass through. An
 empty table gives no rows. Other columns are ignored.
@@ -32,9 +34,10 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "model")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+GIVEN = re.compile(r"""(?:pass(?:word|wd|phrase)?|pwd|secret|token|key|auth|credential)s?["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'`,;<>(){}]{6,})""", re.IGNORECASE | re.ASCII)
 BEFORE, AFTER, CHUNK = 24, 8, 256
 SIZE, FILTERS, WIDTH = 8, 32, 5
-RECALL, FINDINGS = 0.97, 6000
+RECALL, FINDINGS = 0.96, 9000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -48,8 +51,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Runs of 16 or more characters of the kind that secrets are made of, with a digit or another sign among the letters."""
-    return [(m.start(), m.end()) for m in RUN.finditer(text) if not m[0].isalpha() and not m[0].strip(".").isalpha() and not m[0].isdigit()]
+    """Spans that may be secrets: long runs, and what credentials are given; of those that overlap, the longest. In order."""
+    spans = [m.span() for m in RUN.finditer(text)]
+    if ":" in text or "=" in text or " is " in text:
+        spans += [m.span(1) for m in GIVEN.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if out and a < out[-1][1]:
+            if b - a > out[-1][1] - out[-1][0]:
+                out[-1] = (a, b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def codes(text: str, start: int, end: int) -> np.ndarray:
@@ -127,16 +140,21 @@ class Network:
                     s2[k] = 0.999 * s2[k] + 0.001 * g[k] ** 2
                     w -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s2[k] / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, seqs: list[np.ndarray], y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling by gradient steps, then the largest threshold that keeps the recall."""
+    def calibrate(self, seqs: list[np.ndarray], y: np.ndarray) -> None:
+        """Platt scaling by gradient steps."""
         z, a, b = self.logits(seqs), 1.0, 0.0
         spread = z.std() or 1.0
         for _ in range(500):
             d = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40))) - y
             a, b = a - 0.5 * float((d * z).mean()) / spread**2, b - 0.5 * float(d.mean())
         self.platt = (a, b)
-        p = np.sort(self.score([s for s, is_one in zip(seqs, y, strict=True) if is_one]))
-        self.threshold = float(p[int((1 - recall) * len(p))])
+
+    def keep_recall(self, secrets: list[tuple[str, int, int]], recall: float = RECALL) -> None:
+        """The largest threshold that finds this share of secrets (text, start, end) by the candidates of their texts."""
+        spans = [[(a, b) for a, b in candidates(text) if a < end and start < b] for text, start, end in secrets]
+        scores = self.score([codes(text, a, b) for (text, _, _), some in zip(secrets, spans, strict=True) for a, b in some]).tolist()
+        best = sorted(max((scores.pop(0) for _ in some), default=0.0) for some in spans)
+        self.threshold = float(best[int((1 - recall) * len(best))])
 
 
 def _word(r: random.Random, lo: int = 3, hi: int = 10) -> str:
@@ -149,12 +167,20 @@ def finding(r: random.Random) -> tuple[str, int, int, int]:
     random_of = lambda a, n: "".join(r.choice(a) for _ in range(n))
     hexes = random_of("0123456789abcdef", r.choice([32, 40, 64]))
     real = r.random() < 0.5
-    if real:
-        value = r.choice([hexes, random_of(alnum, r.randint(20, 60)), "AKIA" + random_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + random_of(alnum, 36), "sk-" + random_of(alnum, 48), "xoxb-" + random_of("0123456789", 12) + "-" + random_of(alnum, 24), base64.b64encode(r.randbytes(r.randint(18, 48))).decode(), "eyJhbGciOiJIUzI1NiJ9." + random_of(alnum + "_-", 40)])
+    signs = "!@#$%^&*?~+-_"
+    if r.random() < 0.25:
+        # what a credential's name is given: passwords of few characters and any signs, or words that only speak of them
+        name = r.choice(["password", "passwd", "Password", "db_pass", "secret", "token", "pwd", "api_key", "passphrase"])
+        lead = r.choice([f"{name} = ", f"{name}: ", f"{name}=", f'{name}: "', f"the {name} is "])
+        chosen = [random_of(alnum, r.randint(6, 11)) + r.choice(signs) + random_of(alnum + signs, r.randint(1, 5)), _word(r, 3, 7).capitalize() + r.choice(signs) + str(r.randint(10, 9999)) + r.choice(["", "!"]), random_of(alnum + signs, r.randint(8, 15)), _word(r) + _word(r) + _word(r), f"{_word(r)}-{_word(r)}-{r.randint(10, 999)}"]
+        spoken = ["required", "missing", "changed", "invalid", "optional", "expired", "available", "needed", "not-set", "example", "********", "xxxxxxxx", "${TOKEN}", "%s/%s/%s", "here.", "below.", "string", "unknown", "strong.", "wrong."]
+        value = r.choice(chosen) if real else r.choice(spoken)
+    elif real:
+        value = r.choice([hexes, random_of(alnum, r.randint(20, 60)), random_of(alnum[:52], r.randint(20, 40)), "AKIA" + random_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "ghp_" + random_of(alnum, 36), "sk-" + random_of(alnum, 48), "xoxb-" + random_of("0123456789", 12) + "-" + random_of(alnum, 24), base64.b64encode(r.randbytes(r.randint(18, 48))).decode(), "eyJhbGciOiJIUzI1NiJ9." + random_of(alnum + "_-", 40)])
         name = r.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "client_secret", "access_key", "Authorization", "private_key", "pw"])
         lead = r.choice([f"{name} = ", f'{name}: "', f"{name}=", f'"{name}": "', f"{name} is ", "Bearer ", f"export {name.upper()}=", f"{_word(r)} {name} "])
     else:
-        value = r.choice([hexes, f"{_word(r)}_{_word(r)}_{_word(r)}_{r.randint(1, 99)}", f"{_word(r)}/{_word(r)}/{_word(r)}/{r.randint(1, 999)}", f"{_word(r, 8, 14)}-{_word(r)}-{_word(r)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}_{r.randint(0, 23):02d}.{r.randint(0, 59):02d}.{r.randint(0, 59):02d}", "=" * r.randint(16, 60), "-" * r.randint(16, 60), "." * r.randint(16, 60), f"www.{_word(r, 8, 14)}.com/{_word(r)}", f"{_word(r, 8, 12)}.{_word(r, 8, 12)}.{_word(r)}", random_of("0123456789", r.randint(4, 9)) + "-" + random_of("0123456789", r.randint(12, 16)), f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}_{r.randint(1024, 65535)}", f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-beta.{r.randint(1, 999)}"])
+        value = r.choice([hexes, _word(r, 14, 22), _word(r, 14, 22).capitalize(), _word(r, 14, 20) + ".", random_of("0123456789", r.randint(16, 24)), f"{_word(r)}_{_word(r)}_{_word(r)}_{r.randint(1, 99)}", f"{_word(r)}/{_word(r)}/{_word(r)}/{r.randint(1, 999)}", f"{_word(r, 8, 14)}-{_word(r)}-{_word(r)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}_{r.randint(0, 23):02d}.{r.randint(0, 59):02d}.{r.randint(0, 59):02d}", "=" * r.randint(16, 60), "-" * r.randint(16, 60), "." * r.randint(16, 60), f"www.{_word(r, 8, 14)}.com/{_word(r)}", f"{_word(r, 8, 12)}.{_word(r, 8, 12)}.{_word(r)}", random_of("0123456789", r.randint(4, 9)) + "-" + random_of("0123456789", r.randint(12, 16)), f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}_{r.randint(1024, 65535)}", f"v{r.randint(0, 20)}.{r.randint(0, 20)}.{r.randint(0, 20)}-beta.{r.randint(1, 999)}"])
         lead = r.choice(["commit ", "sha256 ", "sha1: ", "md5sum ", "etag: ", "checksum = ", "digest "]) if value == hexes else r.choice([f"{_word(r)} ", f"{_word(r)}, ", f"see {_word(r)} ", "id ", "https://", "path: ", "version ", "\n", "| "])
         value = value if len(value) >= 16 else value + "_" * (16 - len(value))
     before = " ".join(_word(r) for _ in range(r.randint(0, 5)))
@@ -171,6 +197,7 @@ def trained(seed: int = 11, n: int = FINDINGS) -> Network:
     cut, net = 2 * n // 3, Network()
     net.train(seqs[:cut], y[:cut])
     net.calibrate(seqs[cut:], y[cut:])
+    net.keep_recall([x[:3] for x in made[cut:] if x[3]])
     return net
 
 

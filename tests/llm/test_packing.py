@@ -11,6 +11,7 @@ from galley.llm import packing as p
 
 PATH = p.tokenizer_path()
 TOKENIZER = Tokenizer.from_file(PATH)
+IDS = p.Ids(PATH)
 
 
 
@@ -26,13 +27,13 @@ PARTS = st.one_of(st.text(st.sampled_from("ab éßøЖǰ,.'\n\t\x1c\x85\u00a0\u3
 @settings(max_examples=150, deadline=None)
 @given(st.lists(PARTS, min_size=1, max_size=5))
 def test_ids_are_those_of_the_plain_call(texts):
-    assert [x.tolist() for x in p.ids_of(PATH).encode(pa.array(texts, pa.string()))] == [plain(t) for t in texts]
+    assert [x.tolist() for x in IDS.encode(pa.array(texts, pa.string()))] == [plain(t) for t in texts]
 
 
 def test_special_tokens_and_many_chunks(monkeypatch):
     monkeypatch.setattr(p, "CHUNKS", 2)
     for text in ("a <|endoftext|> b", "say <|endoftext|> now, don't. " + "x" * 300, "", " ", "one two three four five", "a  b \n c ", "x<|endoftext|>  <|endoftext|>y z"):
-        assert [x.tolist() for x in p.ids_of(PATH).encode(pa.array([text, "next one", ""]))] == [plain(text), plain("next one"), []]
+        assert [x.tolist() for x in IDS.encode(pa.array([text, "next one", ""]))] == [plain(text), plain("next one"), []]
     assert plain("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
