@@ -193,6 +193,9 @@ FULL, SPLITS = 4096, 3
 TILE = 16_384
 #: Pairs a member up to which a bucket gives all of them at once; beyond, those of verified groups are left out (see near_groups).
 DENSE = 4
+#: Words of 64 bits of an odd sketch, shingles that it is made for, and how many deviations over what the bar allows two sketches may be apart.
+SKETCH, SKETCHED, SURE = 16, 512, 3
+SKETCHES = ["level", *(f"k{k}" for k in range(SKETCH))]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -220,6 +223,24 @@ def smallest(shingles: np.ndarray) -> list[int]:
     return [int(_mix(wide + U((k + 1) << 40)).min() >> U(1)) if len(wide) else 0 for k in range(SPLITS)]
 
 
+def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """(level, bits): each bit is the parity of the shingles that fall on it, so two sketches differ in about as many bits as the sets in shingles (Mitzenmacher, Pagh and Pham, 2014). At level k, one in 2**k of the shingles of a large set is taken."""
+    level = max(0, int(np.ceil(np.log2(max(1, len(shingles)) / SKETCHED))))
+    h = _mix(shingles.astype(U) + U(0x5851F42D4C957F2D))
+    h = h[(h & U((1 << level) - 1)) == 0] >> U(32)
+    parity = np.bincount((h % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return level, np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(size_i: np.ndarray, size_j: np.ndarray, level_i: np.ndarray, level_j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether so many different bits of two odd sketches allow the similarity; true where the sketches are of different levels."""
+    bins, most = 64 * SKETCH, (1 - SIMILAR) / (1 + SIMILAR) * (size_i + size_j) / 2.0**level_i
+    # the differences that are taken vary when not all are, and so do the bits that they fall on
+    most = most + SURE * np.sqrt(np.where(level_i > 0, most, 0.0) + 1)
+    expected = bins / 2 * (1 - np.exp(-2 * most / bins))
+    return (level_i != level_j) | (bits <= expected + SURE * np.sqrt(expected + 1) / 2)
+
+
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """WIDE words of 23 bits, voted by the distinct words of the text."""
     one = np.unique(hashes)
@@ -241,17 +262,19 @@ def _tidy(docs: DataFrame) -> DataFrame:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, p, q, r, size, m0, ...: the fingerprint in words of two segments, the number of shingles and the smallest of them. One row a doc_id and text."""
-    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS))]
+    """doc_id, hash, p, q, r, size, m0, ..., level, k0, ...: the fingerprint in words of two segments, the number of shingles, the smallest of them and their odd sketch. One row a doc_id and text."""
+    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS)), *SKETCHES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints, sizes, least = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64), np.zeros((b.num_rows, SPLITS), dtype=np.int64)
+            sketches = np.zeros((b.num_rows, 1 + SKETCH), dtype=np.int64)
             for k, t in enumerate(b.column(2)):
                 hashes = word_hashes(t.as_py())
                 shingles = shingle_hashes(hashes)
                 prints[k], sizes[k], least[k] = wide_fingerprint(hashes), max(1, len(shingles)), smallest(shingles)
-            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes, *least.T]
+                sketches[k, 0], sketches[k, 1:] = odd_sketch(shingles)
+            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes, *least.T, *sketches.T]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(w)) for w in wide)], ["doc_id", "hash", *columns])
 
     return _tidy(docs).mapInArrow(freeing(run), ", ".join(f"{c} long" for c in ["doc_id", "hash", *columns])).dropDuplicates(["doc_id", "hash"])
@@ -310,10 +333,9 @@ def crowded_keys(prints: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     return full, {r["key"]: -(-2 * r["n"] // TILE) for r in _counts(prints, full, TILE).toLocalIterator()}
 
 
-def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], only: DataFrame | None = None) -> DataFrame:
-    """key (one of only, if given) and the columns of prints but for the smallest shingles, sorted by key: under a key are rows that are to be compared, each with each."""
+def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], kept: list[str], only: DataFrame | None = None) -> DataFrame:
+    """key (one of only, if given) and the columns kept (p, q, r, size and rid among them), sorted by key: under a key are rows that are to be compared, each with each."""
     least = [f"m{k}" for k in range(SPLITS)]
-    kept = [c for c in prints.columns if c not in ("doc_id", "hash", *least)]
     sent = prints.sparkSession.sparkContext.broadcast((full, tiles))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,10 +426,10 @@ def near_candidates(buckets: DataFrame) -> DataFrame:
 
 
 def left_candidates(buckets: DataFrame) -> DataFrame:
-    """(a, b): all pairs within TOLERANCE of the buckets whose rows have different roots (column root)."""
+    """(a, b): the pairs within TOLERANCE of the buckets whose rows have different roots (column root), but for those that their sketches rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (key, p, q, r, size, rid, root) in _runs(batches, 7, float("inf")):
+        for _, (key, p, q, r, size, rid, root, level, *sketch) in _runs(batches, 8 + SKETCH, float("inf")):
             ends = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
             for s, e in zip(ends[:-1], ends[1:], strict=True):
                 for lo in range(s, e, 256):
@@ -415,9 +437,12 @@ def left_candidates(buckets: DataFrame) -> DataFrame:
                     hit = (_close(rows, slice(lo, e), p, q, r, size) <= TOLERANCE) & (root[rows, None] != root[None, lo:e])
                     i, j = np.argwhere(np.triu(hit)).T + lo
                     if len(i):
+                        bits = sum(np.bitwise_count((k[i] ^ k[j]).view(U)).astype(np.int64) for k in sketch)
+                        keep = may_be_similar(size[i], size[j], level[i], level[j], bits)
+                        i, j = i[keep], j[keep]
                         yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rid[i], rid[j])), pa.array(np.minimum(rid[i], rid[j]))], ["a", "b"])
 
-    return buckets.select("key", "p", "q", "r", "size", "rid", "root").mapInArrow(freeing(run), "a long, b long").distinct()
+    return buckets.select("key", "p", "q", "r", "size", "rid", "root", *SKETCHES).mapInArrow(freeing(run), "a long, b long").distinct()
 
 
 def similar_pairs(docs: DataFrame, prints: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -451,17 +476,18 @@ def near_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFra
     """(rid, root) of the rows of prints that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more.
 
     Every pair of a bucket within TOLERANCE is verified, unless its rows are in one group already: first all pairs of most
-    buckets and a linear number from those full of neighbours, then of the latter what the groups so found don't join.
+    buckets and a linear number from those full of neighbours, then of the latter what the groups so found don't join and
+    sketches, SURE deviations beyond what the bar allows, don't rule out.
     """
     full, tiles = crowded_keys(prints)
-    found = scratch.write(near_candidates(near_buckets(prints, full, tiles)), "pairs")
+    found = scratch.write(near_candidates(near_buckets(prints, full, tiles, ["p", "q", "r", "size", "rid"])), "pairs")
     links = similar_pairs(docs, prints, found.where("key is null").select("a", "b"), scratch, "first")
     dense = found.where("key is not null").select("key")
     roots = scratch.write(connected_components(links, scratch).select(F.col("node").alias("rid"), "root"), "roots")
     if dense.isEmpty():
         return roots
     rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
-    more = similar_pairs(docs, prints, scratch.write(left_candidates(near_buckets(rooted, full, tiles, dense)), "left"), scratch, "left")
+    more = similar_pairs(docs, prints, scratch.write(left_candidates(near_buckets(rooted, full, tiles, ["p", "q", "r", "size", "rid", "root", *SKETCHES], dense)), "left"), scratch, "left")
     if more.isEmpty():
         return roots
     return connected_components(links.union(more), scratch).select(F.col("node").alias("rid"), "root")

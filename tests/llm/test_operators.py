@@ -840,3 +840,18 @@ def test_a_directory_with_most_files_inherits(spark, monkeypatch):
     files = [(k, f"hot/{k}.py", "code") for k in range(60)] + [(100, "hot/LICENSE", "Released under the MIT License."), (101, "cold/x", "code"), (102, "LICENSE", "Licensed under CC BY-NC 4.0.")]
     out = licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
     assert len(out) == 63 and {r["licence"] for r in out if r["path"].startswith("hot")} == {"MIT"} and {r["licence"] for r in out if r["doc_id"] >= 101} == {"CC-BY-NC-4.0"}
+
+
+def test_odd_sketches_keep_similar_pairs_and_drop_far_ones():
+    r = np.random.default_rng(51)
+    for size in (5, 60, 146, 700, 6000):
+        kept = {0.81: 0, 0.9: 0, 0.5: 0}
+        for similarity in kept:
+            for _ in range(200):
+                apart = int((1 - similarity) / (1 + similarity) * 2 * size) // 2
+                every = r.choice(1 << 32, size + apart, replace=False).astype(np.uint32)
+                a, b = np.sort(every[:size]), np.sort(every[apart:])
+                (la, ka), (lb, kb) = simhash.odd_sketch(a), simhash.odd_sketch(b)
+                bits = np.array([int(np.bitwise_count((ka ^ kb).view(np.uint64)).sum())])
+                kept[similarity] += bool(simhash.may_be_similar(np.array([len(a)]), np.array([len(b)]), np.array([la]), np.array([lb]), bits)[0])
+        assert kept[0.81] == kept[0.9] == 200 and (size < 100 or kept[0.5] == 0), (size, kept)
