@@ -49,6 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
         self.live.add(self)
         atexit.register(self.drop)
 
@@ -60,6 +61,7 @@ class Scratch:
     def drop(self, name: str = "") -> None:
         if not name:
             self.live.discard(self)
+            self.drop_tables()
         try:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -69,6 +71,22 @@ class Scratch:
             raise gone
 
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str, by: str = "") -> DataFrame:
+        """df as a table of the catalog whose files, in the folder `name`, are bucketed by the keys: joins and groups of equally bucketed tables need no shuffle. by: a column with a folder for each value."""
+        title = f"{self.top.rpartition('/')[2]}_{name}".replace("-", "_")
+        writer = df.write.bucketBy(buckets, *keys).option("path", f"{self.top}/{name}")
+        (writer.partitionBy(by) if by else writer).saveAsTable(title)
+        self.tables.append(title)
+        return self.spark.table(title)
+
+    def drop_tables(self, name: str = "") -> None:
+        """Takes bucketed tables (all, or the one of that name) out of the catalog."""
+        for title in [t for t in self.tables if not name or t.endswith(f"_{name}".replace("-", "_"))]:
+            self.tables.remove(title)
+            if not self.spark._jsc.sc().isStopped():
+                self.spark.sql(f"DROP TABLE IF EXISTS {title}")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("text")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, decontamination, exact_dedup, kneser_ney, licenses, line_dedup, packing, secrets, simhash, url_filter
+from galley.llm import chat, decontamination, delta_lloyd, exact_dedup, fim, kneser_ney, licenses, line_dedup, packing, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_benchmark_lsa": decontamination.op9_benchmark_lsa,
     "op10_simhash_golay": simhash.op10_simhash_golay,
+    "op11_vector_codes": delta_lloyd.op11_vector_codes,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op11_vector_codes": delta_lloyd.OP11_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
