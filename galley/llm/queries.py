@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, decontamination, delta_lloyd, exact_dedup, fim, kneser_ney, licenses, line_dedup, packing, secrets, simhash, url_filter
+from galley.llm import chat, decontamination, delta_lloyd, exact_dedup, fim, kneser_ney, licenses, line_dedup, packing, secrets, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_benchmark_lsa": decontamination.op9_benchmark_lsa,
     "op10_simhash_golay": simhash.op10_simhash_golay,
     "op11_vector_codes": delta_lloyd.op11_vector_codes,
+    "op12_suffix_dedup": suffix_dedup.op12_suffix_dedup,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
@@ -24,5 +25,6 @@ ORACLE_SQL = {
     "op4_chat_format": chat.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op11_vector_codes": delta_lloyd.OP11_SQL,
+    "op12_suffix_dedup": suffix_dedup.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
