@@ -74,7 +74,7 @@ class Scratch:
     def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str, by: str = "") -> DataFrame:
         """df as a table of the catalog whose files, in the folder `name`, are bucketed by the keys: joins and groups of equally bucketed tables need no shuffle. by: a column with a folder for each value."""
         title = f"{self.top.rpartition('/')[2]}_{name}".replace("-", "_")
-        writer = df.write.bucketBy(buckets, *keys).option("path", f"{self.top}/{name}")
+        writer = df.write.bucketBy(buckets, *keys).option("path", f"{self.top}/{name}").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).saveAsTable(title)
         self.tables.append(title)
         return self.spark.table(title)
@@ -101,21 +101,39 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return df.count() * row_bytes <= limit
 
 
+def give_back() -> None:
+    """The worker's free memory goes back to the system: it is used again by the tasks of later stages, next to their own needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which the worker gives its free memory back: it is used again by the tasks of later stages, next to their own needs."""
+    """run, after which the worker gives its free memory back."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return tidy
 
 
+def freed(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function of one or two whole groups."""
+
+    def tidy(*groups: pa.Table) -> pa.Table:
+        try:
+            return run(*groups)
+        finally:
+            give_back()
+
+    # Spark tells a function with a key from one without by the number of its arguments
+    return (lambda a: tidy(a)) if run.__code__.co_argcount == 1 else (lambda a, b: tidy(a, b))
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `size` bytes of text each, one row at least."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -31,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, freeing, text_or_empty
+from galley.llm.common import Scratch, freed, freeing, text_or_empty
 
 LENGTH, K = 50, 24
 #: Bytes of text of a run and behind a shard; bytes that are hashed at once; fewest shards.
-RUN, SHARD, STEP, LEAST_SHARDS = 16 << 20, 16 << 20, 1 << 18, 64
+RUN, SHARD, STEP, LEAST_SHARDS = 8 << 20, 8 << 20, 1 << 16, 64
 BATCHES = 4
 NO_ID = 2**63 - 1
+_PLACE = np.uint64((1 << 17) - 1)
 _B, _M1, _M2 = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 TEXTS = "batch int, run long, ord int, doc_id long, id long, size long, body binary"
@@ -59,54 +62,64 @@ def _table(names: str, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
 
+def _packed(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(x)
+
+
+def _unpacked(x: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_buffer()), kind)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x *= _M2
     return x ^ (x >> np.uint64(29))
 
 
+_BYTE = (np.arange(1, 257, dtype=np.uint64) * _M1) ^ ((np.arange(1, 257, dtype=np.uint64) * _M1) >> np.uint64(29))
+
+
+def _times(gap: int) -> np.uint64:
+    return np.uint64(pow(_B, gap, 1 << 64))
+
+
 class Hashes:
-    """Hashes of all K-byte and all LENGTH-byte strings of a piece of text, by doubling."""
-
-    def __init__(self, text: np.ndarray):
-        join = lambda a, b, gap: a[: len(b) - gap] * np.uint64(pow(_B, gap, 1 << 64)) + b[gap:] if len(b) > gap else a[:0]  # noqa: E731  a's strings, then b's that start `gap` on
-        h = (text.astype(np.uint64) + np.uint64(1)) * _M1
-        h ^= h >> np.uint64(29)
-        by = {1: h}
-        for size in (1, 2, 4, 8, 16):
-            by[2 * size] = join(by[size], by[size], size)
-        cut = lambda a, n: a[: max(0, len(text) - n + 1)]
-        self.k = _mixed(join(cut(by[8], 8), by[16], 8))
-        self.long = _mixed(join(by[32], join(by[16], by[2], 16), 32))
-
-
-def _smallest(x: np.ndarray, width: int) -> np.ndarray:
-    """The place of the first smallest value in every window of the width."""
-    value, place, size = x, np.arange(len(x)), 1
-    while size < width:
-        gap = min(size, width - size)
-        left = value[:-gap] <= value[gap:]
-        value, place = np.where(left, value[:-gap], value[gap:]), np.where(left, place[:-gap], place[gap:])
-        size += gap
-    return place
-
-
-def anchors(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor's hash, first and last start of the strings that have it, hashes of these two strings), piece by piece.
+    """Hashes of all K-byte strings of a piece of text, and of LENGTH-byte strings where they are asked for, by doubling."""
+
+    def __init__(self, text: np.ndarray, wide: bool = True):
+        self.by, self.n = {1: _BYTE[text]}, len(text)
+        for size in (1, 2, 4, 8, 16)[: 5 if wide else 4]:
+            h = self.by[size]
+            self.by[2 * size] = h[:-size] * _times(size) + h[size:] if len(h) > size else h[:0]
+
+    def short(self) -> np.ndarray:
+        n = max(0, self.n - K + 1)
+        return _mixed(self.by[8][:n] * _times(16) + self.by[16][8 : 8 + n])
+
+    def long_at(self, at: np.ndarray) -> np.ndarray:
+        return _mixed((self.by[32][at] * _times(16) + self.by[16][at + 32]) * _times(2) + self.by[2][at + 48])
+
+
+def anchors(text: np.ndarray, prints: bool = True) -> Iterator[tuple]:
+    """(anchor's hash, first and last start of the strings that have it, the Hashes, where the piece starts), piece by piece.
 
     The strings of an anchor that a piece's end divides come as two stretches: no harm, as strings are judged one by one.
     """
     for at in range(0, len(text) - LENGTH + 1, STEP):
-        piece = text[at : at + STEP + LENGTH - 1]
-        h = Hashes(piece)
-        place = _smallest(h.k, LENGTH - K + 1)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[first[1:], len(place)] - 1
-        yield h.k[place[first]], at + first, at + last, h.long[first], h.long[last]
+        h = Hashes(text[at : at + STEP + LENGTH - 1], prints)
+        short = h.short()
+        # the place in the low bits: of equal hashes, the first one is the smallest
+        least, size, width = (short & ~_PLACE) | np.arange(len(short), dtype=np.uint64), 1, LENGTH - K + 1
+        while size < width:
+            gap = min(size, width - size)
+            least, size = np.minimum(least[:-gap], least[gap:]), size + gap
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        yield short[(least[first] & _PLACE).astype(np.int64)], at + first, at + np.r_[first[1:], len(least)] - 1, h, at
 
 
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) & np.uint64(shards - 1)).astype(np.int64)
+def _key(h: np.ndarray, shards: int) -> np.ndarray:
+    """Shard and, in the lower half, the number within it."""
+    return (h & np.uint64((shards - 1) << 32 | 0xFFFFFFFF)).astype(np.int64)
 
 
 def _parts(shard: np.ndarray) -> list[tuple[int, int, int]]:
@@ -128,7 +141,7 @@ def in_runs(docs: DataFrame, batches: int) -> DataFrame:
 
         task, runs, sizes, ords = TaskContext.get().partitionId(), {}, {}, {}
         for b in rows:
-            size, out = np.array([len(x.as_py() or b"") for x in b.column(3)], np.int64), []
+            size, out = pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64), []
             for k, n in zip(b.column(0).to_pylist(), size.tolist(), strict=True):
                 if sizes.get(k, RUN) + n > RUN:
                     runs[k], sizes[k], ords[k] = len(runs) if k not in runs else runs[k] + batches, 0, 0
@@ -150,11 +163,8 @@ def screen(texts: DataFrame, shards: int) -> DataFrame:
         def sorted_keys(run: int) -> pa.RecordBatch:
             h = np.sort(np.concatenate(held.pop(run)))
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            many = np.diff(np.r_[first, len(h)]) > 1
-            h = h[first]
-            shard, key = _shard_of(h, shards), h.astype(np.uint32)
-            order = np.lexsort((key, shard))
-            out = [(run, s, key[o].tobytes(), np.packbits(many[o]).tobytes()) for s, a, b in _parts(shard[order]) for o in (order[a:b],)]
+            many, h = np.diff(np.r_[first, len(h)]) > 1, h[first]
+            out = [(run, s, _packed(h[a:b].astype(np.uint32)), np.packbits(many[a:b]).tobytes()) for s, a, b in _parts(h >> 32)]
             return _table("run long, shard long, keys binary, many binary", out).combine_chunks().to_batches()[0]
 
         for b in rows:
@@ -162,22 +172,23 @@ def screen(texts: DataFrame, shards: int) -> DataFrame:
                 if run not in held and held:
                     yield sorted_keys(next(iter(held)))
                 text = np.frombuffer(body.as_buffer(), np.uint8)
-                if found := [h for h, *_ in anchors(text)]:
+                if found := [_key(h, shards) for h, *_ in anchors(text, False)]:
                     held.setdefault(run, []).append(np.unique(np.concatenate(found)))
         for run in list(held):
             yield sorted_keys(run)
 
     def repeated(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k.as_buffer(), np.uint32) for k in group["keys"]]
+        keys = [_unpacked(k, np.uint32) for k in group["keys"]]
         many = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8))[: len(k)].astype(bool) for k, m in zip(keys, group["many"], strict=True)]
         seen = np.sort(np.concatenate(keys))
         again = np.union1d(seen[1:][seen[1:] == seen[:-1]], np.concatenate([k[m] for k, m in zip(keys, many, strict=True)]))
-        out = [(r, s, k[np.isin(k, again, assume_unique=True)].tobytes()) for r, s, k in zip(group["run"].to_pylist(), group["shard"].to_pylist(), keys, strict=True)]
-        return _table("run long, shard long, keys binary", [x for x in out if x[2]])
+        again = np.r_[again, np.uint32(0xFFFFFFFF)]  # an end for the search: at most a false alarm
+        both = [(r, s, k[again[np.searchsorted(again[:-1], k)] == k]) for r, s, k in zip(group["run"].to_pylist(), group["shard"].to_pylist(), keys, strict=True)]
+        return _table("run long, shard long, keys binary", [(r, s, _packed(k)) for r, s, k in both if len(k)])
 
     sized = texts.where(F.col("size") >= LENGTH).select("run", "body")
     gathered = sized.mapInArrow(freeing(gather), "run long, shard long, keys binary, many binary")
-    return gathered.groupBy("shard").applyInArrow(repeated, "run long, shard long, keys binary")
+    return gathered.groupBy("shard").applyInArrow(freed(repeated), "run long, shard long, keys binary")
 
 
 def stretches(texts: DataFrame, hits: DataFrame | None, shards: int) -> DataFrame:
@@ -188,18 +199,17 @@ def stretches(texts: DataFrame, hits: DataFrame | None, shards: int) -> DataFram
             return _table(STRETCHES, [])
         wanted = None
         if found is not None:
-            wanted = np.sort(np.concatenate([np.frombuffer(k.as_buffer(), np.uint32).astype(np.int64) | s << 32 for s, k in zip(found["shard"].to_pylist(), found["keys"], strict=True)]))
+            wanted = np.sort(np.concatenate([_unpacked(k, np.uint32).astype(np.int64) | s << 32 for s, k in zip(found["shard"].to_pylist(), found["keys"], strict=True)]))
         run, cols = group["run"][0].as_py(), []
         bodies = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["body"]]
         for row, text in enumerate(bodies):
-            for h, lo, hi, p, q in anchors(text):
-                shard = _shard_of(h, shards)
+            for h, lo, hi, piece, at in anchors(text):
+                key = _key(h, shards)
                 if wanted is not None:
-                    key = shard << 32 | h.astype(np.uint32).astype(np.int64)
                     keep = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-                    shard, lo, hi, p, q = shard[keep], lo[keep], hi[keep], p[keep], q[keep]
-                if len(shard):
-                    cols.append((shard, p, q, hi - lo, np.full(len(shard), row), lo))
+                    key, lo, hi = key[keep], lo[keep], hi[keep]
+                if len(key):
+                    cols.append((key >> 32, piece.long_at(lo - at), piece.long_at(hi - at), hi - lo, np.full(len(key), row), lo))
         if not cols:
             return _table(STRETCHES, [])
         shard, p, q, more, row, lo = (np.concatenate(c) for c in zip(*cols, strict=True))
@@ -212,9 +222,10 @@ def stretches(texts: DataFrame, hits: DataFrame | None, shards: int) -> DataFram
             first = a + np.flatnonzero(new[a:b])
             text = b"".join(bodies[r][x : x + n].tobytes() for r, x, n in zip(row[first].tolist(), lo[first].tolist(), (more[first] + LENGTH).tolist(), strict=True))
             ends, counts = np.cumsum(more[first] + LENGTH), np.diff(np.r_[first, b])
-            out.append((run, s, text, *(c.tobytes() for c in (ends.astype(np.int64), counts.astype(np.int32), ords[row[a:b]].astype(np.int32), lo[a:b].astype(np.int64), ids[row[a:b]].astype(np.int64)))))
+            out.append((run, s, _packed(text), *(_packed(c) for c in (ends.astype(np.int32), counts.astype(np.int32), ords[row[a:b]].astype(np.int32), lo[a:b].astype(np.int64), ids[row[a:b]].astype(np.int64)))))
         return _table(STRETCHES, out)
 
+    cut = freed(cut)
     by_run = texts.where(F.col("size") >= LENGTH).select("run", "ord", "id", "body").groupBy("run")
     if hits is None:
         return by_run.applyInArrow(lambda t: cut(t, None), STRETCHES)
@@ -235,28 +246,24 @@ class SuffixArray:
     def id_of(self, places: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.starts, places, side="right") - 1]
 
-    @classmethod
-    def of(cls, text: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> SuffixArray:
-        starts = np.r_[0, ends[:-1]]
-        whole = cls(text, starts, ids, _all_places(starts, ends))
-        strings = _strings(text, whole.places)
-        return whole._distinct(whole.places[np.argsort(strings)])
-
-    def _distinct(self, places: np.ndarray) -> SuffixArray:
-        """Of equal strings, which are neighbours, the one with the smallest doc_id."""
-        if not len(places):
-            return self
-        strings, ids = _strings(self.text, places), self.id_of(places)
-        group = np.cumsum(np.r_[0, strings[1:] != strings[:-1]])
-        order = np.lexsort((ids, group))
-        return SuffixArray(self.text, self.starts, self.ids, places[order[np.r_[True, group[1:] != group[:-1]]]])
+    def distinct(self, order: np.ndarray, strings: np.ndarray) -> tuple[SuffixArray, np.ndarray, np.ndarray]:
+        """(the array of the distinct strings, these strings, the group of each) for all places in the order of their strings. Of equal strings the first with the smallest doc_id stays."""
+        if not len(order):
+            return self, strings, np.empty(0, np.int64)
+        places = self.places[order]
+        head = np.r_[True, strings[1:] != strings[:-1]]
+        ids, group, at = self.id_of(places), np.cumsum(head) - 1, np.flatnonzero(head)
+        fit = np.flatnonzero(ids == np.minimum.reduceat(ids, at)[group])
+        fit = fit[np.r_[True, group[fit][1:] != group[fit][:-1]]]
+        return SuffixArray(self.text, self.starts, self.ids, places[fit]), strings[at], group
 
     def merge(self, other: SuffixArray) -> SuffixArray:
         """One sorted array of two."""
         n = len(self.text)
         both = SuffixArray(np.r_[self.text, other.text], np.r_[self.starts, other.starts + n], np.r_[self.ids, other.ids], np.r_[self.places, other.places + n])
-        order = np.argsort(np.r_[_strings(self.text, self.places), _strings(other.text, other.places)], kind="stable")  # two sorted runs: merged in linear time
-        return both._distinct(both.places[order])
+        strings = np.r_[_strings(self.text, self.places), _strings(other.text, other.places)]
+        order = np.argsort(strings, kind="stable")  # two sorted runs: merged in linear time
+        return both.distinct(order, strings[order])[0]
 
     def smallest(self, strings: np.ndarray) -> np.ndarray:
         """For each of sorted strings, the smallest doc_id in which it starts, or NO_ID."""
@@ -267,12 +274,11 @@ class SuffixArray:
         return np.where(mine[at] == strings, self.id_of(self.places[at]), NO_ID)
 
     def row(self) -> tuple:
-        return tuple(x.tobytes() for x in (self.text, self.starts.astype(np.int64), self.ids.astype(np.int64), self.places.astype(np.int32 if len(self.text) < 1 << 31 else np.int64)))
+        return tuple(map(_packed, (self.text, self.starts.astype(np.int64), self.ids.astype(np.int64), self.places.astype(np.int64))))
 
     @classmethod
     def read(cls, text: pa.Scalar, starts: pa.Scalar, ids: pa.Scalar, places: pa.Scalar) -> SuffixArray:
-        text, starts, ids = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((text, np.uint8), (starts, np.int64), (ids, np.int64)))
-        return cls(text, starts, ids, np.frombuffer(places.as_buffer(), np.int32 if len(text) < 1 << 31 else np.int64).astype(np.int64))
+        return cls(*(_unpacked(x, kind) for x, kind in ((text, np.uint8), (starts, np.int64), (ids, np.int64), (places, np.int64))))
 
 
 def _all_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -280,20 +286,19 @@ def _all_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.empty(0, np.int64)
 
 
-def _levels(group: pa.Table) -> list[SuffixArray]:
-    return [SuffixArray.read(*x) for x in zip(*(group[c] for c in ("text", "starts", "ids", "places")), strict=True)]
+def _level(group: pa.Table, k: int) -> SuffixArray:
+    return SuffixArray.read(*(group[c][k] for c in ("text", "starts", "ids", "places")))
 
 
 def add(batch: pa.Table, levels: pa.Table) -> pa.Table:
     """A shard's new level, and a row a run of what matched: strings with a smaller doc_id in the levels or in the batch."""
     if not batch.num_rows:
         return _table(_ADDED, [])
-    arrays = {c: [np.frombuffer(x.as_buffer(), kind) for x in batch[c]] for c, kind in (("text", np.uint8), ("ends", np.int64), ("counts", np.int32), ("ords", np.int32), ("los", np.int64), ("ids", np.int64))}
+    arrays = {c: [_unpacked(x, kind) for x in batch[c]] for c, kind in (("text", np.uint8), ("ends", np.int32), ("counts", np.int32), ("ords", np.int32), ("los", np.int64), ("ids", np.int64))}
     sizes = np.array([len(t) for t in arrays["text"]])
-    text, ends = np.concatenate(arrays["text"]), np.concatenate([e + o for e, o in zip(arrays["ends"], np.cumsum(sizes) - sizes, strict=True)])
+    text, ends = np.concatenate(arrays.pop("text")), np.concatenate([e.astype(np.int64) + o for e, o in zip(arrays["ends"], np.cumsum(sizes) - sizes, strict=True)])
     starts = np.r_[0, ends[:-1]]
-    prints = [Hashes(text[a:b]).long for a, b in _pieces(starts, ends)]
-    firsts, lasts = _prints_at(prints, starts, ends)
+    firsts, lasts = _prints(text, starts, ends)
     counts, owners = np.concatenate(arrays["counts"]), np.concatenate(arrays["ids"])
     own = np.minimum.reduceat(owners, np.cumsum(counts) - counts)
     # equal stretches of different runs are one
@@ -306,17 +311,19 @@ def add(batch: pa.Table, levels: pa.Table) -> pa.Table:
     lengths = (ends - starts)[kept]
     begin = np.cumsum(lengths) - lengths
     short = text[np.repeat(starts[kept] - begin, lengths) + np.arange(lengths.sum())]
-    whole = SuffixArray.of(short, begin + lengths, own[kept])
-    # the smallest doc_id of every string of every different stretch, string by string in the order of the text
-    places = _all_places(begin, begin + lengths)
+    del text
+    # the suffix array of the different stretches, then the smallest doc_id of every string, here or in a level
+    whole = SuffixArray(short, begin, own[kept], places := _all_places(begin, begin + lengths))
     strings = _strings(short, places)
-    sort = np.argsort(strings)
-    least = np.full(len(places), NO_ID)
-    found = whole.smallest(strings[sort])
-    for level in _levels(levels):
-        found = np.minimum(found, level.smallest(strings[sort]))
-    least[sort] = found
-    out = [("level", None, None, None, None, batch["shard"][0].as_py(), 0, *whole.row())]
+    order = np.argsort(strings)
+    level, strings, group = whole.distinct(order, strings[order])
+    found = level.id_of(level.places)
+    for k in range(levels.num_rows):
+        found = np.minimum(found, _level(levels, k).smallest(strings))
+    least = np.empty(len(places), np.int64)
+    least[order] = found[group]
+    del strings, group, order
+    out = [("level", None, None, None, None, batch["shard"][0].as_py(), 0, *level.row())]
     # neighbouring strings of a stretch with the same smallest doc_id are one span
     of = np.repeat(np.arange(len(kept)), lengths - LENGTH + 1)
     cut = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (least[1:] != least[:-1])])
@@ -336,7 +343,7 @@ def add(batch: pa.Table, levels: pa.Table) -> pa.Table:
     for run, a, b in zip(batch["run"].to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if a < b:
             o, s = occurrence[a:b], span[a:b]
-            out.append(("match", run, ords[o].tobytes(), (los[o] + start[s]).tobytes(), (los[o] + stop[s]).tobytes(), None, None, None, None, None, None))
+            out.append(("match", run, _packed(ords[o]), _packed(los[o] + start[s]), _packed(los[o] + stop[s]), batch["shard"][0].as_py(), None, None, None, None, None))
     return _table(_ADDED, out)
 
 
@@ -346,48 +353,56 @@ def _pieces(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _prints_at(prints: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prints(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprints of each stretch's first and last string."""
     first, last = [], []
-    for (a, b), p in zip(_pieces(starts, ends), prints, strict=True):
-        lo, hi = np.searchsorted(starts, a), np.searchsorted(starts, b)
-        first.append(p[starts[lo:hi] - a])
-        last.append(p[ends[lo:hi] - LENGTH - a])
+    for a, b in _pieces(starts, ends):
+        lo, hi = np.searchsorted(starts, [a, b])
+        h = Hashes(text[a:b])
+        first.append(h.long_at(starts[lo:hi] - a))
+        last.append(h.long_at(ends[lo:hi] - LENGTH - a))
     return np.concatenate(first), np.concatenate(last)
 
 
 def merged(group: pa.Table) -> pa.Table:
     """The levels of a shard as one."""
-    one, *rest = _levels(group)
-    for level in rest:
-        one = one.merge(level)
+    one = _level(group, 0)
+    for k in range(1, group.num_rows):
+        one = one.merge(_level(group, k))
     return _table(LEVEL, [(group["shard"][0].as_py(), 0, *one.row())])
 
 
 class Family:
-    """Suffix arrays of what was added so far: levels of 1, 2, 4, ... batches, each a table of a row a shard."""
+    """Suffix arrays of what was added so far: levels of 1, 2, 4, ... batches, each a row a shard of a table bucketed by shard, so that a level is never shuffled."""
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.levels, self.added = scratch, [], 0
+        self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Matches of a batch's stretches with the levels and among themselves (run, ords, los, his). Batches come in ascending order of doc_id."""
-        spark = self.scratch.spark
-        while len(self.levels) > 1 and self.levels[-1][1] == self.levels[-2][1]:  # as often as the counter carries
+    def merge(self) -> None:
+        """Levels of equal size become one, as often as the count of batches carries."""
+        while len(self.levels) > 1 and self.levels[-1][1] == self.levels[-2][1]:
             (a, n, x), (b, _, y) = self.levels[-2:]
-            name = f"level-{self.added}-{2 * n}"
-            together = self.scratch.write(x.union(y).groupBy("shard").applyInArrow(merged, LEVEL), name)
-            self.levels[-2:] = [(name, 2 * n, together)]
+            name = f"level_{self.added}_{2 * n}"
+            together = x.union(y).groupBy("shard").applyInArrow(freed(merged), LEVEL)
+            self.levels[-2:] = [(name, 2 * n, self.scratch.bucketed(together, name, self.buckets, "shard"))]
             for gone in (a, b):
                 self.scratch.drop(gone)
-        existing = spark.createDataFrame([], LEVEL)
-        for _, _, level in self.levels:
-            existing = existing.union(level)
-        made = batch.groupBy("shard").cogroup(existing.groupBy("shard")).applyInArrow(add, _ADDED)
-        name = f"added-{self.added}"
-        path = f"{self.scratch.top}/{name}"
-        made.write.partitionBy("kind").parquet(path)
-        parts = lambda kind, schema: spark.read.schema(f"{schema}, kind string").parquet(path).where(F.col("kind") == kind).select(*(x.split()[0] for x in schema.split(", ")))
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Matches of a batch's stretches with the levels and among themselves. Batches come in ascending order of doc_id."""
+        self.merge()
+        made = batch.groupBy("shard")
+        if self.levels:
+            existing = self.levels[0][2]
+            for _, _, level in self.levels[1:]:
+                existing = existing.union(level)
+            made = made.cogroup(existing.groupBy("shard")).applyInArrow(freed(add), _ADDED)
+        else:
+            made = made.applyInArrow(freed(lambda t: add(t, _table(LEVEL, []))), _ADDED)
+        name = f"added_{self.added}"
+        table = self.scratch.bucketed(made, name, self.buckets, "shard", by="kind")
+        parts = lambda kind, schema: table.where(F.col("kind") == kind).select(*(x.split()[0] for x in schema.split(", ")))
         self.levels.append((f"{name}/kind=level", 1, parts("level", LEVEL)))
         self.added += 1
         return parts("match", MATCH)
@@ -423,7 +438,7 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES, digest: bool = Fals
     out = CLEANED.replace("kept binary", "kept_sha256 string") if digest else CLEANED
 
     def clean(group: pa.Table, found: pa.Table) -> pa.Table:
-        ords, lo, hi = (np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found[c])]) for c, kind in (("ords", np.int32), ("los", np.int64), ("his", np.int64)))
+        ords, lo, hi = (np.concatenate([np.empty(0, kind), *(_unpacked(x, kind) for x in found[c])]) for c, kind in (("ords", np.int32), ("los", np.int64), ("his", np.int64)))
         order = np.argsort(ords, kind="stable")
         ords, lo, hi = ords[order], lo[order], hi[order]
         rows = []
@@ -442,7 +457,7 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES, digest: bool = Fals
             rows.append((doc_id, len(text), gone, spans, sha.hexdigest() if digest else b"".join(kept)))
         return _table(out, rows)
 
-    return texts.select("run", "ord", "doc_id", "body").groupBy("run").cogroup(matches.groupBy("run")).applyInArrow(clean, out)
+    return texts.select("run", "ord", "doc_id", "body").groupBy("run").cogroup(matches.groupBy("run")).applyInArrow(freed(clean), out)
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
