@@ -72,11 +72,11 @@ class Scratch:
 
 
     def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str, by: str = "") -> DataFrame:
-        """df as a table of the catalog whose files, in the folder `name`, are bucketed by the keys: joins and groups of equally bucketed tables need no shuffle. by: a column with a folder for each value."""
+        """df as a table of the catalog whose files, in the folder `name`, are bucketed by the keys: joins and groups of equally bucketed tables need no shuffle. by: a column with a folder for each value. Rows are appended to a table that is there."""
         title = f"{self.top.rpartition('/')[2]}_{name}".replace("-", "_")
-        writer = df.write.bucketBy(buckets, *keys).option("path", f"{self.top}/{name}").option("compression", "zstd")
+        writer = df.write.mode("append").bucketBy(buckets, *keys).option("path", f"{self.top}/{name}").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).saveAsTable(title)
-        self.tables.append(title)
+        self.tables += [title] * (title not in self.tables)
         return self.spark.table(title)
 
     def drop_tables(self, name: str = "") -> None:

@@ -84,7 +84,7 @@ class DeltaLloyd:
         kept, self.length = scaled(vectors, parts, scale)
         first = kept.select("vec_id", "x").orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).collect()
         self.entries, self.rounds, self.previous = len(first), 0, None
-        self.books = np.array([r["x"] for r in first], dtype=np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2)
+        self.books = np.array([r["x"] for r in first], dtype=np.int64).reshape(len(first), parts, self.length // parts).transpose(1, 0, 2)
         numbered = kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "label", "x")
         self.rows = self.scratch.write(numbered, "rows")
         self.total = self.rows.count()

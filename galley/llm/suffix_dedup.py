@@ -42,6 +42,8 @@ LENGTH, K = 50, 24
 #: Bytes of text of a run and behind a shard; bytes that are hashed at once; fewest shards.
 RUN, SHARD, STEP, LEAST_SHARDS = 8 << 20, 8 << 20, 1 << 16, 64
 BATCHES = 4
+#: What a row adds to its run besides its text.
+ROW = 64
 NO_ID = 2**63 - 1
 _PLACE = np.uint64((1 << 17) - 1)
 _B, _M1, _M2 = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -49,7 +51,7 @@ _B, _M1, _M2 = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF
 TEXTS = "batch int, run long, ord int, doc_id long, id long, size long, body binary"
 LEVEL = "shard long, level int, text binary, starts binary, ids binary, places binary"
 STRETCHES = "run long, shard long, text binary, ends binary, counts binary, ords binary, los binary, ids binary"
-_ADDED = f"kind string, run long, ords binary, los binary, his binary, {LEVEL}"
+_ADDED = f"slot string, run long, ords binary, los binary, his binary, {LEVEL}"
 
 
 def _schema(names: str) -> pa.Schema:
@@ -143,10 +145,10 @@ def in_runs(docs: DataFrame, batches: int) -> DataFrame:
         for b in rows:
             size, out = pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64), []
             for k, n in zip(b.column(0).to_pylist(), size.tolist(), strict=True):
-                if sizes.get(k, RUN) + n > RUN:
+                if k not in runs or sizes[k] + n > RUN:
                     runs[k], sizes[k], ords[k] = len(runs) if k not in runs else runs[k] + batches, 0, 0
                 out.append((task << 24 | runs[k], ords[k]))
-                sizes[k], ords[k] = sizes[k] + n, ords[k] + 1
+                sizes[k], ords[k] = sizes[k] + n + ROW, ords[k] + 1
             if out:
                 r, o = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r, pa.int64()), pa.array(o, pa.int32()), b.column(1), b.column(2), pa.array(size), b.column(3)], names=_schema(TEXTS).names)
@@ -164,7 +166,7 @@ def screen(texts: DataFrame, shards: int) -> DataFrame:
             h = np.sort(np.concatenate(held.pop(run)))
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             many, h = np.diff(np.r_[first, len(h)]) > 1, h[first]
-            out = [(run, s, _packed(h[a:b].astype(np.uint32)), np.packbits(many[a:b]).tobytes()) for s, a, b in _parts(h >> 32)]
+            out = [(run, s, _packed(np.diff(h[a:b].astype(np.uint32), prepend=np.uint32(0))), np.packbits(many[a:b]).tobytes()) for s, a, b in _parts(h >> 32)]
             return _table("run long, shard long, keys binary, many binary", out).combine_chunks().to_batches()[0]
 
         for b in rows:
@@ -178,7 +180,7 @@ def screen(texts: DataFrame, shards: int) -> DataFrame:
             yield sorted_keys(run)
 
     def repeated(group: pa.Table) -> pa.Table:
-        keys = [_unpacked(k, np.uint32) for k in group["keys"]]
+        keys = [np.cumsum(_unpacked(k, np.uint32), dtype=np.uint32) for k in group["keys"]]
         many = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8))[: len(k)].astype(bool) for k, m in zip(keys, group["many"], strict=True)]
         seen = np.sort(np.concatenate(keys))
         again = np.union1d(seen[1:][seen[1:] == seen[:-1]], np.concatenate([k[m] for k, m in zip(keys, many, strict=True)]))
@@ -287,7 +289,7 @@ def _all_places(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _level(group: pa.Table, k: int) -> SuffixArray:
-    return SuffixArray.read(*(group[c][k] for c in ("text", "starts", "ids", "places")))
+    return SuffixArray.read(*(group[c][k] for c in range(2, 6)))
 
 
 def add(batch: pa.Table, levels: pa.Table) -> pa.Table:
@@ -364,48 +366,55 @@ def _prints(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return np.concatenate(first), np.concatenate(last)
 
 
-def merged(group: pa.Table) -> pa.Table:
-    """The levels of a shard as one."""
-    one = _level(group, 0)
-    for k in range(1, group.num_rows):
-        one = one.merge(_level(group, k))
-    return _table(LEVEL, [(group["shard"][0].as_py(), 0, *one.row())])
+def merged(older: pa.Table, newer: pa.Table) -> pa.Table:
+    """Two levels of a shard as one."""
+    both = [_level(group, k) for group in (older, newer) for k in range(group.num_rows)]
+    shard = (older if older.num_rows else newer)[0][0].as_py()
+    return _table(LEVEL, [(shard, 0, *(both[0] if len(both) == 1 else both[0].merge(both[1])).row())])
 
 
 class Family:
-    """Suffix arrays of what was added so far: levels of 1, 2, 4, ... batches, each a row a shard of a table bucketed by shard, so that a level is never shuffled."""
+    """Suffix arrays of what was added so far: levels of 1, 2, 4, ... batches, each a row a shard.
+
+    All are in one table with a folder a level, bucketed by shard, so they meet a batch and each other without a shuffle.
+    """
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.levels, self.added = scratch, [], 0
         self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def _read(self, slots: list[str], schema: str) -> DataFrame:
+        names = [x.split()[0] for x in schema.split(", ")]
+        return self.table.where(F.col("slot").isin(slots)).select(*names)
+
+    def _append(self, rows: DataFrame) -> None:
+        self.table = self.scratch.bucketed(rows, "family", self.buckets, "shard", by="slot")
+
     def merge(self) -> None:
         """Levels of equal size become one, as often as the count of batches carries."""
         while len(self.levels) > 1 and self.levels[-1][1] == self.levels[-2][1]:
-            (a, n, x), (b, _, y) = self.levels[-2:]
-            name = f"level_{self.added}_{2 * n}"
-            together = x.union(y).groupBy("shard").applyInArrow(freed(merged), LEVEL)
-            self.levels[-2:] = [(name, 2 * n, self.scratch.bucketed(together, name, self.buckets, "shard"))]
+            (a, n), (b, _) = self.levels[-2:]
+            slot = f"level_{self.added}_{2 * n}"
+            older, newer = self._read([a], LEVEL), self._read([b], LEVEL)
+            newer = newer.toDF(*(f"{x}_2" for x in newer.columns))  # two sides of one table need names of their own
+            together = older.groupBy("shard").cogroup(newer.groupBy("shard_2")).applyInArrow(freed(merged), LEVEL)
+            self._append(together.selectExpr(f"'{slot}' AS slot", *(x.split()[0] if x in LEVEL else f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in _ADDED.split(", ")[1:])))
+            self.levels[-2:] = [(slot, 2 * n)]
             for gone in (a, b):
-                self.scratch.drop(gone)
+                self.scratch.drop(f"family/slot={gone}")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Matches of a batch's stretches with the levels and among themselves. Batches come in ascending order of doc_id."""
         self.merge()
-        made = batch.groupBy("shard")
+        made, k = batch.groupBy("shard"), self.added
         if self.levels:
-            existing = self.levels[0][2]
-            for _, _, level in self.levels[1:]:
-                existing = existing.union(level)
-            made = made.cogroup(existing.groupBy("shard")).applyInArrow(freed(add), _ADDED)
+            made = made.cogroup(self._read([x for x, _ in self.levels], LEVEL).groupBy("shard")).applyInArrow(freed(add), _ADDED)
         else:
             made = made.applyInArrow(freed(lambda t: add(t, _table(LEVEL, []))), _ADDED)
-        name = f"added_{self.added}"
-        table = self.scratch.bucketed(made, name, self.buckets, "shard", by="kind")
-        parts = lambda kind, schema: table.where(F.col("kind") == kind).select(*(x.split()[0] for x in schema.split(", ")))
-        self.levels.append((f"{name}/kind=level", 1, parts("level", LEVEL)))
+        self._append(made.withColumn("slot", F.concat("slot", F.lit(f"_{k}"))))
+        self.levels.append((f"level_{k}", 1))
         self.added += 1
-        return parts("match", MATCH)
+        return self._read([f"match_{k}"], MATCH)
 
 
 MATCH = "run long, ords binary, los binary, his binary"
