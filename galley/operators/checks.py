@@ -140,10 +140,10 @@ def protect_lines(c: Column) -> Column:
     return F.array_join(F.transform(lines, lambda x: F.when(x.rlike(RESERVED), F.concat(F.lit(QUOTED), x)).otherwise(x)), "\n")
 
 
-def page_prompts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page, prompt): the blocks in order, running headers and footers left out, each under a marker line that no source line can forge."""
+def page_prompts(blocks: DataFrame, context: Column | None = None) -> DataFrame:
+    """(doc_id, page, prompt): the blocks in order, running headers and footers left out, each under a marker line that no source line can forge; context: a text between marker and block."""
     shown = blocks.where(~F.coalesce(F.col("role"), F.lit("")).isin("running-header", "running-footer"))
-    body = F.concat(F.lit("===== APP LAYOUT BLOCK / "), F.upper(F.coalesce("role", F.lit("body"))), F.lit(" =====\n"), protect_lines(F.col("text")))
+    body = F.concat(F.lit("===== APP LAYOUT BLOCK / "), F.upper(F.coalesce("role", F.lit("body"))), F.lit(" =====\n"), F.coalesce(context, F.lit("")) if context is not None else F.lit(""), protect_lines(F.col("text")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("order", body.alias("body")))), lambda b: b["body"])
     return shown.groupBy("doc_id", "page").agg(F.trim(F.array_join(parts, "\n\n")).alias("prompt"))
 

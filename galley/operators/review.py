@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.functions.unicode import nfkc
 from galley.sources.tables import read
 
 #: Least share of prose for the grammar pass, passes for candidates, budget of all passes.
@@ -30,12 +31,40 @@ def execution_state(target: Column, checked: Column, failed: Column) -> Column:
     return F.when((F.size(target) > 0) & (done == F.size(target)), "complete").when(F.size(failed) > 0, "failed").when(done > 0, "partial").otherwise("not_run")
 
 
+# Ways to say that a number is missing, quotation marks, a numbered line, shortest text that identifies an item.
+SAYS_MISSING = (
+    r"(?i)(?:項番|見出し番号|番号)\s*(?:が|の|は)?\s*([0-9]{1,3})\s*(?:を|が|は)?\s*(?:欠|抜|欠落|存在しな|見当たら|ない|ありません|無い|飛ん)",
+    r"(?i)(?:missing|omitted|skipped|absent)\s+(?:item|section|number|no\.?\s*)?\s*([0-9]{1,3})",
+    r"(?i)(?:item|section|number|no\.?)\s*([0-9]{1,3})\s+(?:is\s+)?(?:missing|omitted|skipped|absent)",
+)
+QUOTED = ("「([^」]{6,240})」", "『([^』]{6,240})』", "“([^”]{6,240})”", '"([^"\r\n]{6,240})"')
+NUMBERED_LINE, LEAST_BODY = r"^\s*[(\[]?\s*([0-9]{1,3})\s*[)\].:：]\s*(.+)$", 12
+
+
+def _body(c: Column) -> Column:
+    """What of an item's text identifies it: letters and digits without bullets and the item's own number."""
+    text = F.regexp_replace(F.lower(nfkc(c)), r"^[\s\-‐‑‒–—―•・*]+", "")
+    return F.regexp_replace(F.regexp_replace(text, r"^[\s(\[]*[0-9]{1,3}\s*[)\].．:：-]\s*", ""), "[^a-z0-9ぁ-んァ-ヶー一-龠々〆〇]+", "")
+
+
 def contradicted_missing(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of findings (id, doc_id, page, text) that say item N is missing although their page has a line `N. ...` with a body."""
-    n = F.regexp_extract("text", r"(?i)\b(?:missing|lacks?|without)\s+(?:item|section|number)\s+\(?([0-9]+(?:\.[0-9]+)*)", 1)
-    said = findings.select("id", "doc_id", "page", n.alias("number")).where(F.col("number") != "")
-    real = lines.select("doc_id", "page", F.regexp_extract("line", r"^\s*\(?([0-9]+(?:\.[0-9]+)*)[.)]\s+\S", 1).alias("number")).where(F.col("number") != "").distinct()
-    return said.join(real, ["doc_id", "page", "number"], "left_semi").select("id").distinct()
+    """Ids of findings (id, doc_id, page, quote, issue, reason, suggestion) that say item N is missing although their page has that very item.
+
+    An unrelated line N does not do: its body and one that the finding quotes must be equal or contain one another, and
+    each be 12 letters or more. A finding that quotes no such body stays. Nulls are empty.
+    """
+    full = lambda *names: nfkc(F.concat_ws(" ", *(F.coalesce(n, F.lit("")) for n in names)))
+    told = findings.withColumn("told", full("issue", "reason"))
+    numbers = F.array_distinct(F.concat(*(F.transform(F.regexp_extract_all("told", F.lit(p), F.lit(1)), lambda x: x.cast("int")) for p in SAYS_MISSING)))
+    quotes = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)) for c in ("issue", "reason", "suggestion") for p in QUOTED]
+    said = told.select("id", "doc_id", "page", numbers.alias("numbers"), F.concat(F.array(F.coalesce("quote", F.lit(""))), *quotes).alias("texts")).where(F.size("numbers") > 0)
+    bodies = said.withColumn("text", F.explode("texts")).withColumn("quoted", _body(F.col("text"))).where(F.length("quoted") >= LEAST_BODY)
+    claims = bodies.select("id", "doc_id", "page", "quoted", F.explode("numbers").alias("number")).distinct()
+    line = nfkc(F.coalesce("line", F.lit("")))
+    real = lines.withColumn("folded", line).where(F.col("folded").rlike(NUMBERED_LINE))
+    real = real.select("doc_id", "page", F.regexp_extract("folded", NUMBERED_LINE, 1).cast("int").alias("number"), _body(F.regexp_extract("folded", NUMBERED_LINE, 2)).alias("body")).where(F.length("body") >= LEAST_BODY).distinct()
+    meet = claims.join(real, ["doc_id", "page", "number"]).where(F.contains("body", "quoted") | F.contains("quoted", "body"))
+    return meet.select("id").distinct()
 
 
 def structure_omissions(targets: DataFrame, references: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -64,8 +93,14 @@ def a14_execution_state(spark: SparkSession, d: str) -> DataFrame:
 
 def f21_contradicted_missing(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
-    f = li.where("l_returnflag = 'R'").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("Missing item "), F.col("l_quantity").cast("int").cast("string")).alias("text"))
-    lines = li.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(". Body")).alias("line"))
+    n, part = F.col("l_quantity").cast("int").cast("string"), (F.col("l_partkey") % 4).cast("string")
+    body = F.concat(F.lit("terms of delivery "), part)
+    issue = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("Missing item "), n)).when(F.col("l_tax") > 0.04, F.concat(F.lit("項番"), n, F.lit("が欠落"))).otherwise(F.concat(F.lit("no. "), n, F.lit(" differs")))
+    quoted = F.when(F.col("l_discount") > 0.03, body)
+    reason = F.when(F.col("l_discount") <= 0.01, F.concat(F.lit("It says 「（"), n, F.lit("）Terms of Delivery, "), part, F.lit("」.")))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    f = li.where("l_returnflag = 'R'").select(key.alias("id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), quoted.alias("quote"), issue.alias("issue"), reason.alias("reason"), F.lit(None).cast("string").alias("suggestion"))
+    lines = li.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit(" ("), n, F.lit(") The "), body, F.lit(" and more")).alias("line"))
     return contradicted_missing(f, lines)
 
 
@@ -85,7 +120,10 @@ WITH w AS (SELECT list_concat(list_slice(list_filter([CASE WHEN l_discount * 10
 SELECT coalesce(array_to_string(list_slice(p, 1, 3), ','), '') AS passes, coalesce(array_to_string(list_slice(p, 4, 13), ','), '') AS skipped, count(*) AS n FROM w GROUP BY 1, 2
 """,
     "a14_execution_state": "SELECT CASE WHEN l_tax > 0.05 THEN 'complete' WHEN l_discount > 0.07 THEN 'failed' WHEN l_tax > 0.03 THEN 'partial' ELSE 'not_run' END AS state, count(*) AS n FROM lineitem GROUP BY 1",
-    "f21_contradicted_missing": "SELECT DISTINCT f.l_orderkey || '-' || f.l_linenumber || '-' || f.l_partkey AS id FROM lineitem f JOIN lineitem r ON f.l_suppkey = r.l_suppkey AND f.l_linenumber = r.l_linenumber AND trunc(f.l_quantity) = trunc(r.l_quantity) AND f.l_returnflag = 'R' AND r.l_returnflag = 'A'",
+    "f21_contradicted_missing": """
+SELECT DISTINCT f.l_orderkey || '-' || f.l_linenumber || '-' || f.l_partkey || '-' || f.l_suppkey AS id FROM lineitem f JOIN lineitem r ON f.l_suppkey = r.l_suppkey AND f.l_linenumber = r.l_linenumber
+  AND trunc(f.l_quantity) = trunc(r.l_quantity) AND f.l_partkey % 4 = r.l_partkey % 4 AND f.l_returnflag = 'R' AND r.l_returnflag = 'A' AND (f.l_linestatus = 'F' OR f.l_tax > 0.04) AND (f.l_discount > 0.03 OR f.l_discount <= 0.01)
+""",
     "l11_structure_omissions": """
 WITH b AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, l_linestatus AS side, CASE WHEN l_tax > 0.05 THEN 'list' WHEN l_tax > 0.02 THEN 'table' ELSE 'paragraph' END AS role FROM lineitem)
 SELECT doc_id, page AS target, page AS reference, role, count(*) FILTER (WHERE side = 'F') AS expected, count(*) FILTER (WHERE side = 'O') AS found FROM b WHERE role <> 'paragraph' GROUP BY doc_id, page, role HAVING count(*) FILTER (WHERE side = 'O') < count(*) FILTER (WHERE side = 'F')

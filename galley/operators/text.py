@@ -95,12 +95,24 @@ def date_keys(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(english, japanese)))
 
 
+# Marks of numbered headings (a separator is a must), bullets, masked amounts, figures of a table row.
+HEADING = r"^([0-9]{1,3}(?:\.[0-9]{1,3}){0,3}[.．)）:]|[（(][0-9]{1,3}[)）]|第[0-9]{1,3}[章節項]|(?:[IVX]{1,7}|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]{1,4})[.．)）])(\s*)(.+)$"
+BULLET, MASKED = r"^[-*•●○◆◇▪▫]\s*", "⟦#[A-Z0-9]+⟧"
+FIGURE = r"(?i)(?:^|\s)[+−-]?[0-9][0-9,]*(?:\.[0-9]+)?(?:%|円|yen|million|billion|thousand)?(?=\s|$)"
+
+
 def numbered_heading(c: Column) -> Column:
-    """(number, title) of a numbered heading: three letters or more, fewer than three numbers in the title, at most 240 characters; else null."""
-    line = F.trim(c)
-    number, title = F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*|[IVX]+)[.)]?\s+(.+)$", 1), F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*|[IVX]+)[.)]?\s+(.+)$", 2)
-    ok = (number != "") & (F.length(line) <= 240) & (F.regexp_count(title, F.lit(r"\p{L}")) >= 3) & (F.regexp_count(title, F.lit(r"[0-9]+(?:[.,][0-9]+)*")) < 3)
-    return F.when(ok, F.struct(number.alias("number"), title.alias("title")))
+    """(number, title) of a numbered heading, else null: a mark with its separator, then a title of three letters or more and at most 240 characters.
+
+    A bullet, a decimal such as `3.5 million`, two masked amounts or three figures make it something else.
+    """
+    line = F.trim(F.regexp_replace(F.regexp_replace(c, "[\u3000\u00a0]", " "), r"\s+", " "))
+    mark, gap, title = (F.regexp_extract(line, HEADING, k) for k in (1, 2, 3))
+    title = F.trim(title)
+    decimal = (gap == "") & mark.rlike("[.．]$") & title.rlike("^[0-9]")
+    ok = (mark != "") & ~line.rlike(BULLET) & ~decimal & (F.length(title) <= 240) & (F.regexp_count(title, F.lit(r"\p{L}")) >= 3)
+    ok &= (F.regexp_count(title, F.lit(MASKED)) < 2) & (F.regexp_count(title, F.lit(FIGURE)) < 3)
+    return F.when(ok, F.struct(mark.alias("number"), title.alias("title")))
 
 
 def last_header(lines: DataFrame, header: Column, partition: str, order: str) -> DataFrame:
@@ -116,7 +128,7 @@ def heading_index(lines: DataFrame, most: int = 240) -> DataFrame:
     from pyspark.sql import Window
 
     found = lines.withColumn("heading", numbered_heading(F.col("line"))).where("heading is not null")
-    once = found.groupBy("doc_id", "page", F.lower("heading.title").alias("key")).agg(F.min(F.struct("at", "heading")).alias("h"))
+    once = found.groupBy("doc_id", "page", F.lower(F.concat_ws(" ", "heading.number", "heading.title")).alias("key")).agg(F.min(F.struct("at", "heading")).alias("h"))
     ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "h.at")))
     return ranked.where(F.col("place") <= most).select("doc_id", "page", "place", "h.heading.number", "h.heading.title")
 
@@ -204,9 +216,19 @@ def x10_date_keys(spark, d):
     return read(spark, d, "orders").select(F.array_join(date_keys(text), ";").alias("dates")).groupBy("dates").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Marks that stand before lines of documents: headings and what looks like them.
+MARKS = ("1. ", "2 ", "（3）", "第4章 ", "- 5. ", "6.5", "IV. ", "7) 1 22 333 ", "8: ⟦#AB1⟧ ⟦#CD2⟧ ", "I ", "Ⅱ．", "9. 10 ")
+
+
+def marked_lines(spark, d: str):
+    """Lines of documents, each after one of MARKS."""
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    marks = F.array(*(F.lit(m) for m in MARKS))
+    return lines.withColumn("line", F.concat(F.get(marks, F.pmod(F.col("doc_id") + F.col("at"), F.lit(len(MARKS))).cast("int")), "line"))
+
+
 def x19_numbered_heading(spark, d):
-    line = F.concat(F.col("l_linenumber").cast("string"), F.lit("."), F.col("l_quantity").cast("int").cast("string"), F.lit(" Shipping "), F.when(F.col("l_tax") > 0.04, F.lit("1 2 3")).otherwise(F.lit("terms")))
-    return read(spark, d, "lineitem").select(numbered_heading(line).alias("h")).select("h.number", "h.title").groupBy("number", "title").agg(F.count(F.lit(1)).alias("n"))
+    return marked_lines(spark, d).select("doc_id", "at", numbered_heading(F.col("line")).alias("h")).where("h IS NOT NULL").select("doc_id", F.col("at").alias("line"), "h.number", "h.title")
 
 
 def x33_truncate(spark, d):
@@ -249,8 +271,8 @@ def w03_last_header(spark, d):
 
 
 def t05_heading_index(spark, d):
-    lines = read(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.struct("l_orderkey", "l_suppkey").alias("at"), F.concat(F.col("l_linenumber").cast("string"), F.lit(" Part "), F.col("l_returnflag")).alias("line"))
-    return heading_index(lines).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("most"))
+    lines = marked_lines(spark, d).select(F.pmod("doc_id", F.lit(50)).alias("doc_id"), F.lit(1).alias("page"), F.struct("doc_id", "at").alias("at"), "line")
+    return heading_index(lines).select("doc_id", "place", "number", F.lower("title").alias("title"))
 
 
 QUERIES = {f.__name__: f for f in (x18_language, x18_source_language, x04_normalise_source, x05_unique_index, x06_occurrences, x07_fold_quarters, x08_fold_width, x12_first_populated, x03_same_or_contained, x10_date_keys, x10_date_cases, x18_script_cases, x19_numbered_heading, x33_truncate, f26_refusals, s10_strip_html, w03_last_header, t05_heading_index)}
@@ -259,6 +281,15 @@ _LANG = """CASE WHEN k >= 2 AND (10 * k >= l OR 2 * (k + h) >= l) OR k = 1 AND 3
 _COUNTS = r"""SELECT *, len(regexp_replace(text, '[^\x{3041}-\x{309F}\x{30A1}-\x{30FA}\x{30FD}-\x{30FF}\x{31F0}-\x{31FF}]', '', 'g')) AS k, len(regexp_replace(text, '[^\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]', '', 'g')) AS h,
   len(regexp_replace(text, '[^\x{AC00}-\x{D7AF}\x{0400}-\x{04FF}\x{0600}-\x{06FF}]', '', 'g')) AS o, len(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM documents"""
 
+_MARK = r"^([0-9]{1,3}(?:\.[0-9]{1,3}){0,3}[.．)）:]|[（(][0-9]{1,3}[)）]|第[0-9]{1,3}[章節項]|(?:[IVX]{1,7}|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]{1,4})[.．)）])"
+_HEADINGS = rf"""
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+marked AS (SELECT doc_id, CAST(pos AS INT) AS line, trim(regexp_replace(replace(replace([{", ".join(f"'{m}'" for m in MARKS)}][(doc_id + pos) % {len(MARKS)} + 1] || line, chr(12288), ' '), chr(160), ' '), '\s+', ' ', 'g')) AS t FROM lines),
+cut_at AS (SELECT *, regexp_extract(t, '{_MARK}', 1) AS number, substr(t, length(regexp_extract(t, '{_MARK}', 1)) + 1) AS rest FROM marked),
+titled AS (SELECT *, trim(rest) AS title FROM cut_at WHERE number <> '' AND NOT regexp_matches(t, '^[-*•●○◆◇▪▫]')),
+headings AS (SELECT doc_id, line, number, title FROM titled WHERE NOT (regexp_matches(number, '[.．]$') AND regexp_matches(rest, '^[0-9]')) AND length(title) BETWEEN 1 AND 240 AND len(regexp_extract_all(title, '\p{{L}}')) >= 3
+  AND len(regexp_extract_all(title, '⟦#[A-Z0-9]+⟧')) < 2 AND len(list_filter(string_split(title, ' '), lambda w: regexp_full_match(w, '(?i)[+−-]?[0-9][0-9,]*(?:\.[0-9]+)?(?:%|円|yen|million|billion|thousand)?'))) < 3)"""
+
 ORACLE_SQL = {
     "x18_language": f"SELECT {_LANG} AS language, count(*) AS n FROM ({_COUNTS}) GROUP BY 1",
     "x18_source_language": f"SELECT doc_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) ELSE 'その他' END AS language FROM (SELECT source || '/' || lang AS doc_id, {_LANG} AS language FROM ({_COUNTS})) GROUP BY doc_id",
@@ -270,7 +301,7 @@ ORACLE_SQL = {
     "x12_first_populated": "SELECT CASE WHEN value > 75 THEN 'far' WHEN value > 50 THEN ' ' WHEN value > 25 THEN 'near' END AS picked, count(*) AS n FROM events GROUP BY 1",
     "x03_same_or_contained": "SELECT p_partkey, len(regexp_replace(p_type, '\\s', '', 'g')) >= 12 AS same FROM part",
     "x10_date_keys": "SELECT CASE WHEN k = '3-31' THEN k WHEN k < '3-31' THEN k || ';3-31' ELSE '3-31;' || k END AS dates, count(*) AS n FROM (SELECT month(o_orderdate) || '-' || day(o_orderdate) AS k FROM orders) GROUP BY 1",
-    "x19_numbered_heading": "SELECT CASE WHEN ok THEN number END AS number, CASE WHEN ok THEN 'Shipping terms' END AS title, count(*) AS n FROM (SELECT l_linenumber || '.' || CAST(trunc(l_quantity) AS INT) AS number, l_tax <= 0.04 AS ok FROM lineitem) GROUP BY 1, 2",
+    "x19_numbered_heading": f"WITH {_HEADINGS} SELECT doc_id, line, number, title FROM headings",
     "x33_truncate": "SELECT o_orderkey, CASE WHEN len(CAST(o_orderkey AS VARCHAR)) <= 2 THEN substr('total ' || o_orderkey || ' yen', 1, 8) ELSE 'total ' END AS cut FROM orders",
     "f26_refusals": case_sql([c[1] for c in REFUSALS], "refusal"),
     "x18_script_cases": case_sql([c[1] for c in LANGUAGES], "language"),
@@ -278,7 +309,9 @@ ORACLE_SQL = {
     "w03_last_header": """
 SELECT l_orderkey, count(header) AS under, max(header) AS last FROM (SELECT l_orderkey, last_value(CASE WHEN l_returnflag = 'A' THEN 'P.' || l_linenumber END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS header FROM lineitem) GROUP BY l_orderkey
 """,
-    "t05_heading_index": """
-SELECT page, count(*) AS n, CAST(max(place) AS INT) AS most FROM (SELECT page, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS place FROM (SELECT l_partkey AS doc_id, l_linenumber AS page, lower(l_returnflag) AS k, min((l_orderkey, l_suppkey)) AS pos FROM lineitem GROUP BY 1, 2, 3)) WHERE place <= 240 GROUP BY page
+    "t05_heading_index": f"""
+WITH {_HEADINGS},
+o AS (SELECT doc_id % 50 AS doc_id, lower(number || ' ' || title) AS k, min((doc_id, line)) AS pos, arg_min(number, (doc_id, line)) AS number, arg_min(lower(title), (doc_id, line)) AS title FROM headings GROUP BY 1, 2)
+SELECT doc_id, CAST(place AS INT) AS place, number, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM o) WHERE place <= 240
 """,
 }
