@@ -39,20 +39,20 @@ def with_proof(findings: DataFrame) -> DataFrame:
     (bound), are of different fiscal years.
     """
 
-    def proof(veto, fiscal, category, quote, reference, reason, suggestion, summary):
+    def proof(veto, fiscal, bound, category, quote, reference, reason, suggestion, summary):
         if veto:
             return None
         texts = [t for t in (reason, summary, suggestion) if t]
         numeric = claimed.numeric_claim(category, quote, reference, texts, NUMERIC, TRANSLATED)
-        return claims.conclusive_false_positive(numeric, quote, reference, reason, suggestion, summary, fiscal)
+        return claims.conclusive_false_positive(numeric, quote, reference, reason, suggestion, summary, fiscal, bound)
 
     has = set(findings.columns)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in has else F.lit(False)
     veto = direction_conflict(F.col("quote"), F.col("reference")) | flag("incompatible") | flag("uncertain")
     veto = veto | (flag("bound") & (fiscal_relation(F.col("quote"), F.col("reference")) == "conflict"))
     fiscal = fiscal_label_only(F.col("category"), F.col("quote"), F.concat_ws(" ", "suggestion", "reason"), F.col("reference"))
-    tidy = findings.select("id", veto.alias("veto"), fiscal.alias("fiscal"), "category", "quote", "reference", "reason", "suggestion", (F.col("summary") if "summary" in has else F.lit(None).cast("string")).alias("summary"))
-    return applied(tidy, proof, ["veto", "fiscal", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string")
+    tidy = findings.select("id", veto.alias("veto"), fiscal.alias("fiscal"), flag("bound").alias("bound"), "category", "quote", "reference", "reason", "suggestion", (F.col("summary") if "summary" in has else F.lit(None).cast("string")).alias("summary"))
+    return applied(tidy, proof, ["veto", "fiscal", "bound", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string")
 
 
 def merge_on_page(findings: DataFrame) -> DataFrame:
