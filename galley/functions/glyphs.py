@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
 
 #: Share of overlap of an overprint; letters and gaps of a vertical run, in heights.
 OVERPRINT, RUN, NEAR_X, LEAST_GAP, MOST_GAP = 0.80, 3, 0.38, 0.25, 2.6
@@ -16,40 +20,45 @@ def overlap(a: dict, b: dict) -> float:
     return max(0.0, wide) * max(0.0, tall) / max(1e-9, min(a["width"] * a["height"], b["width"] * b["height"]))
 
 
+def _printed(item: dict) -> tuple:
+    """What two prints of one glyph run have in common: text, font and rounded box."""
+    text = unicodedata.normalize("NFKC", " ".join(item["str"].split()))
+    return text, item["font"], *(round(item[k] * f) for k, f in (("x", 2), ("y", 2), ("width", 1), ("height", 1)))
+
+
 def overprints(items: list[dict]) -> list[int]:
     """Places of items that print an earlier one again: the same text, font and rounded box, and most of the area in common."""
-    seen: dict[tuple, list[dict]] = {}
+    alike = sorted((key, k) for k, key in enumerate(map(_printed, items)) if key[0])
     out = []
-    for k, i in enumerate(items):
-        text = unicodedata.normalize("NFKC", " ".join(i["str"].split()))
-        prior = seen.setdefault((text, i["font"], round(i["x"] * 2), round(i["y"] * 2), round(i["width"]), round(i["height"])), [])
-        if text and any(overlap(p, i) >= OVERPRINT for p in prior):
-            out.append(k)
-        else:
-            prior.append(i)
-    return out
+    for _, group in groupby(alike, key=itemgetter(0)):
+        first, *later = (k for _, k in group)
+        shown = [first]
+        for k in later:
+            (out if max(overlap(items[j], items[k]) for j in shown) >= OVERPRINT else shown).append(k)
+    return sorted(out)
+
+
+def _runs(values: np.ndarray, joined: np.ndarray) -> list[np.ndarray]:
+    """Stretches of sorted values in which each is joined to the one before."""
+    return np.split(values, np.flatnonzero(~joined) + 1) if len(values) else []
 
 
 def vertical_runs(items: list[dict]) -> list[int]:
     """Places of single letters, each a line of its own, that stand below one another: three or more, evenly apart."""
-    columns: list[tuple[float, list[int]]] = []
-    letters = [k for k, i in enumerate(items) if i["has_eol"] and len(t := i["str"].strip()) == 1 and t.isalpha()]
-    for k in sorted(letters, key=lambda k: (items[k]["x"], -items[k]["y"])):
-        near = max(2.0, NEAR_X * items[k]["height"])
-        home = next((ks for x, ks in columns if abs(x - items[k]["x"]) <= near), None)
-        if home is None:
-            columns.append((items[k]["x"], home := []))
-        home.append(k)
-    out: list[int] = []
-    for _, ks in columns:
-        run: list[int] = []
-        for k in [*sorted(ks, key=lambda k: -items[k]["y"]), None]:
-            if run and k is not None:
-                last, now = items[run[-1]], items[k]
-                gap = last["y"] - now["y"]
-                if max(1.0, LEAST_GAP * now["height"]) <= gap <= MOST_GAP * max(last["height"], now["height"]):
-                    run.append(k)
-                    continue
-            out += run if len(run) >= RUN else []
-            run = [k]
-    return sorted(out)
+    letters = np.array([k for k, i in enumerate(items) if i["has_eol"] and len(t := i["str"].strip()) == 1 and t.isalpha()], dtype=int)
+    x, y, height = (np.array([float(items[k][c]) for k in letters]) for c in ("x", "y", "height"))
+    # columns: places along x, each begun by its first letter
+    order = np.argsort(x, kind="stable")
+    column, start = np.zeros(len(letters), int), None
+    for k in order:
+        fresh = start is None or x[k] - x[start] > max(2.0, NEAR_X * height[k])
+        start = k if fresh else start
+        column[k] = start
+    found: list[int] = []
+    for c in np.unique(column):
+        down = np.flatnonzero(column == c)
+        down = down[np.argsort(-y[down], kind="stable")]
+        gap, upper, lower = -np.diff(y[down]), height[down][:-1], height[down][1:]
+        even = (gap >= np.maximum(1.0, LEAST_GAP * lower)) & (gap <= MOST_GAP * np.maximum(upper, lower))
+        found += [int(letters[k]) for run in _runs(down, even) if len(run) >= RUN for k in run]
+    return sorted(found)
