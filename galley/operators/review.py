@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions.unicode import nfkc
-from galley.sources.tables import read
+from galley.operators.alignment import align_items
+from galley.sources.tables import cut, read
 
 #: Least share of prose for the grammar pass, passes for candidates, budget of all passes.
 PROSE, CANDIDATE_PASSES, BUDGET = 0.45, 2, 4
@@ -67,14 +68,40 @@ def contradicted_missing(findings: DataFrame, lines: DataFrame) -> DataFrame:
     return meet.select("id").distinct()
 
 
-def structure_omissions(targets: DataFrame, references: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Kinds of block that an aligned reference page has more often than the target page: aligned (doc_id, target, reference); blocks (doc_id, page, role)."""
-    kinds = ("list", "table", "footnote")
-    count = lambda df, page, n: df.where(F.col("role").isin(*kinds)).groupBy("doc_id", F.col("page").alias(page), "role").agg(F.count(F.lit(1)).alias(n))
-    r = aligned.join(count(references, "reference", "expected"), ["doc_id", "reference"])
-    t = count(targets, "target", "found")
-    j = r.join(t, ["doc_id", "target", "role"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    return j.where("found < expected").select("doc_id", "target", "reference", "role", "expected", "found")
+# Scores from which blocks count as a pair and items as the same, roles whose items are compared.
+PAIRED, SAME_ITEM, ITEMISED = 0.65, 0.8, ("list", "list-item", "table", "table-row")
+
+
+def item_omissions(pairs: DataFrame, targets: DataFrame, target_items: DataFrame, reference_items: DataFrame) -> DataFrame:
+    """(doc_id, target, reference, idx, text): items of a reference list or table that its paired target block lacks.
+
+    pairs are (doc_id, target, reference, score) of blocks, targets (doc_id, id, role), items (doc_id, block, idx, text).
+    Items are aligned within their pair; what of the reference is left over is missing. Where no item at all has a
+    counterpart, as between two languages, only the items beyond the target's number are. Blocks without items say nothing.
+    """
+    role = targets.where(F.col("role").isin(*ITEMISED)).select("doc_id", F.col("id").alias("target"))
+    met = pairs.where(F.col("score") >= PAIRED).join(role, ["doc_id", "target"], "left_semi").select("doc_id", "target", "reference").distinct()
+    key = F.to_json(F.struct("doc_id", "target", "reference"))
+    side = lambda items, name: met.join(items.withColumnRenamed("block", name), ["doc_id", name]).select("doc_id", "target", "reference", key.alias("pair"), "idx", "text")
+    t, r = side(target_items, "target"), side(reference_items, "reference")
+    counted = t.groupBy("pair").agg(F.count(F.lit(1)).alias("there"))
+    r = cut(r.join(counted, "pair").withColumn("nth", F.row_number().over(Window.partitionBy("pair").orderBy("idx"))))
+    in_pair = lambda df: df.select(F.col("pair").alias("doc_id"), "idx", "text")
+    edges = cut(align_items(in_pair(t.join(r.select("pair").distinct(), "pair", "left_semi")), in_pair(r), SAME_ITEM).withColumnRenamed("doc_id", "pair"))
+    some = edges.where(~F.col("relation").isin("unmatched_target", "unmatched_reference")).select("pair").distinct().withColumn("some", F.lit(True))
+    lone = edges.where("relation = 'unmatched_reference'").select("pair", F.get("references", F.lit(0)).alias("idx")).withColumn("lone", F.lit(True))
+    judged = r.join(some, "pair", "left").join(lone, ["pair", "idx"], "left")
+    return judged.where(F.when(F.col("some"), F.coalesce("lone", F.lit(False))).otherwise(F.col("nth") > F.col("there"))).select("doc_id", "target", "reference", "idx", "text")
+
+
+def footnote_omissions(targets: DataFrame, references: DataFrame) -> DataFrame:
+    """(doc_id, reference, text): footnotes of a reference without a counterpart, in documents whose target has no footnote at all (one may stand on another page). Blocks are (doc_id, id, role, text)."""
+    block = lambda df: df.select("doc_id", F.col("id").alias("idx"), "text")
+    bare = references.join(targets.where("role = 'footnote'").select("doc_id").distinct(), "doc_id", "left_anti")
+    notes = bare.where("role = 'footnote'")
+    near = targets.join(notes.select("doc_id").distinct(), "doc_id", "left_semi")
+    lone = align_items(block(near), block(notes)).where("relation = 'unmatched_reference'").select("doc_id", F.get("references", F.lit(0)).alias("id"))
+    return notes.join(lone, ["doc_id", "id"]).select("doc_id", F.col("id").alias("reference"), "text")
 
 
 def t07_review_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -104,14 +131,29 @@ def f21_contradicted_missing(spark: SparkSession, d: str) -> DataFrame:
     return contradicted_missing(f, lines)
 
 
-def l11_structure_omissions(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem")
-    blocks = lambda flag: li.where(F.col("l_linestatus") == flag).select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.when(F.col("l_tax") > 0.05, "list").when(F.col("l_tax") > 0.02, "table").otherwise("paragraph").alias("role"))
-    pages = li.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("target"), F.col("l_linenumber").alias("reference")).distinct()
-    return structure_omissions(blocks("O"), blocks("F"), pages)
+def _order_items(spark: SparkSession, d: str) -> DataFrame:
+    li = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.max("l_tax").alias("tax"))
+    text = F.concat(F.lit("line"), "l_linenumber", F.lit(" part"), "part", F.lit(" ship"), "supp")
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("block"), F.col("l_linenumber").cast("long").alias("idx"), text.alias("text"), "tax")
 
 
-QUERIES = {f.__name__: f for f in (t07_review_plan, a14_execution_state, f21_contradicted_missing, l11_structure_omissions)}
+def l11_item_omissions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are pairs of blocks and their lines items; some lines are not in the target, a quarter of the targets are in another language."""
+    items, o = _order_items(spark, d), read(spark, d, "orders")
+    blocks = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("id"), F.when(F.col("o_orderstatus") == "P", "paragraph").when(F.col("o_orderstatus") == "F", "list").otherwise("table").alias("role"))
+    pairs = o.select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("target"), F.lit(1).alias("reference"), F.when(F.col("o_orderpriority") == "1-URGENT", 0.6).otherwise(0.9).alias("score"))
+    target = items.where("tax <= 0.05").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("zeile"), F.col("idx"), F.lit(" teil qq"), F.col("idx"))).otherwise(F.col("text")))
+    return item_omissions(pairs, blocks, target, items).select("doc_id", "idx", "text")
+
+
+def l11_footnote_omissions(spark: SparkSession, d: str) -> DataFrame:
+    items = _order_items(spark, d).withColumnRenamed("idx", "id")
+    kind = lambda flag: F.when(flag, "footnote").otherwise("paragraph").alias("role")
+    target = items.where("tax <= 0.05").select("doc_id", "id", kind((F.col("doc_id") % 3 == 0) & (F.col("tax") > 0.03)), "text")
+    return footnote_omissions(target, items.select("doc_id", "id", kind(F.col("tax") > 0.02), "text")).withColumnRenamed("reference", "idx")
+
+
+QUERIES = {f.__name__: f for f in (t07_review_plan, a14_execution_state, f21_contradicted_missing, l11_item_omissions, l11_footnote_omissions)}
 
 ORACLE_SQL = {
     "t07_review_plan": """
@@ -124,8 +166,13 @@ SELECT coalesce(array_to_string(list_slice(p, 1, 3), ','), '') AS passes, coales
 SELECT DISTINCT f.l_orderkey || '-' || f.l_linenumber || '-' || f.l_partkey || '-' || f.l_suppkey AS id FROM lineitem f JOIN lineitem r ON f.l_suppkey = r.l_suppkey AND f.l_linenumber = r.l_linenumber
   AND trunc(f.l_quantity) = trunc(r.l_quantity) AND f.l_partkey % 4 = r.l_partkey % 4 AND f.l_returnflag = 'R' AND r.l_returnflag = 'A' AND (f.l_linestatus = 'F' OR f.l_tax > 0.04) AND (f.l_discount > 0.03 OR f.l_discount <= 0.01)
 """,
-    "l11_structure_omissions": """
-WITH b AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, l_linestatus AS side, CASE WHEN l_tax > 0.05 THEN 'list' WHEN l_tax > 0.02 THEN 'table' ELSE 'paragraph' END AS role FROM lineitem)
-SELECT doc_id, page AS target, page AS reference, role, count(*) FILTER (WHERE side = 'F') AS expected, count(*) FILTER (WHERE side = 'O') AS found FROM b WHERE role <> 'paragraph' GROUP BY doc_id, page, role HAVING count(*) FILTER (WHERE side = 'O') < count(*) FILTER (WHERE side = 'F')
+    "l11_item_omissions": """
+WITH i AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS idx, 'line' || l_linenumber || ' part' || min(l_partkey) || ' ship' || min(l_suppkey) AS text, max(l_tax) <= 0.05 AS there FROM lineitem GROUP BY 1, l_linenumber),
+n AS (SELECT *, count(*) FILTER (WHERE there) OVER (PARTITION BY doc_id) AS k, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS nth FROM i)
+SELECT doc_id, idx, text FROM n JOIN orders ON o_orderkey = doc_id WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT' AND k > 0 AND CASE WHEN doc_id % 4 = 0 THEN nth > k ELSE NOT there END
+""",
+    "l11_footnote_omissions": """
+WITH i AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS idx, 'line' || l_linenumber || ' part' || min(l_partkey) || ' ship' || min(l_suppkey) AS text, max(l_tax) AS tax FROM lineitem GROUP BY 1, l_linenumber)
+SELECT doc_id, idx, text FROM i WHERE tax > 0.05 AND doc_id NOT IN (SELECT doc_id FROM i WHERE doc_id % 3 = 0 AND tax > 0.03 AND tax <= 0.05)
 """,
 }

@@ -103,13 +103,15 @@ def refusal_rows(turns: DataFrame) -> DataFrame:
 def staged_pdfs(files: DataFrame) -> DataFrame:
     """name, pages, problem of files (name, content; of the binaryFile source too): the first reason against one, or null.
 
-    A PDF starts with its mark, says where it ends, and has page objects; their text is not read.
+    A PDF starts with its mark and says where it ends. Page objects are counted where they can be read; in a file with
+    object streams, which are compressed, they can't, so its number of pages is null and no reason against it.
     """
     text = F.decode("content", "ISO-8859-1")
     pages = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
     size = F.coalesce(F.length("content"), F.lit(0))
-    problem = F.when(~F.coalesce(F.lower("name").endswith(".pdf"), F.lit(False)), "name").when(size == 0, "empty").when(~text.startswith("%PDF-"), "type").when(~F.right(text, F.lit(1024)).contains("%%EOF"), "truncated").when(pages == 0, "pages")
-    return files.select("name", F.when(size > 0, pages).otherwise(0).cast("long").alias("pages"), problem.alias("problem"))
+    problem = F.when(~F.coalesce(F.lower("name").endswith(".pdf"), F.lit(False)), "name").when(size == 0, "empty").when(~text.startswith("%PDF-"), "type").when(~F.right(text, F.lit(1024)).contains("%%EOF"), "truncated")
+    readable = problem.isNull() & (pages > 0) & ~text.contains("/ObjStm")
+    return files.select("name", F.when(readable, pages).cast("long").alias("pages"), problem.alias("problem"))
 
 
 def write_report(findings: DataFrame, folder: str) -> None:
@@ -226,7 +228,7 @@ def x36_digests(spark, d):
 
 def s01_staged_pdfs(spark, d):
     o = read(spark, d, "orders")
-    body = F.concat(F.when(F.col("o_orderstatus") == "P", "").otherwise("%PDF-1.7\n"), F.repeat(F.lit("<< /Type /Page >> "), F.pmod("o_orderkey", F.lit(4)).cast("int")), F.lit("<< /Type /Pages >>"), F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise("\n%%EOF\n"))
+    body = F.concat(F.when(F.col("o_orderstatus") == "P", "").otherwise("%PDF-1.7\n"), F.repeat(F.lit("<< /Type /Page >> "), F.pmod("o_orderkey", F.lit(4)).cast("int")), F.lit("<< /Type /Pages >>"), F.when(F.pmod("o_orderkey", F.lit(5)) == 0, "<< /Type /ObjStm >>").otherwise(""), F.when(F.col("o_orderpriority") == "1-URGENT", "").otherwise("\n%%EOF\n"))
     name = F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderpriority") == "2-HIGH", ".txt").otherwise(".PDF"))
     return staged_pdfs(o.select(name.alias("name"), F.when(F.col("o_orderpriority") == "5-LOW", F.lit("").cast("binary")).otherwise(body.cast("binary")).alias("content")))
 
@@ -249,8 +251,8 @@ ORACLE_SQL = {
     "s08_valid_extracts": "SELECT sha256(text) AS sha256, count(*) AS n FROM documents WHERE lang NOT IN ('de', 'fr') GROUP BY 1",
     "s09_log_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS lines, count(*) FILTER (WHERE value > 60 AND value <= 80) AS attach, count(*) FILTER (WHERE value > 80) AS stalls, 0 AS refusals FROM events GROUP BY 1",
     "s11_report_to_run": "SELECT CASE WHEN l_discount > 0.07 THEN 'uncertain' ELSE 'finding' END AS kind, l_linenumber AS page, count(*) AS n FROM lineitem WHERE l_tax <= 0.05 GROUP BY 1, 2",
-    "s01_staged_pdfs": """SELECT o_orderkey || CASE WHEN o_orderpriority = '2-HIGH' THEN '.txt' ELSE '.PDF' END AS name, CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE o_orderkey % 4 END AS pages,
-CASE WHEN o_orderpriority = '2-HIGH' THEN 'name' WHEN o_orderpriority = '5-LOW' THEN 'empty' WHEN o_orderstatus = 'P' THEN 'type' WHEN o_orderpriority = '1-URGENT' THEN 'truncated' WHEN o_orderkey % 4 = 0 THEN 'pages' END AS problem FROM orders""",
+    "s01_staged_pdfs": """SELECT o_orderkey || CASE WHEN o_orderpriority = '2-HIGH' THEN '.txt' ELSE '.PDF' END AS name, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') OR o_orderstatus = 'P' OR o_orderkey % 5 = 0 OR o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 END AS pages,
+CASE WHEN o_orderpriority = '2-HIGH' THEN 'name' WHEN o_orderpriority = '5-LOW' THEN 'empty' WHEN o_orderstatus = 'P' THEN 'type' WHEN o_orderpriority = '1-URGENT' THEN 'truncated' END AS problem FROM orders""",
     "k02_refusals": "SELECT event_type AS completed_by, count(*) AS n, CAST(sum(greatest(event_id - 5, 0)) AS BIGINT) AS ms, CAST(min(CAST(ts AS DATE)) AS VARCHAR) AS first FROM events WHERE value > 30 GROUP BY 1",
     "k01_pass_stats": "SELECT CASE l_returnflag WHEN 'A' THEN 'typo' ELSE 'gap' END AS lens, CASE WHEN l_linestatus = 'F' THEN 'done' ELSE 'error' END AS status, CAST(sum(least(CAST(trunc(l_extendedprice * 3) AS INT), 100000)) AS BIGINT) AS findings_new, min(greatest(0, least(1, l_discount * 20 - 0.2))) AS low, max(greatest(0, least(1, l_discount * 20 - 0.2))) AS high, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2",
     "k03_next_revision": "SELECT o_orderkey AS job_id, coalesce(max(l_linenumber), 0) + 1 AS revision, o_orderstatus AS state FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus",
