@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages (windows of words) and benchmark items are TF-IDF vectors; a randomised SVD, its products summed over the tasks
-of a sample, gives the latent space over the words of the benchmark, and passages whose cosine with an item passes a low
-bar are candidates. So are passages that hold a share of the weight of an item (of a long item, of one of its windows),
+Passages (windows of words) and benchmark items are TF-IDF vectors; a randomised SVD of the passages of all documents
+gives the latent space over the words of the benchmark, and passages whose cosine with an item passes a low bar are
+candidates. So are passages that hold a share of the weight of an item (of a long item, of one of its windows),
 whatever else they hold: a verbatim or short item is found at any size of the table. Each candidate is then checked on
 the words: the longest common subsequence with the item, and whether the item's answer (its last sentence) is there too,
 which catches paraphrases.
@@ -13,8 +13,9 @@ of the passage's rarer words, as the commoner ones together weigh less than that
 
 Document frequencies are counted over all documents: of each word of the benchmark, and of the other words by hash
 bucket, so no word's weight is made up or grows without bound. The benchmark is a stated query set: blocks of its items
-are sent together, up to SENT bytes a pass, and every passage of every document is searched. The space is fitted on a
-block's items and a bounded sample of documents (FIT_DOCS).
+are sent together, up to SENT bytes a pass, and every passage of every document is searched. The space needs of the documents
+only how often two words of the benchmark share a passage: whole numbers, which are summed over all passages of all
+documents in one pass for all blocks, so no order or number of tasks changes them.
 
 Nulls: a null text is empty; empty items and documents match nothing. A null doc_id is reported as such. Repeated rows
 are each reported. Equal items each get a link. Empty tables give no rows. Columns other than the id and text are
@@ -28,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.common import Scratch, free_name, freeing, slices, small, text_or_empty
-from galley.llm.terms import SLICE, Weights, prefix, term_counts, terms_of, words_in, words_of
+from galley.llm.terms import SLICE, Weights, distinct, prefix, term_counts, terms_of, words_in, words_of
 
 WINDOW, STEP = 32, 16
 #: Items and words of a block; bytes of blocks that are sent for one pass over the documents.
 ITEMS, WORDS, SENT = 512, 1 << 15, 256 << 20
-#: Documents that the space is fitted on, its dimensions, and the weight of the items there, for each item.
-FIT_DOCS, DIMENSIONS, ITEM_WEIGHT = 500, 256, 4.0
+#: The space is fitted on all documents, which together weigh as much as so many of them; its dimensions, and the weight of the items there, for each item.
+AS_DOCS, DIMENSIONS, ITEM_WEIGHT = 500, 256, 4.0
+#: Pairs of words that a task holds one by one before it counts them; different pairs that it sums before it hands them on, and those of a batch.
+PAIRS, SUMMED, BATCH = 1 << 21, 1 << 20, 1 << 16
 #: Cosine of candidates; shares of the item's words (of its answer's) in common order that make a leak.
 COSINE, WHOLE, PART, ANSWER = 0.35, 0.8, 0.6, 0.8
 #: Share of a passage's weight (of its words, by frequency) that a window needs to be a candidate whatever else it holds.
@@ -164,7 +168,7 @@ class Block:
         for lo in range(0, len(first), size):
             at = first[lo : lo + size, None] + np.arange(WINDOW)
             row = np.where(at < last[lo : lo + size, None], rows[np.minimum(at, len(rows) - 1)], -1)
-            which, word = np.divmod(np.unique((np.arange(len(at))[:, None] * len(self.words) + row)[row >= 0]), len(self.words))
+            which, word = np.divmod(distinct((np.arange(len(at))[:, None] * len(self.words) + row)[row >= 0]), len(self.words))
             n = self.first[word + 1] - self.first[word]
             post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.first[word], n)
             held = np.bincount(np.repeat(which, n) * len(self.owner) + self.passage[post], self.share[post], minlength=len(at) * len(self.owner))
@@ -251,39 +255,116 @@ def links_in(texts: pa.Array, weights: Weights, blocks: list[Block]) -> Iterator
                     yield t, block.ids[item], *best
 
 
-def latent_basis(sample: DataFrame, block: Block, seed: int = 5) -> np.ndarray:
-    """Randomised SVD (Halko et al., 2011) of the passages of the sample and the items: A'A times a block of vectors, summed over the sample's few tasks, twice."""
+def pairs_in(rows: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """Pairs of words of a passage, times two, one more if the pair is in two passages. A pair is the smaller word times n, and the larger; it is given for each two places, and for a place with itself.
+
+    rows: numbers of the words of all texts, below n, or -1 for others; offsets: where each text begins. A passage is a
+    step and the next one, so a step is in two, but for a text's first and last.
+    """
+    kind = np.int32 if 2 * n * n < 1 << 31 else np.int64
+    at = np.flatnonzero(rows >= 0)
+    text = np.searchsorted(offsets, at, side="right") - 1
+    steps = -(-np.diff(offsets) // STEP)
+    step = (at - offsets[text]) // STEP
+    twice = ((step > 0) & (step < steps[text] - 1)).astype(kind)
+    step = (step + (np.cumsum(steps + 1) - steps)[text]).astype(np.int32)  # a step lies between two texts
+    rows = rows[at].astype(kind)
+    most = PAIRS // (2 * WINDOW)
+    for lo in range(0, len(rows), most):
+        near = np.arange(lo, min(lo + most, len(rows)))
+        made = [2 * rows[near] * (n + 1) + twice[near]]
+        for apart in range(1, WINDOW):
+            near = near[: np.searchsorted(near, len(rows) - apart)]
+            gap = step[near + apart] - step[near]
+            near, gap = near[gap <= 1], gap[gap <= 1]  # what is too far from one word is so from those after it
+            if not len(near):
+                break
+            u, v = rows[near], rows[near + apart]
+            pair = 2 * (np.minimum(u, v) * n + np.maximum(u, v)) + twice[near] * (gap == 0)
+            made += [pair, pair[u == v]]  # a word with itself is met from both sides
+        yield np.concatenate(made)
+
+
+def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, times), each pair once."""
+    both = pa.table([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["pair", "n"])
+    out = both.group_by("pair", use_threads=False).aggregate([("n", "sum")])
+    return out["pair"].to_numpy(), out["n_sum"].to_numpy()
+
+
+def passage_pairs(texts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """word, other, n: the sum over all passages of all texts of the product of the two words' counts, in both orders, sorted by word in each partition. Words are places in the vocabulary."""
+    sent, n = texts.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        waiting, held = [], []
+
+        def count() -> None:
+            if waiting:
+                pairs, times = np.unique(np.concatenate(waiting), return_counts=True)
+                held.append(((pairs >> 1).astype(np.int64), times * (1 + (pairs & 1))))
+                waiting.clear()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            pairs, times = held.pop()
+            for lo in range(0, len(pairs), BATCH):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + BATCH]), pa.array(times[lo : lo + BATCH])], ["pair", "n"])
+
+        for b in batches:
+            for some in slices(b, 0, SLICE):
+                words = words_in(some.column(0))
+                rows = pc.fill_null(pc.index_in(words.flatten(), known), -1).to_numpy()
+                offsets = words.offsets.to_numpy().astype(np.int64)
+                for pairs in pairs_in(rows, offsets - offsets[0], n):
+                    waiting.append(pairs)
+                    if sum(map(len, waiting)) < PAIRS:
+                        continue
+                    count()
+                    if sum(len(p) for p, _ in held) >= 2 * SUMMED:
+                        held[:] = [added(held)]
+                        if len(held[0][0]) >= SUMMED:
+                            yield from hand_on()
+        count()
+        if held:
+            held[:] = [added(held)]
+            yield from hand_on()
+
+    pairs = texts.select("text").mapInArrow(freeing(run), "pair long, n long").repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(F.expr(f"pair div {n}").alias("one"), F.expr(f"pair % {n}").alias("two"), "n")
+    one, two = (F.struct(F.col(a).alias("word"), F.col(b).alias("other"), "n") for a, b in (("one", "two"), ("two", "one")))
+    return pairs.select(F.inline(F.when(F.col("one") == F.col("two"), F.array(one)).otherwise(F.array(one, two)))).repartition("word").sortWithinPartitions("word", "other")
+
+
+def latent_basis(pairs: DataFrame | None, block: Block, share: float, seed: int = 5) -> np.ndarray:
+    """The range of a randomised SVD (Halko et al., 2011) of the passages of the documents and of the items: A'A times a block of vectors. pairs: those of all documents, which are needed if the block has more words than the space dimensions; share: their weight."""
     n = len(block.words)
     k = min(n, DIMENSIONS)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k)))[0]
-    context = sample.sparkSession.sparkContext
-    for _ in range(2):
-        sent = context.broadcast((block, q.astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            (mine, vectors), total = sent.value, np.zeros((n, k))
-            for b in batches:
-                for words in words_in(b.column(0)):
-                    rows = mine.rows(words.as_py())
-                    for lo in range(0, len(rows), 4096):
-                        a, columns = mine.passages(rows[lo : lo + 4096 + WINDOW])
-                        total[columns] += a.T @ (a @ vectors[columns])
-            touched = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(touched), pa.array(list(total[touched]), pa.list_(pa.float64()))], ["word", "sum"])
-
-        product = np.zeros((n, k))
-        for row in sample.mapInArrow(freeing(run), "word long, sum array<double>").toLocalIterator():  # the sample has SAMPLE_PARTS tasks
-            product[row["word"]] += row["sum"]
-        for ws in block.items:
-            a, columns = block.passages(block.rows(ws))
-            product[columns] += ITEM_WEIGHT * len(block.items) * (a.T @ (a @ q[columns]))
-        last, q = q, np.linalg.qr(product)[0]
-    turn = np.linalg.eigh((last.T @ product + product.T @ last) / 2)[1]
-    return last @ turn[:, ::-1]
-
-
-#: Files of the written sample.
-SAMPLE_PARTS = 4
+    if pairs is None or n == k:
+        return q  # all of the space
+    sent = pairs.sparkSession.sparkContext.broadcast((block.words, block.idf[:, None] * q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = sent.value
+        for b in batches:
+            word, other, times = (c.to_numpy() for c in b.columns)
+            i, j = (np.minimum(np.searchsorted(words, x), n - 1) for x in (word, other))
+            mine = np.flatnonzero((words[i] == word) & (words[j] == other))
+            i, j, times = i[mine], j[mine], times[mine].astype(np.float64)
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            sums = [times[lo:hi] @ vectors[j[lo:hi]] for lo, hi in zip(first, [*first[1:], len(i)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(i[first]), pa.array(sums, pa.list_(pa.float64()))], ["word", "sum"])
+
+    product = np.zeros((n, k))
+    made = pairs.mapInArrow(freeing(run), "word long, sum array<double>").toArrow()  # a row a word of the block, and one more a batch
+    for b in made.to_batches():
+        np.add.at(product, b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, k))
+    product *= share * block.idf[:, None]
+    for ws in block.items:
+        a, columns = block.passages(block.rows(ws))
+        product[columns] += ITEM_WEIGHT * len(block.items) * (a.T @ (a @ q[columns]))
+    return np.linalg.qr(product)[0]
 
 
 def item_blocks(items: Iterator[tuple[int, str]]) -> Iterator[list[tuple[int, list[str]]]]:
@@ -314,12 +395,13 @@ def benchmark_links(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     vocabulary = sorted({w for block in cut for _, ws in block for w in ws})
     counts, documents = term_counts(texts, vocabulary)
     weights = Weights(vocabulary, counts, documents)
-    part = max(1, documents // FIT_DOCS)
-    sample = scratch.write(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("text").coalesce(SAMPLE_PARTS), "sample")
+    wide = any(len({w for _, ws in made for w in ws}) > DIMENSIONS for made in cut)
+    pairs = scratch.write(passage_pairs(texts, vocabulary), "pairs") if wide else None
+    share = min(1.0, AS_DOCS / max(1, documents))
     group, size = [], 0
     for k, made in enumerate(cut):
         block = Block(made, weights)
-        block.set_basis(latent_basis(sample, block))
+        block.set_basis(latent_basis(pairs, block, share))
         group.append(block)
         size += block.nbytes()
         if k + 1 < len(cut) and size < SENT:

@@ -30,6 +30,14 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order, by a sort, which takes less time than the hash table of np.unique."""
+    values = np.sort(values)
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = values[1:] != values[:-1]
+    return values[first]
+
+
 class Weights:
     """Inverse document frequencies of terms: first the vocabulary's words, then BUCKETS buckets of all other words."""
 
@@ -53,7 +61,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def terms_of(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
-    """The term of each word: its place in the vocabulary, or that of its bucket."""
+    """The term of each word: its place in the vocabulary, or that of its bucket. Each different word is looked up once."""
+    every = words.dictionary_encode()
+    words = every.dictionary
     offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     letters = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
     offsets -= offsets[0]
@@ -64,7 +74,7 @@ def terms_of(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
     hashes = (total[offsets[1:]] - total[offsets[:-1]]) * down[np.minimum(offsets[:-1], len(down) - 1)]
     hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     places = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy()
-    return np.where(places >= 0, places, len(vocabulary) + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS)
+    return np.where(places >= 0, places, len(vocabulary) + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS)[every.indices.to_numpy()]
 
 
 def term_counts(texts: DataFrame, vocabulary: list[str], cut: Callable = words_in) -> tuple[np.ndarray, int]:
@@ -78,7 +88,7 @@ def term_counts(texts: DataFrame, vocabulary: list[str], cut: Callable = words_i
                 seen += some.num_rows
                 words = cut(some.column(0))
                 text = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-                total += np.bincount(np.unique(text * n + terms_of(words.flatten(), known)) % n, minlength=n)
+                total += np.bincount(distinct(text * n + terms_of(words.flatten(), known)) % n, minlength=n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], seen))], ["term", "n"])
 

@@ -717,6 +717,72 @@ def test_windows():
     assert [start[text == k].tolist() for k in range(7)] == [[], [0], [0], [0, 16], [0, 16], [0, 16, 32], [0, 16, 32, 48]]
 
 
+def brute_pairs(texts, vocabulary):
+    """Sum over all passages of the products of the counts of two words."""
+    number, want = {w: k for k, w in enumerate(vocabulary)}, np.zeros((len(vocabulary),) * 2, dtype=np.int64)
+    for text in texts:
+        words = decontamination.words_of(text or "")
+        for start in decontamination.windows(np.array([len(words)]))[1]:
+            held = np.bincount([number[w] for w in words[start : start + decontamination.WINDOW] if w in number], minlength=len(vocabulary))
+            want += np.outer(held, held)
+    return want
+
+
+@pytest.mark.parametrize("limits", [None, (64, 50, 7)])
+def test_pairs_are_those_of_all_passages(spark, monkeypatch, limits):
+    for name, value in zip(("PAIRS", "SUMMED", "BATCH"), limits or (), strict=False):
+        monkeypatch.setattr(decontamination, name, value)
+    r = np.random.default_rng(15)
+    vocabulary = sorted(f"w{k}" for k in range(12))
+    texts = [" ".join(r.choice([*vocabulary, "x", "y", "z"], n)) for n in (1, 15, 16, 17, 31, 32, 33, 48, 49, 64, 65, 500)] + ["w1 " * 80, "x y z", "", None, " \n "]
+    got = np.zeros((12, 12), dtype=np.int64)
+    rows = decontamination.passage_pairs(spark.createDataFrame([(t or "",) for t in texts], "text string"), vocabulary).collect()
+    assert len({(x["word"], x["other"]) for x in rows}) == len(rows)
+    for x in rows:
+        got[x["word"], x["other"]] = x["n"]
+    assert (got == brute_pairs(texts, vocabulary)).all()
+
+
+def test_pairs_of_a_large_vocabulary():
+    r = np.random.default_rng(17)
+    rows, offsets = r.integers(-1, 9, 300), np.array([0, 40, 40, 41, 200, 300])
+    few, many = (np.concatenate(list(decontamination.pairs_in(rows, offsets, n))) for n in (9, 100_000))
+    u, v = np.divmod(many >> 1, 100_000)
+    assert few.dtype == np.int32 and many.dtype == np.int64 and (few == 2 * (u * 9 + v) + (many & 1)).all()
+
+
+def test_distinct():
+    for some in ([], [3], [2, 2, 1, 5, 1]):
+        assert terms.distinct(np.array(some, dtype=np.int64)).tolist() == sorted(set(some))
+
+
+def test_the_space_is_that_of_all_documents(spark, monkeypatch):
+    """Items and documents as the columns of one matrix; two words that only documents beyond any sample join must be near in the space."""
+    monkeypatch.setattr(decontamination, "DIMENSIONS", 6)
+    r = np.random.default_rng(16)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(r.choice(words, 20))) for k in range(6)]
+    (cut,) = decontamination.item_blocks(iter(items))
+    vocabulary = sorted({w for _, ws in cut for w in ws})
+    texts = [" ".join(r.choice(words, 40)) for _ in range(1500)]
+    texts[::3] = [f"{vocabulary[0]} {vocabulary[1]} " * 20] * 500
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked = []
+    basis = decontamination.latent_basis
+    monkeypatch.setattr(decontamination, "latent_basis", lambda pairs, block, share: asked.append((pairs, block, share)) or basis(pairs, block, share))
+    decontamination.benchmark_links(table, spark.createDataFrame(items, "item_id long, text string")).count()
+    ((pairs, block, share),) = asked
+    idf, inside = block.idf[:, None], np.zeros((len(vocabulary),) * 2)
+    for ws in block.items:
+        a, columns = block.passages(block.rows(ws))
+        inside[np.ix_(columns, columns)] += decontamination.ITEM_WEIGHT * len(items) * a.T @ a
+    assert share == decontamination.AS_DOCS / 1500
+    gram = share * brute_pairs(texts, vocabulary) * idf * idf.T + inside
+    start = np.linalg.qr(np.random.default_rng(5).normal(size=(len(vocabulary), 6)))[0]
+    want, got = np.linalg.qr(gram @ start)[0], basis(pairs, block, share)
+    assert got.T @ got == pytest.approx(np.eye(6), abs=1e-9) and got @ got.T == pytest.approx(want @ want.T, abs=1e-6)
+
+
 def test_terms():
     words = pa.array(["b", "", "é", "zz", "b", "é", "other", "zz"])
     for some in (words, words.slice(2)):
