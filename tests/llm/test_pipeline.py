@@ -65,3 +65,23 @@ def test_run_leaves_only_its_result(spark, tmp_path):
     docs = corpus_pipeline.run(spark, str(tmp_path))
     left = set(os.listdir(common.shared_folder(spark))) - before
     assert len(left) == 1 and docs.count() > 0
+
+
+def test_the_space_of_the_leaks_is_fitted_on_all_documents(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    from galley.llm import decontamination
+
+    rows, seen = corpus(spark, str(tmp_path)), []
+    basis = decontamination.latent_basis
+    monkeypatch.setattr(decontamination, "DIMENSIONS", 4)
+    monkeypatch.setattr(decontamination, "latent_basis", lambda pairs, block, share: seen.append(pairs) or basis(pairs, block, share))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).count()
+    items = [r["text"] for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    known, want = {w for t in items for w in t.split()}, 0
+    for _, text in rows:
+        words = decontamination.words_of(text or "")
+        for start in decontamination.windows(np.array([len(words)]))[1]:
+            want += sum(w in known for w in words[start : start + decontamination.WINDOW]) ** 2
+    assert sum(r["n"] for pairs in seen for r in pairs.collect()) == want
