@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest side, in bytes as counted from its rows, that is sent whole to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Largest batch that Spark hands to a worker at once: it lies in the executor's memory twice, on either side. Rows are the same.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/galley"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on batches have BATCH_BYTES at most: Spark's own 64 MB let 10,000 texts, tens of MB, through at once. A size that the session has been given stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage, so that a lost executor costs one stage and not the whole job.
 
@@ -48,6 +57,7 @@ class Scratch:
     live: set[Scratch] = set()
 
     def __init__(self, spark: SparkSession, what: str):
+        short_batches(spark)
         self.spark, self.top = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.tables: list[str] = []
         self.live.add(self)

@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, freeing, slices, small, text_or_empty
+from galley.llm.common import Scratch, freeing, give_back, slices, small, text_or_empty
 
 LIMIT, END = 1024, 2
 #: Bytes of the texts that are cut up at a time, and chunks whose ids are put together at a time.
-SLICE, CHUNKS = 1 << 21, 1 << 17
+SLICE, CHUNKS = 1 << 20, 1 << 17
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 #: The pattern of byte-level vocabularies, and white space of all versions of Unicode.
@@ -126,6 +126,7 @@ def tokenised_pieces(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFram
 
         # made anew for each task: kept, it would take its memory from the stages that follow in the same worker
         tokens, part, ranks = Ids(path), TaskContext.get().partitionId(), [0] * (limit + 1)
+        give_back()  # what building them took
         for b in batches:
             for some in slices(b, 1, SLICE):
                 rows = []
@@ -223,7 +224,7 @@ def best_fit_pack(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     # a row per task and length: sent whole while that is small, else joined on both, so no key has more rows than a task
     side = F.broadcast(firsts) if small(firsts, 24) else firsts.hint("merge")
     ranked = pieces.join(side, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("at"))
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(freeing(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def tokenizer_path() -> str:

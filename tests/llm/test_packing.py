@@ -91,3 +91,23 @@ def test_empty(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_batches_of_texts_are_short(spark):
+    """10,000 rows of texts do not reach a worker at once; the rows are the same."""
+    from galley.llm.common import BATCH_BYTES, Scratch
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    Scratch(spark, "batches")
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat('text ', 400) AS text")
+    rows = texts.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in rows) == 6000 and len(rows) > 2 and max(r["bytes"] for r in rows) <= 1.1 * BATCH_BYTES
+    spark.conf.set(name, "1m")
+    Scratch(spark, "batches")
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
