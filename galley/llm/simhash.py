@@ -191,10 +191,10 @@ SHINGLE, SIMILAR, BAND = 5, 0.8, 1.25
 FULL, SPLITS = 4096, 3
 #: Members of a bucket that a task compares; larger ones, which are copies of one another, are dealt over tasks so that every two members meet in one.
 TILE = 16_384
-#: Pairs a member up to which a bucket gives all of them at once; beyond, those of verified groups are left out (see near_groups).
-DENSE = 4
-#: Words of 64 bits of an odd sketch, shingles that it is made for, and how many deviations over what the bar allows two sketches may be apart.
-SKETCH, SKETCHED, SURE = 16, 512, 3
+#: Pairs a member up to which a bucket gives all of them at once; beyond, two a member in a round, and after so many rounds all that verified groups don't join (see near_groups).
+DENSE, ROUNDS = 4, 4
+#: Words of 64 bits of an odd sketch, shingles that it is made for, and by how many deviations over the bar the shingles taken of a larger set may differ.
+SKETCH, SKETCHED, SURE = 16, 512, 4
 SKETCHES = ["level", *(f"k{k}" for k in range(SKETCH))]
 
 
@@ -233,12 +233,13 @@ def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def may_be_similar(size_i: np.ndarray, size_j: np.ndarray, level_i: np.ndarray, level_j: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether so many different bits of two odd sketches allow the similarity; true where the sketches are of different levels."""
-    bins, most = 64 * SKETCH, (1 - SIMILAR) / (1 + SIMILAR) * (size_i + size_j) / 2.0**level_i
-    # the differences that are taken vary when not all are, and so do the bits that they fall on
-    most = most + SURE * np.sqrt(np.where(level_i > 0, most, 0.0) + 1)
-    expected = bins / 2 * (1 - np.exp(-2 * most / bins))
-    return (level_i != level_j) | (bits <= expected + SURE * np.sqrt(expected + 1) / 2)
+    """Whether so many different bits of two odd sketches allow the similarity; true where the sketches are of different levels.
+
+    A shingle that only one set has flips one bit at most, so bits are never more than such shingles: where all are taken
+    (level 0), no similar pair is ruled out. Where one in 2**level is, their number varies.
+    """
+    most, taken = (1 - SIMILAR) / (1 + SIMILAR) * (size_i + size_j), 0.5**level_i
+    return (level_i != level_j) | (bits <= most * taken + SURE * np.sqrt(most * taken * (1 - taken)) + 1e-6)
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -336,10 +337,11 @@ def crowded_keys(prints: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
 def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], kept: list[str], only: DataFrame | None = None) -> DataFrame:
     """key (one of only, if given) and the columns kept (p, q, r, size and rid among them), sorted by key: under a key are rows that are to be compared, each with each."""
     least = [f"m{k}" for k in range(SPLITS)]
-    sent = prints.sparkSession.sparkContext.broadcast((full, tiles))
+    known = np.array(sorted(r["key"] for r in only.toLocalIterator()), dtype=np.int64) if only is not None and small(only, 16) else None
+    sent = prints.sparkSession.sparkContext.broadcast((full, tiles, known))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded, dealt = sent.value
+        crowded, dealt, wanted = sent.value
         hot = np.array(sorted(dealt), dtype=np.int64)
         groups = np.array([dealt[k] for k in hot.tolist()], dtype=np.int64)
         for b in batches:
@@ -357,12 +359,15 @@ def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], kep
                         pair = np.minimum(mine, other)[to] * g + np.maximum(mine, other)[to]
                         made.append((k[to] ^ (_mix(pair.astype(U)) >> U(1)).astype(np.int64), row[to]))
                 keys, rows = (np.concatenate(x) for x in zip(*made, strict=True))
+            if wanted is not None:
+                at = np.flatnonzero(np.isin(keys, wanted))
+                keys, rows = keys[at], rows[at]
             for lo in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), *(pa.array(every[c][rows[lo : lo + (1 << 18)]]) for c in kept)], ["key", *kept])
 
     keyed = prints.select(*kept, *least).mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *kept]))
-    if only is not None:
-        keyed = keyed.join(F.broadcast(only) if small(only, 16) else only, "key", "left_semi")
+    if only is not None and known is None:
+        keyed = keyed.join(only, "key", "left_semi")
     return keyed.repartition("key").sortWithinPartitions("key")
 
 
@@ -375,74 +380,104 @@ def _close(i: slice, j: slice, p: np.ndarray, q: np.ndarray, r: np.ndarray, size
 
 def near_candidates(buckets: DataFrame) -> DataFrame:
     """(a, b, key): pairs of row keys within TOLERANCE, all those of a bucket (key null). Of a bucket with over DENSE pairs a
-    member, only each member's nearest and the one with most neighbours, and a row (key) to say that others are left."""
+    member, only a row (key) to say so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (key, p, q, r, size, rid) in _runs(batches, 6, float("inf")):
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             length = np.diff(np.r_[start, len(key)])
             left, right, marks = [], [], []
-            few = np.flatnonzero(np.repeat((length > 1) & (length <= EACH), length))
+            few, within = np.flatnonzero(np.repeat((length > 1) & (length <= EACH), length)), []
             for off in range(1, int(length[length <= EACH].max(initial=1))):
                 i, j = few[:-off], few[off:]
                 same = key[i] == key[j]
                 i, j = i[same], j[same]
                 apart = np.bitwise_count(p[i] ^ p[j]) + np.bitwise_count(q[i] ^ q[j]) + np.bitwise_count(r[i] ^ r[j])
                 hit = (apart <= TOLERANCE) & (np.minimum(size[i], size[j]) >= SIMILAR * np.maximum(size[i], size[j]))
-                left.append(i[hit])
-                right.append(j[hit])
+                within.append(np.stack([i[hit], j[hit]]))
+            if within:
+                i, j = np.concatenate(within, axis=1)
+                bucket = np.searchsorted(start, i, side="right") - 1
+                over = np.bincount(bucket, minlength=len(start)) > DENSE * length
+                marks += key[start[over]].tolist()
+                left.append(i[~over[bucket]])
+                right.append(j[~over[bucket]])
             for s, n in zip(start[length > EACH].tolist(), length[length > EACH].tolist(), strict=True):
-                blocks = [(slice(lo, min(lo + 256, s + n)), np.arange(lo, min(lo + 256, s + n))) for lo in range(s, s + n, 256)]
-                degree, nearest, pairs, found = np.zeros(n, dtype=np.int64), np.full(n, -1), [], 0
-                for rows, at in blocks:
-                    apart = _close(rows, slice(s, s + n), p, q, r, size)
-                    apart[at - rows.start, at - s] = 255
-                    within = apart <= TOLERANCE
-                    degree[at - s] = within.sum(axis=1)
-                    nearest[at - s] = np.where(degree[at - s] > 0, apart.argmin(axis=1) + s, -1)
-                    found += int(degree[at - s].sum())
-                    if found <= 2 * DENSE * n:
-                        pairs.append(np.argwhere(within) + [rows.start, s])
-                if found <= 2 * DENSE * n:
+                pairs, found = [], 0
+                for lo in range(s, s + n, 256):
+                    pairs.append(np.argwhere(np.triu(_close(slice(lo, min(lo + 256, s + n)), slice(lo, s + n), p, q, r, size) <= TOLERANCE, 1)) + lo)
+                    found += len(pairs[-1])
+                    if found > DENSE * n:
+                        marks.append(key[s])
+                        break
+                else:
                     i, j = np.concatenate(pairs).T
-                    left.append(i[i < j])
-                    right.append(j[i < j])
-                    continue
-                marks.append(key[s])
-                i = np.flatnonzero(nearest >= 0)
-                left.append(i + s)
-                right.append(nearest[i])
-                for rows, at in blocks:
-                    hub = np.where(_close(rows, slice(s, s + n), p, q, r, size) <= TOLERANCE, degree[None, :], -1).argmax(axis=1) + s
-                    left.append(at)
-                    right.append(hub)
+                    left.append(i)
+                    right.append(j)
             i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
-            i, j = i[rid[i] != rid[j]], j[rid[i] != rid[j]]
-            a, b = (f(rid[i], rid[j]) for f in (np.maximum, np.minimum))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int64()), pa.array(marks, pa.int64())], ["a", "b", "key"])
+            yield from _pairs_and_marks(rid[i], rid[j], marks)
 
     return buckets.select("key", "p", "q", "r", "size", "rid").mapInArrow(freeing(run), "a long, b long, key long").distinct()
 
 
-def left_candidates(buckets: DataFrame) -> DataFrame:
-    """(a, b): the pairs within TOLERANCE of the buckets whose rows have different roots (column root), but for those that their sketches rule out."""
+def _pairs_and_marks(one: np.ndarray, other: np.ndarray, marks: list[int]) -> Iterator[pa.RecordBatch]:
+    a, b = (f(one[one != other], other[one != other]) for f in (np.maximum, np.minimum))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(marks), pa.int64()), pa.nulls(len(marks), pa.int64()), pa.array(marks, pa.int64())], ["a", "b", "key"])
+
+
+def _first(i: np.ndarray, j: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each i, the one with the smallest `by`."""
+    order = np.lexsort((by, i))
+    i, j = i[order], j[order]
+    first = np.diff(i, prepend=-1) > 0
+    return i[first], j[first]
+
+
+def dense_candidates(buckets: DataFrame, every: bool = False) -> DataFrame:
+    """(a, b, key): the pairs within TOLERANCE of the buckets whose rows have different roots (column root), but for those
+    that their sketches rule out. Of a bucket with over DENSE such pairs a member, unless every one is wanted, only each
+    member's nearest by sketch and the one with most such pairs, and a row (key) to say that others are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (key, p, q, r, size, rid, root, level, *sketch) in _runs(batches, 8 + SKETCH, float("inf")):
+
+            def pairs(rows: slice, others: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                i, j = np.argwhere((_close(rows, others, p, q, r, size) <= TOLERANCE) & (root[rows, None] != root[None, others])).T  # noqa: B023
+                i, j = i + rows.start, j + others.start
+                bits = np.zeros(len(i), dtype=np.int64)
+                for k in sketch:  # noqa: B023
+                    bits += np.bitwise_count((k[i] ^ k[j]).view(U))
+                keep = may_be_similar(size[i], size[j], level[i], level[j], bits)  # noqa: B023
+                return i[keep], j[keep], bits[keep]
+
             ends = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
             for s, e in zip(ends[:-1], ends[1:], strict=True):
-                for lo in range(s, e, 256):
-                    rows = slice(lo, min(lo + 256, e))
-                    hit = (_close(rows, slice(lo, e), p, q, r, size) <= TOLERANCE) & (root[rows, None] != root[None, lo:e])
-                    i, j = np.argwhere(np.triu(hit)).T + lo
-                    if len(i):
-                        bits = sum(np.bitwise_count((k[i] ^ k[j]).view(U)).astype(np.int64) for k in sketch)
-                        keep = may_be_similar(size[i], size[j], level[i], level[j], bits)
-                        i, j = i[keep], j[keep]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rid[i], rid[j])), pa.array(np.minimum(rid[i], rid[j]))], ["a", "b"])
+                blocks, whole, n = [slice(lo, min(lo + 256, e)) for lo in range(s, e, 256)], slice(s, e), e - s
+                if every:
+                    for rows in blocks:
+                        i, j, _ = pairs(rows, slice(rows.start, e))
+                        yield from _pairs_and_marks(rid[i[i < j]], rid[j[i < j]], [])
+                    continue
+                degree, chosen, held, found = np.zeros(n, dtype=np.int64), [], [], 0
+                for rows in blocks:
+                    i, j, bits = pairs(rows, whole)
+                    degree += np.bincount(i - s, minlength=n)
+                    found += len(i)
+                    chosen.append(_first(i, j, bits))
+                    if found <= 2 * DENSE * n:
+                        held.append((i[i < j], j[i < j]))
+                if found <= 2 * DENSE * n:
+                    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield from _pairs_and_marks(rid[i], rid[j], [])
+                    continue
+                for rows in blocks:
+                    i, j, _ = pairs(rows, whole)
+                    chosen.append(_first(i, j, -degree[j - s]))
+                i, j = (np.concatenate(x) for x in zip(*chosen, strict=True))
+                yield from _pairs_and_marks(rid[i], rid[j], [key[s]])
 
-    return buckets.select("key", "p", "q", "r", "size", "rid", "root", *SKETCHES).mapInArrow(freeing(run), "a long, b long").distinct()
+    return buckets.select("key", "p", "q", "r", "size", "rid", "root", *SKETCHES).mapInArrow(freeing(run), "a long, b long, key long").distinct()
 
 
 def similar_pairs(docs: DataFrame, prints: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -475,22 +510,34 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, pairs: DataFrame, scratch:
 def near_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(rid, root) of the rows of prints that have a similar row: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    Every pair of a bucket within TOLERANCE is verified, unless its rows are in one group already: first all pairs of most
-    buckets and a linear number from those full of neighbours, then of the latter what the groups so found don't join and
-    sketches, SURE deviations beyond what the bar allows, don't rule out.
+    Every pair of a bucket within TOLERANCE is verified, unless sketches rule it out or its rows are in one group already:
+    first all pairs of most buckets and, of those full of neighbours, a linear number of pairs that are alike by sketch;
+    then of the latter, by rounds, a linear number of those that the groups so found don't join. When a round has found
+    no link, or after ROUNDS of them, all that are left are verified.
     """
     full, tiles = crowded_keys(prints)
-    found = scratch.write(near_candidates(near_buckets(prints, full, tiles, ["p", "q", "r", "size", "rid"])), "pairs")
-    links = similar_pairs(docs, prints, found.where("key is null").select("a", "b"), scratch, "first")
-    dense = found.where("key is not null").select("key")
-    roots = scratch.write(connected_components(links, scratch).select(F.col("node").alias("rid"), "root"), "roots")
-    if dense.isEmpty():
-        return roots
-    rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
-    more = similar_pairs(docs, prints, scratch.write(left_candidates(near_buckets(rooted, full, tiles, ["p", "q", "r", "size", "rid", "root", *SKETCHES], dense)), "left"), scratch, "left")
-    if more.isEmpty():
-        return roots
-    return connected_components(links.union(more), scratch).select(F.col("node").alias("rid"), "root")
+    columns = ["p", "q", "r", "size", "rid"]
+    found = scratch.write(near_candidates(near_buckets(prints, full, tiles, columns)), "pairs")
+    pairs, dense = found.where("key is null").select("a", "b"), found.where("key is not null").select("key")
+    columns += ["root", *SKETCHES]
+    if not dense.isEmpty():
+        found = scratch.write(dense_candidates(near_buckets(prints.withColumn("root", F.col("rid")), full, tiles, columns, dense)), "dense")
+        pairs = scratch.write(pairs.union(found.where("key is null").select("a", "b")).distinct(), "candidates")
+        dense = found.where("key is not null").select("key")
+    links = similar_pairs(docs, prints, pairs, scratch, "first")
+    named = lambda k: scratch.write(connected_components(links, scratch).select(F.col("node").alias("rid"), "root"), f"roots-{k}")
+    roots, k, every = named(0), 0, False
+    while not dense.isEmpty():
+        k += 1
+        rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
+        found = scratch.write(dense_candidates(near_buckets(rooted, full, tiles, columns, dense), every), f"left-{k}")
+        dense = found.where("key is not null").select("key")
+        more = similar_pairs(docs, prints, found.where("key is null").select("a", "b"), scratch, f"left-{k}")
+        every = k >= ROUNDS or more.isEmpty()
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = named(k)
+    return roots
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -921,3 +921,64 @@ def test_odd_sketches_keep_similar_pairs_and_drop_far_ones():
                 bits = np.array([int(np.bitwise_count((ka ^ kb).view(np.uint64)).sum())])
                 kept[similarity] += bool(simhash.may_be_similar(np.array([len(a)]), np.array([len(b)]), np.array([la]), np.array([lb]), bits)[0])
         assert kept[0.81] == kept[0.9] == 200 and (size < 100 or kept[0.5] == 0), (size, kept)
+
+
+@pytest.mark.parametrize(("changed", "least", "most"), [(3, 20, 150), (2, 1, 1)])
+def test_near_dedup_of_a_dense_bucket_verifies_a_linear_number_of_pairs(spark, monkeypatch, changed, least, most):
+    # all fingerprints are neighbours; most pairs have a similarity of 0.73 (3 words changed in each text), or all have 0.81 or more (2)
+    r = np.random.default_rng(61)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for k in range(150):
+        some = base.copy()
+        for at in r.choice(np.arange(5, 195, 5), changed, replace=False):
+            some[at] = f"x{k}-{at}"
+        texts.append(" ".join(some))
+    seen, verify = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda docs, prints, pairs, *a: seen.append(pairs.count()) or verify(docs, prints, pairs, *a))
+    stay = {x["doc_id"] for x in simhash.without_near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+    assert sum(seen) <= 12 * len(texts), seen
+    sets, root = [set(simhash.shingle_hashes(simhash.word_hashes(t)).tolist()) for t in texts], list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= simhash.SIMILAR * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert stay == {root.index(x) for x in set(root)}
+    assert least <= len(stay) <= most
+
+
+def test_every_round_of_a_dense_bucket_ends(spark, monkeypatch):
+    # buckets with pairs left after each round, and no rounds at all: the same groups
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    monkeypatch.setattr(simhash, "EACH", 4)
+    r = np.random.default_rng(62)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for k in range(60):
+        some = base.copy()
+        for at in r.choice(np.arange(5, 195, 5), 1 + k % 4, replace=False):
+            some[at] = f"x{k}-{at}"
+        texts.append(" ".join(some))
+    sets, root = [set(simhash.shingle_hashes(simhash.word_hashes(t)).tolist()) for t in texts], list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= simhash.SIMILAR * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    for rounds in (4, 1):
+        monkeypatch.setattr(simhash, "ROUNDS", rounds)
+        stay = {x["doc_id"] for x in simhash.without_near_duplicates(docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])).collect()}
+        assert stay == {root.index(x) for x in set(root)}
+
+
+def test_sketches_rule_out_no_similar_pair_where_all_shingles_are_taken():
+    r = np.random.default_rng(63)
+    for _ in range(2000):
+        size = int(r.integers(5, 400))
+        apart = int(r.integers(0, size // 4 + 1))
+        every = r.choice(1 << 32, size + apart, replace=False).astype(np.uint32)
+        a, b = np.sort(every[:size]), np.sort(every[apart:])
+        (la, ka), (lb, kb) = simhash.odd_sketch(a), simhash.odd_sketch(b)
+        bits = np.array([int(np.bitwise_count((ka ^ kb).view(np.uint64)).sum())])
+        keep = bool(simhash.may_be_similar(np.array([size]), np.array([size]), np.array([la]), np.array([lb]), bits)[0])
+        assert keep or size - apart < 0.8 * (size + apart)
+        assert not keep or size - apart >= 0.76 * (size + apart) or size < 100
