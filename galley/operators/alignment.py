@@ -14,6 +14,8 @@ from galley.sources.tables import read
 #: Fixed values.
 MIN_SCORE, NEAR_BEST, MOST, UNSURE = 0.55, 0.15, 3, 0.72
 CONTAINED, PREFIX = 0.82, 0.15
+#: Different texts of a document's smaller side up to which each is compared with all of the other side.
+FEW = 16
 
 
 def normal_text(c: Column) -> Column:
@@ -47,34 +49,55 @@ def align_items(targets: DataFrame, references: DataFrame, least: float = MIN_SC
     """Edges (doc_id, target, references, relation, score, ambiguous) between items (doc_id, idx, text) of two documents.
 
     Per target, the references within 0.15 of the best and at or over the bar, three at most; items left over are edges
-    of their own (unmatched_target, unmatched_reference). Two texts at the bar share a known part of the smaller one's
-    tokens, so one of its rarer ones: only these are joined with all tokens of the other side, and common words make no pairs.
+    of their own (unmatched_target, unmatched_reference). Items of one normalised text score alike, so only different texts
+    are compared, and of a reference text only the first three items can be kept. Where a side of a document has few texts,
+    each is compared with all of the other side, beside the document; elsewhere two texts at the bar share a known part of
+    the smaller one's tokens, so one of its rarer ones: only these are joined with all tokens of the other side, and common
+    words make no pairs. No side is broadcast: sizes are told from packed files, which are much smaller than their texts.
     """
-    prep = lambda df, i, p: df.select("doc_id", F.col("idx").alias(i), normal_text(F.col("text")).alias(p)).withColumn(f"{p}_tokens", tokens(F.col(p)))
+    doc = Window.partitionBy("doc_id")
+
+    def prep(df: DataFrame, i: str, p: str) -> DataFrame:
+        """Items with the number of their text in the document (k), their place among the items of that text and the number of these."""
+        same = Window.partitionBy("doc_id", p)
+        items = df.select("doc_id", F.col("idx").alias(i), normal_text(F.col("text")).alias(p)).repartition("doc_id")
+        return items.withColumn("nth", F.row_number().over(same.orderBy(i))).withColumn("size", F.count(F.lit(1)).over(same)).withColumn("k", F.dense_rank().over(doc.orderBy(p)))
+
     t, r = prep(targets, "t", "a"), prep(references, "r", "b")
-    te, re = (df.select("doc_id", i, F.explode(f"{p}_tokens").alias("token"), F.size(f"{p}_tokens").alias("size")) for df, i, p in ((t, "t", "a"), (r, "r", "b")))
+    first = [F.min(F.when(F.col("nth") == n, F.col("r"))).over(Window.partitionBy("doc_id", "b")) for n in range(1, MOST + 1)]
+    texts = t.where("nth = 1").select("doc_id", F.col("k").alias("t"), "a", F.col("size").alias("copies"), tokens(F.col("a")).alias("a_tokens"), F.count(F.lit(1)).over(doc).alias("n_a"))
+    others = r.withColumn("firsts", F.array_compact(F.array(*first))).where("nth = 1").select("doc_id", F.col("k").alias("r"), "b", "firsts", tokens(F.col("b")).alias("b_tokens"), F.count(F.lit(1)).over(doc).alias("n_b"))
+    score = similarity_of(F.col("a"), F.col("b"), F.col("a_tokens"), F.col("b_tokens")).alias("score")
+    beside = texts.join(others.hint("merge"), "doc_id").where(F.least("n_a", "n_b") <= FEW).select("doc_id", "t", "copies", "firsts", score).where(F.col("score") >= least)
+    # documents with many texts on either side
+    many_t, many_r = texts.where(F.col("n_a") > FEW), others.where(F.col("n_b") > FEW)
+    te, re = (df.select("doc_id", i, F.explode(f"{p}_tokens").alias("token"), F.size(f"{p}_tokens").alias("size")) for df, i, p in ((many_t, "t", "a"), (many_r, "r", "b")))
     often = te.select("doc_id", "token").union(re.select("doc_id", "token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("often"))
     part = max(0.0, (least - PREFIX) / CONTAINED)  # of a set of three tokens or more; smaller ones need not be contained
 
     def rare(df: DataFrame, i: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("doc_id", i).orderBy("often", "token"))
         kept = F.when(F.col("size") <= 2, F.col("size")).otherwise(F.col("size") - F.ceil(F.col("size") * part - 1e-9) + 1)
-        return df.join(often, ["doc_id", "token"]).withColumn("place", place).where(F.col("place") <= kept).select("doc_id", i, "token")
+        return df.join(often.hint("merge"), ["doc_id", "token"]).withColumn("place", place).where(F.col("place") <= kept).select("doc_id", i, "token")
 
     key = ["doc_id", "token"]
-    shared = rare(te, "t").join(re.select("doc_id", "r", "token"), key).select("doc_id", "t", "r").union(te.select("doc_id", "t", "token").join(rare(re, "r"), key).select("doc_id", "t", "r")).distinct()
-    scored = shared.join(t, ["doc_id", "t"]).join(r, ["doc_id", "r"]).select("doc_id", "t", "r", similarity_of(F.col("a"), F.col("b"), F.col("a_tokens"), F.col("b_tokens")).alias("score")).where(F.col("score") >= least)
-    w = Window.partitionBy("doc_id", "t")
-    ranked = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(least), F.col("best") - NEAR_BEST))
-    kept = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "r"))).where(F.col("rank") <= MOST)
-    kept = kept.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "r")))
+    shared = rare(te, "t").join(re.select("doc_id", "r", "token").hint("merge"), key).select("doc_id", "t", "r").union(te.select("doc_id", "t", "token").join(rare(re, "r").hint("merge"), key).select("doc_id", "t", "r")).distinct()
+    apart = shared.join(many_t.hint("merge"), ["doc_id", "t"]).join(many_r.hint("merge"), ["doc_id", "r"]).select("doc_id", "t", "copies", "firsts", score).where(F.col("score") >= least)
+
+    def best_of(scored: DataFrame) -> DataFrame:
+        w = Window.partitionBy("doc_id", "t")
+        near = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= F.greatest(F.lit(least), F.col("best") - NEAR_BEST))
+        ranked = near.select("doc_id", "t", "copies", "score", F.explode("firsts").alias("r")).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "r"))).where(F.col("rank") <= MOST)
+        return ranked.withColumn("shared", F.sum("copies").over(Window.partitionBy("doc_id", "r")))
+
+    kept = best_of(beside).union(best_of(apart))
     g = kept.groupBy("doc_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]).alias("references"), (F.floor(F.avg("score") * 10000 + 0.5) / 10000).alias("score"), F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared"))
-    relation = F.when(F.col("n") > 1, "1:n").when(F.col("shared") > 1, "n:1").otherwise("1:1")
-    edges = g.select("doc_id", F.col("t").alias("target"), "references", relation.alias("relation"), "score")
+    relation = F.when(F.col("n").isNull(), "unmatched_target").when(F.col("n") > 1, "1:n").when(F.col("shared") > 1, "n:1").otherwise("1:1")
     none = F.array().cast("array<bigint>")
-    lone_t = t.join(edges.select("doc_id", F.col("target").alias("t")), ["doc_id", "t"], "left_anti").select("doc_id", F.col("t").alias("target"), none.alias("references"), F.lit("unmatched_target").alias("relation"), F.lit(0.0).alias("score"))
-    lone_r = r.join(kept.select("doc_id", "r"), ["doc_id", "r"], "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("target"), F.array(F.col("r").cast("bigint")).alias("references"), F.lit("unmatched_reference").alias("relation"), F.lit(0.0).alias("score"))
-    every = edges.withColumn("references", F.col("references").cast("array<bigint>")).union(lone_t).union(lone_r)
+    edges = t.select("doc_id", F.col("t").alias("target"), F.col("k").alias("t")).join(g.hint("merge"), ["doc_id", "t"], "left")
+    edges = edges.select("doc_id", "target", F.coalesce(F.col("references").cast("array<bigint>"), none).alias("references"), relation.alias("relation"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    lone_r = references.select("doc_id", F.col("idx").alias("r")).join(kept.select("doc_id", "r").hint("merge"), ["doc_id", "r"], "left_anti").select("doc_id", F.lit(None).cast("bigint").alias("target"), F.array(F.col("r").cast("bigint")).alias("references"), F.lit("unmatched_reference").alias("relation"), F.lit(0.0).alias("score"))
+    every = edges.union(lone_r)
     return every.withColumn("ambiguous", F.col("relation").isin("1:n", "n:1") | ((F.col("score") > 0) & (F.col("score") < UNSURE)))
 
 

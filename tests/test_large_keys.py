@@ -43,3 +43,11 @@ def test_chain_order_ends_with_its_longest_chain(spark, monkeypatch):
     got = documents.chain_order(spark.createDataFrame(rows, "job_id long, parent long")).collect()
     assert {(r["job_id"], r["place"]) for r in got} == {(i, i % 100) for i, _ in rows if i > 0} and len(got) == 119 * 9
     assert len(cuts) <= 6
+
+
+def test_edge_flags_of_copies_send_nothing_to_the_driver(spark, tmp_path):
+    """Copies of a part score alike: the first three of a text are its references, and no side is broadcast."""
+    folder = folder_with(tmp_path, part="SELECT * REPLACE (p_partkey + k * 1000000 AS p_partkey, p_size % 5 AS p_size) FROM part, range(4) r(k)")
+    agrees(spark, folder, "l12_edge_flags")
+    plan = registry.QUERIES["l12_edge_flags"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
