@@ -186,11 +186,8 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WIDE, TOLERANCE = 5, 28
 SHINGLE, SIMILAR, BAND = 5, 0.8, 1.25
-#: Members up to which a bucket is compared as it is; a fuller one is split by the smallest of its rows' shingle hashes,
-#: SPLITS times with other hashes: two similar rows of a bucket then still meet, all but once in 1 / (1 - SIMILAR) ** SPLITS.
-FULL, SPLITS = 4096, 3
-#: Members of a bucket that a task compares; larger ones, which are copies of one another, are dealt over tasks so that every two members meet in one.
-TILE = 16_384
+#: Members up to which a bucket is compared as it is; a fuller one is dealt over tiles of TILE members or so, which tasks compare: every two members meet in a tile.
+FULL, TILE = 4096, 16_384
 #: Pairs a member up to which a bucket gives all of them at once; beyond, two a member in a round, and after so many rounds all that verified groups don't join (see near_groups).
 DENSE, ROUNDS = 4, 4
 #: Words of 64 bits of an odd sketch, shingles that it is made for, and by how many deviations over the bar the shingles taken of a larger set may differ.
@@ -217,10 +214,10 @@ def shingle_hashes(hashes: np.ndarray, words: int = SHINGLE) -> np.ndarray:
     return np.unique(total >> U(32)).astype(np.uint32)
 
 
-def smallest(shingles: np.ndarray) -> list[int]:
-    """For each of SPLITS orders of the hashes, the smallest: the same for two sets as often as they are similar."""
+def smallest(shingles: np.ndarray, orders: int = 3) -> list[int]:
+    """For each of so many orders of the hashes, the smallest: the same for two sets as often as they are similar."""
     wide = shingles.astype(U)
-    return [int(_mix(wide + U((k + 1) << 40)).min() >> U(1)) if len(wide) else 0 for k in range(SPLITS)]
+    return [int(_mix(wide + U((k + 1) << 40)).min() >> U(1)) if len(wide) else 0 for k in range(orders)]
 
 
 def odd_sketch(shingles: np.ndarray) -> tuple[int, np.ndarray]:
@@ -263,19 +260,19 @@ def _tidy(docs: DataFrame) -> DataFrame:
 
 
 def wide_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, p, q, r, size, m0, ..., level, k0, ...: the fingerprint in words of two segments, the number of shingles, the smallest of them and their odd sketch. One row a doc_id and text."""
-    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS)), *SKETCHES]
+    """doc_id, hash, p, q, r, size, level, k0, ...: the fingerprint in words of two segments, the number of shingles and their odd sketch. One row a doc_id and text."""
+    columns = ["p", "q", "r", "size", *SKETCHES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints, sizes, least = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64), np.zeros((b.num_rows, SPLITS), dtype=np.int64)
+            prints, sizes = np.zeros((b.num_rows, WIDE), dtype=np.int64), np.ones(b.num_rows, dtype=np.int64)
             sketches = np.zeros((b.num_rows, 1 + SKETCH), dtype=np.int64)
             for k, t in enumerate(b.column(2)):
                 hashes = word_hashes(t.as_py())
                 shingles = shingle_hashes(hashes)
-                prints[k], sizes[k], least[k] = wide_fingerprint(hashes), max(1, len(shingles)), smallest(shingles)
+                prints[k], sizes[k] = wide_fingerprint(hashes), max(1, len(shingles))
                 sketches[k, 0], sketches[k, 1:] = odd_sketch(shingles)
-            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes, *least.T, *sketches.T]
+            wide = [prints[:, 0] | prints[:, 1] << 23, prints[:, 2] | prints[:, 3] << 23, prints[:, 4], sizes, *sketches.T]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(w)) for w in wide)], ["doc_id", "hash", *columns])
 
     return _tidy(docs).mapInArrow(freeing(run), ", ".join(f"{c} long" for c in ["doc_id", "hash", *columns])).dropDuplicates(["doc_id", "hash"])
@@ -294,78 +291,63 @@ def wide_keys(p: np.ndarray, q: np.ndarray, r: np.ndarray, size: np.ndarray) ->
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def split_keys(keys: np.ndarray, rows: np.ndarray, full: np.ndarray, least: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rows) with the rows under a full key under SPLITS others instead, of it and each smallest shingle; those are negative."""
+def split_keys(keys: np.ndarray, rows: np.ndarray, full: np.ndarray, by: list[np.ndarray], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows) with the rows under a full key under those of its tiles instead, which are negative.
+
+    Rows are dealt into the key's groups (three, if not given; two at least) by their numbers (by), and there is a tile for every two groups: each
+    two rows of a key meet in one, so no pair is lost.
+    """
     if not len(full):
         return keys, rows
-    crowded = full[np.minimum(np.searchsorted(full, keys), len(full) - 1)] == keys
-    k, row = keys[crowded].astype(U), rows[crowded]
+    at = np.minimum(np.searchsorted(full, keys), len(full) - 1)
+    crowded = full[at] == keys
+    n = np.full(len(full), 3) if groups is None else groups
+    mixed = np.zeros(len(by[0]), dtype=U)
+    for x in by:
+        mixed = _mix(mixed + x.astype(U))
     parts = [(keys[~crowded], rows[~crowded])]
-    for j, m in enumerate(least):
-        parts.append(((_mix(_mix(k + U(j << 40)) ^ m[row].astype(U)) >> U(1)).astype(np.int64) | -(1 << 63), row))
+    for g in np.unique(n[at[crowded]]).tolist():
+        here = crowded & (n[at] == g)
+        k, row = keys[here].astype(U), rows[here]
+        mine = (mixed[row] % U(g)).astype(np.int64)
+        for other in range(g):  # a tile for every two groups
+            to = mine != other
+            pair = np.minimum(mine, other)[to] * g + np.maximum(mine, other)[to]
+            parts.append(((_mix(_mix(k[to]) ^ pair.astype(U)) >> U(1)).astype(np.int64) | -(1 << 63), row[to]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _counts(prints: DataFrame, full: np.ndarray, over: int) -> DataFrame:
-    """(key, n) of the keys with over so many rows, after the keys that are full have been split."""
-    sent = prints.sparkSession.sparkContext.broadcast(full)
+def crowded_keys(prints: DataFrame) -> dict[int, int]:
+    """The keys with over FULL rows and the groups into which these are dealt: at most 5 segments x 4096 codewords x some 100 bands of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            every = [b.column(k).to_numpy() for k in range(4 + SPLITS)]
-            keys, _ = split_keys(*wide_keys(*every[:4]), sent.value, every[4:])
-            if len(sent.value):
-                keys = keys[keys < 0]  # the others have been counted
-            keys, n = np.unique(keys, return_counts=True)
+            keys, n = np.unique(wide_keys(*(b.column(k).to_numpy() for k in range(4)))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-    columns = ["p", "q", "r", "size", *(f"m{k}" for k in range(SPLITS))]
-    return prints.select(columns).mapInArrow(freeing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > over)
-
-
-def crowded_keys(prints: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """(keys with over FULL rows, groups into which the rows under each split key with over TILE are dealt).
-
-    There are at most 5 segments x 4096 codewords x some 100 bands of the former, and of the latter as many as rows / TILE.
-    """
-    full = np.array(sorted(r["key"] for r in _counts(prints, np.zeros(0, dtype=np.int64), FULL).toLocalIterator()), dtype=np.int64)
-    if not len(full):
-        return full, {}
-    return full, {r["key"]: -(-2 * r["n"] // TILE) for r in _counts(prints, full, TILE).toLocalIterator()}
+    counts = prints.select("p", "q", "r", "size").mapInArrow(freeing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return {r["key"]: max(2, -(-2 * r["n"] // TILE)) for r in counts.where(F.col("n") > FULL).toLocalIterator()}
 
 
-def near_buckets(prints: DataFrame, full: np.ndarray, tiles: dict[int, int], kept: list[str], only: DataFrame | None = None) -> DataFrame:
+def near_buckets(prints: DataFrame, tiles: dict[int, int], kept: list[str], only: DataFrame | None = None) -> DataFrame:
     """key (one of only, if given) and the columns kept (p, q, r, size and rid among them), sorted by key: under a key are rows that are to be compared, each with each."""
-    least = [f"m{k}" for k in range(SPLITS)]
     known = np.array(sorted(r["key"] for r in only.toLocalIterator()), dtype=np.int64) if only is not None and small(only, 16) else None
-    sent = prints.sparkSession.sparkContext.broadcast((full, tiles, known))
+    sent = prints.sparkSession.sparkContext.broadcast((tiles, known))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded, dealt, wanted = sent.value
-        hot = np.array(sorted(dealt), dtype=np.int64)
-        groups = np.array([dealt[k] for k in hot.tolist()], dtype=np.int64)
+        dealt, wanted = sent.value
+        full = np.array(sorted(dealt), dtype=np.int64)
+        groups = np.array([dealt[k] for k in full.tolist()], dtype=np.int64)
         for b in batches:
-            every = {c: b.column(k).to_numpy() for k, c in enumerate([*kept, *least])}
-            keys, rows = split_keys(*wide_keys(every["p"], every["q"], every["r"], every["size"]), crowded, [every[m] for m in least])
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                large = hot[at] == keys
-                made = [(keys[~large], rows[~large])]
-                for g in np.unique(groups[at[large]]).tolist():
-                    k, row = keys[large][groups[at[large]] == g], rows[large][groups[at[large]] == g]
-                    mine = (_mix(every["rid"][row].view(U)) % U(g)).astype(np.int64)
-                    for other in range(g):  # a tile for every two groups
-                        to = mine != other
-                        pair = np.minimum(mine, other)[to] * g + np.maximum(mine, other)[to]
-                        made.append((k[to] ^ (_mix(pair.astype(U)) >> U(1)).astype(np.int64), row[to]))
-                keys, rows = (np.concatenate(x) for x in zip(*made, strict=True))
+            every = {c: b.column(k).to_numpy() for k, c in enumerate(kept)}
+            keys, rows = split_keys(*wide_keys(every["p"], every["q"], every["r"], every["size"]), full, [every["rid"]], groups)
             if wanted is not None:
                 at = np.flatnonzero(np.isin(keys, wanted))
                 keys, rows = keys[at], rows[at]
             for lo in range(0, len(keys), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)]), *(pa.array(every[c][rows[lo : lo + (1 << 18)]]) for c in kept)], ["key", *kept])
 
-    keyed = prints.select(*kept, *least).mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *kept]))
+    keyed = prints.select(*kept).mapInArrow(freeing(spread), ", ".join(f"{c} long" for c in ["key", *kept]))
     if only is not None and known is None:
         keyed = keyed.join(only, "key", "left_semi")
     return keyed.repartition("key").sortWithinPartitions("key")
@@ -515,13 +497,13 @@ def near_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFra
     then of the latter, by rounds, a linear number of those that the groups so found don't join. When a round has found
     no link, or after ROUNDS of them, all that are left are verified.
     """
-    full, tiles = crowded_keys(prints)
+    tiles = crowded_keys(prints)
     columns = ["p", "q", "r", "size", "rid"]
-    found = scratch.write(near_candidates(near_buckets(prints, full, tiles, columns)), "pairs")
+    found = scratch.write(near_candidates(near_buckets(prints, tiles, columns)), "pairs")
     pairs, dense = found.where("key is null").select("a", "b"), found.where("key is not null").select("key")
     columns += ["root", *SKETCHES]
     if not dense.isEmpty():
-        found = scratch.write(dense_candidates(near_buckets(prints.withColumn("root", F.col("rid")), full, tiles, columns, dense)), "dense")
+        found = scratch.write(dense_candidates(near_buckets(prints.withColumn("root", F.col("rid")), tiles, columns, dense)), "dense")
         pairs = scratch.write(pairs.union(found.where("key is null").select("a", "b")).distinct(), "candidates")
         dense = found.where("key is not null").select("key")
     links = similar_pairs(docs, prints, pairs, scratch, "first")
@@ -530,7 +512,7 @@ def near_groups(docs: DataFrame, prints: DataFrame, scratch: Scratch) -> DataFra
     while not dense.isEmpty():
         k += 1
         rooted = prints.join(F.broadcast(roots) if small(roots, 24) else roots, "rid", "left").select(*prints.columns, F.coalesce("root", "rid").alias("root"))
-        found = scratch.write(dense_candidates(near_buckets(rooted, full, tiles, columns, dense), every), f"left-{k}")
+        found = scratch.write(dense_candidates(near_buckets(rooted, tiles, columns, dense), every), f"left-{k}")
         dense = found.where("key is not null").select("key")
         more = similar_pairs(docs, prints, found.where("key is null").select("a", "b"), scratch, f"left-{k}")
         every = k >= ROUNDS or more.isEmpty()

@@ -185,3 +185,16 @@ def test_family_keeps_levels_of_powers_of_two(spark):
         sizes.append([n for _, n in family.levels])
     assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1]] and spans > 0
     scratch.drop()
+
+
+def test_full_buckets_lose_no_pair():
+    """Every two rows of a bucket meet in a tile, whatever its number of groups and however unlike the rows are."""
+    from galley.llm import simhash
+
+    rows, r = np.arange(60), np.random.default_rng(5)
+    keys = np.repeat([7, 9, 11], 20)
+    for groups in (None, np.array([2, 5])):
+        made, which = simhash.split_keys(keys, rows, np.array([7, 11]), [r.integers(0, 1 << 62, 60) for _ in range(3)], groups)
+        met = {(i, j) for k in set(made.tolist()) for i in which[made == k].tolist() for j in which[made == k].tolist()}
+        assert met == {(i, j) for i in range(60) for j in range(60) if keys[i] == keys[j]}
+        assert (made[keys[which] == 9] == 9).all() and (made[keys[which] != 9] < 0).all()
