@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galley.sources.tables import read
+from galley.sources.tables import cut, read
 
 #: Fixed values.
 MIN_SCORE, NEAR_BEST, MOST, UNSURE = 0.55, 0.15, 3, 0.72
 CONTAINED, PREFIX = 0.82, 0.15
 #: Different texts of a document's smaller side up to which each is compared with all of the other side.
 FEW = 16
+#: Weight of roles in the score of two pages, and the distance up to which their nearness counts.
+ROLE_SHARE, ROLE_REACH = 0.18, 5
 
 
 def normal_text(c: Column) -> Column:
@@ -105,10 +107,37 @@ def page_bias(distance: Column) -> Column:
     return F.when(distance == 0, 0.18).when(distance == 1, 0.10).otherwise(F.greatest(F.lit(0.0), 0.06 - 0.01 * distance))
 
 
+def _bias(distance: int) -> float:
+    return {0: 0.18, 1: 0.10}.get(distance, max(0.0, 0.06 - 0.01 * distance))
+
+
 def align_pages(targets: DataFrame, references: DataFrame, least: float = 0.28) -> DataFrame:
-    """One edge per kept reference page: pages (doc_id, page, text, roles) scored by content, roles and distance."""
-    pairs = targets.select("doc_id", F.col("page").alias("t"), F.col("text").alias("a"), F.col("roles").alias("ra")).join(references.select("doc_id", F.col("page").alias("r"), F.col("text").alias("b"), F.col("roles").alias("rb")), "doc_id")
-    raw = 0.70 * similarity(F.col("a"), F.col("b")) + 0.18 * similarity(F.col("ra"), F.col("rb")) + page_bias(F.abs(F.col("t") - F.col("r")))
+    """One edge per kept reference page: pages (doc_id, page, text, roles) scored by content, roles and distance.
+
+    Texts are normalised once a page. Without a common word in their texts, two pages reach the bar by roles and distance
+    alone, so only as near neighbours. A document is joined by words and neighbours where that makes fewer pairs than
+    comparing all its pages.
+    """
+    def prep(df: DataFrame, i: str, p: str) -> DataFrame:
+        made = df.select("doc_id", F.col("page").alias(i), normal_text(F.col("text")).alias(p), normal_text(F.col("roles")).alias(f"r{p}"))
+        return cut(made.select(F.monotonically_increasing_id().alias(f"{i}_row"), "*", tokens(F.col(p)).alias(f"{p}_tokens"), tokens(F.col(f"r{p}")).alias(f"r{p}_tokens")))
+
+    t, r = prep(targets, "t", "a"), prep(references, "r", "b")
+    words = lambda df, i, p: df.select("doc_id", f"{i}_row", F.explode(f"{p}_tokens").alias("token"))
+    te, re = words(t, "t", "a"), words(r, "r", "b")
+    counted = lambda df, keys, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    met = counted(te, ["doc_id", "token"], "n").join(counted(re, ["doc_id", "token"], "m"), ["doc_id", "token"]).groupBy("doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("met"))
+    sizes = counted(t, ["doc_id"], "n").join(counted(r, ["doc_id"], "m"), "doc_id").join(met, "doc_id", "left")
+    reach = [k for k in range(ROLE_REACH + 1) if ROLE_SHARE + _bias(k) >= least - 1e-9]
+    sparse = (F.coalesce("met", F.lit(0)) < F.col("n") * F.col("m")) if least > ROLE_SHARE else F.lit(False)
+    sizes = cut(sizes.select("doc_id", sparse.alias("sparse")))
+    few, all_ = sizes.where("sparse").select("doc_id"), sizes.where("not sparse").select("doc_id")
+    near = t.select("doc_id", "t_row", F.explode(F.array(*(F.col("t") + s * k for k in reach for s in ((1, -1) if k else (1,)))) if reach else F.expr("CAST(array() AS array<bigint>)")).alias("r"))
+    linked = te.join(few, "doc_id", "left_semi").join(re.hint("merge"), ["doc_id", "token"]).select("t_row", "r_row")
+    linked = linked.union(near.join(few, "doc_id", "left_semi").join(r.select("doc_id", "r", "r_row").hint("merge"), ["doc_id", "r"]).select("t_row", "r_row")).distinct()
+    pairs = linked.join(t.hint("merge"), "t_row").join(r.drop("doc_id").hint("merge"), "r_row").drop("t_row", "r_row").select("doc_id", *t.columns[2:], *r.columns[2:])
+    pairs = pairs.union(t.join(all_, "doc_id", "left_semi").drop("t_row").join(r.drop("r_row").hint("merge"), "doc_id").select(pairs.columns))
+    raw = 0.70 * similarity_of(F.col("a"), F.col("b"), F.col("a_tokens"), F.col("b_tokens")) + ROLE_SHARE * similarity_of(F.col("ra"), F.col("rb"), F.col("ra_tokens"), F.col("rb_tokens")) + page_bias(F.abs(F.col("t") - F.col("r")))
     scored = pairs.select("doc_id", "t", "r", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("doc_id", "t")
     s = scored.withColumn("best", F.max("score").over(w))

@@ -1,9 +1,12 @@
 """Queries on tables whose keys, groups or copies are larger than those of the given tables, against their SQL."""
 
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from galley import registry
-from galley.operators import documents
+from galley.operators import alignment, documents
 from galley.sources.tables import cut
 from tests.test_queries import FOLDER, plain
 
@@ -51,3 +54,36 @@ def test_edge_flags_of_copies_send_nothing_to_the_driver(spark, tmp_path):
     agrees(spark, folder, "l12_edge_flags")
     plan = registry.QUERIES["l12_edge_flags"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pages_by_words_and_neighbours_are_those_of_all_pairs(spark):
+    """Documents joined by words and near pages have the edges of comparing all pages; where words are shared by all, pages are compared."""
+    r = random.Random(4)
+    page = lambda p, d: (d, p, " ".join(r.choices([f"w{k}" for k in range(3 if d == 1 else 400)], k=r.randint(1, 6))), r.choice(["heading", "heading paragraph", "table", "list footnote x"]))
+    rows = lambda n: spark.createDataFrame([page(p, d) for d in (1, 2, 3) for p in range(n)], "doc_id long, page long, text string, roles string")
+    targets, references = rows(30), rows(25)
+    for least in (0.1, 0.2, 0.28):
+        got = {tuple(x) for x in alignment.align_pages(targets, references, least).collect()}
+        pairs = targets.alias("x").join(references.alias("y"), "doc_id")
+        raw = 0.70 * alignment.similarity(F.col("x.text"), F.col("y.text")) + 0.18 * alignment.similarity(F.col("x.roles"), F.col("y.roles")) + alignment.page_bias(F.abs(F.col("x.page") - F.col("y.page")))
+        by = {}
+        for d, t, p, s in pairs.select("doc_id", F.col("x.page"), F.col("y.page"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).collect():
+            if s >= least:
+                by.setdefault((d, t), []).append((-s, p))
+        want = set()
+        for (d, t), found in by.items():
+            found.sort()
+            best = -found[0][0]
+            ties = [x for x in found if best + x[0] <= 1e-9]
+            near = [x for x in found if best + x[0] <= 0.10]
+            kept = ties[:3] if len(ties) > 1 else near[:3] if best < 0.62 and len(near) > 1 else found[:1]
+            want |= {(d, t, p) for _, p in kept}
+        assert {x[:3] for x in got} == want and want
+
+
+def test_known_cases_of_repeated_rows(spark):
+    """Pairs stand once, though findings and cases are repeated and one finding stands under two documents."""
+    cases = spark.createDataFrame([(1, 5, "Brand 12"), (1, 5, "brand 1"), (2, 5, "brand 12"), (2, 5, "brand 12"), (3, 6, "brand"), (4, 6, " "), (5, 6, None)], "case_id long, doc_id int, case_text string")
+    f = spark.createDataFrame([(10, None, 5, "see BRAND 12 there"), (10, None, 5, "see BRAND 12 there"), (10, None, 6, "brand 1"), (11, 3, 5, "brand 12"), (12, None, 6, None), (10, 2, 5, ""), (13, 9, 5, "brand 12")], "id long, known_case_id long, doc_id int, text string")
+    found = documents.known_cases(f, cases)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 10), (2, 10), (3, 10), (3, 11)]
