@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from galley import registry
+from galley.functions.stretches import common_stretches
 from galley.operators import alignment, documents
 from galley.sources.tables import cut
 from tests.test_queries import FOLDER, plain
@@ -87,3 +88,20 @@ def test_known_cases_of_repeated_rows(spark):
     f = spark.createDataFrame([(10, None, 5, "see BRAND 12 there"), (10, None, 5, "see BRAND 12 there"), (10, None, 6, "brand 1"), (11, 3, 5, "brand 12"), (12, None, 6, None), (10, 2, 5, ""), (13, 9, 5, "brand 12")], "id long, known_case_id long, doc_id int, text string")
     found = documents.known_cases(f, cases)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 10), (2, 10), (3, 10), (3, 11)]
+
+
+def test_stretches_are_those_of_all_grams():
+    """Every place where a quote and a text agree on so many characters lies in one stretch, which neither side extends."""
+    r = random.Random(6)
+    for _ in range(300):
+        least, letters = r.randint(2, 6), "ab" if r.random() < 0.5 else "abcdé😀"
+        text, quote = ("".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(2))
+        grams = {(p - q, q) for p in range(len(text) - least + 1) for q in range(len(quote) - least + 1) if text[p : p + least] == quote[q : q + least]}
+        want = {(s, q, next(h for h in range(q + 1, 99) if (s, h) not in grams) - 1 + least) for s, q in grams if (s, q - 1) not in grams}
+        (found,) = common_stretches(text, [quote], least)
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_fragments_move_texts_not_their_grams(spark, tmp_path):
+    plan = registry.QUERIES["x24_unique_fragments"](spark, folder_with(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "gram" not in plan
