@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,20 @@ from galley.operators.findings import NUMERIC, TRANSLATED, direction_conflict
 from galley.sources.tables import read
 
 
-def applied(rows: DataFrame, function: Callable, columns: list[str], name: str, kind: str, id: str = "id") -> DataFrame:
-    """(id, name): a plain function of the columns of each row, in Arrow batches. kind is the result's type."""
+#: Different rows whose results a task remembers.
+REPEATED = 4096
+
+
+def applied(rows: DataFrame, function: Callable, columns: list[str], name: str, kind: str, id: str = "id", repeats: bool = False) -> DataFrame:
+    """(id, name): a plain function of the columns of each row, in Arrow batches. kind is the result's type; if rows repeat, a task remembers results of plain values."""
     schema = f"{id} long, {name} {kind}"
     made = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(made)
+        of = lru_cache(REPEATED)(function) if repeats else function
         for b in batches:
-            out = [function(*row) for row in zip(*(b.column(k).to_pylist() for k in range(1, len(columns) + 1)), strict=True)]
+            out = [of(*row) for row in zip(*(b.column(k).to_pylist() for k in range(1, len(columns) + 1)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, arrow.field(1).type)], schema=arrow)
 
     return rows.select(F.col(id).cast("long").alias(id), *columns).mapInArrow(run, schema)
@@ -52,7 +58,7 @@ def with_proof(findings: DataFrame) -> DataFrame:
     veto = veto | (flag("bound") & (fiscal_relation(F.col("quote"), F.col("reference")) == "conflict"))
     fiscal = fiscal_label_only(F.col("category"), F.col("quote"), F.concat_ws(" ", "suggestion", "reason"), F.col("reference"))
     tidy = findings.select("id", veto.alias("veto"), fiscal.alias("fiscal"), flag("bound").alias("bound"), "category", "quote", "reference", "reason", "suggestion", (F.col("summary") if "summary" in has else F.lit(None).cast("string")).alias("summary"))
-    return applied(tidy, proof, ["veto", "fiscal", "bound", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string")
+    return applied(tidy, proof, ["veto", "fiscal", "bound", "category", "quote", "reference", "reason", "suggestion", "summary"], "proof", "string", repeats=True)
 
 
 def merge_on_page(findings: DataFrame) -> DataFrame:

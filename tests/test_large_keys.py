@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galley import registry
 from galley.functions.stretches import common_stretches
-from galley.operators import alignment, documents
+from galley.operators import alignment, documents, evidence
 from galley.sources.tables import cut
 from tests.test_queries import FOLDER, plain
 
@@ -105,3 +105,15 @@ def test_stretches_are_those_of_all_grams():
 def test_fragments_move_texts_not_their_grams(spark, tmp_path):
     plan = registry.QUERIES["x24_unique_fragments"](spark, folder_with(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "gram" not in plan
+
+
+def test_repeated_findings_are_proven_once(spark, monkeypatch):
+    """The proof of repeated texts is worked out once a worker, and texts without symbols are not restored."""
+    seen, restored = [], evidence.restored_fragments
+    monkeypatch.setattr(evidence, "restored_fragments", lambda texts, occurrences: seen.append(texts) or restored(texts, occurrences))
+    f = [(k, 1, "number_mismatch", f"Sales were {'7' if k % 2 else '⟦#AAB⟧'} yen", "売上高は584 yen", "different", None) for k in range(40)]
+    findings = spark.createDataFrame(f, "id long, job_id long, category string, quote string, reference string, reason string, suggestion string")
+    known = spark.createDataFrame([(1, 1, "AAB", "584", "en", 584 * 10**6, 10**6, 0)], "job_id long, at long, symbol string, raw string, lang string, micro long, quantum long, power int")
+    got = {r["id"]: (r["kept"], r["stage"], r["proof"]) for r in evidence.two_stage_import(findings, known).collect()}
+    assert got == {k: (True, None, None) if k % 2 else (False, "restored", "equivalent") for k in range(40)}
+    assert seen[0].count() == 20
