@@ -117,3 +117,11 @@ def test_repeated_findings_are_proven_once(spark, monkeypatch):
     got = {r["id"]: (r["kept"], r["stage"], r["proof"]) for r in evidence.two_stage_import(findings, known).collect()}
     assert got == {k: (True, None, None) if k % 2 else (False, "restored", "equivalent") for k in range(40)}
     assert seen[0].count() == 20
+
+
+def test_omissions_of_long_and_short_orders(spark, tmp_path):
+    """Documents of few texts, compared beside one another, and of many, joined by words, in one table."""
+    lines = "SELECT * REPLACE (CASE WHEN l_orderkey < 300 THEN l_orderkey // 100 * 3 + 1 ELSE l_orderkey END AS l_orderkey, CASE WHEN l_orderkey < 300 THEN CAST(10 * (l_orderkey % 100) + l_linenumber AS INT) ELSE l_linenumber END AS l_linenumber) FROM lineitem"
+    folder = folder_with(tmp_path, lineitem=lines)
+    agrees(spark, folder, "l11_item_omissions")
+    agrees(spark, folder, "l11_footnote_omissions")
